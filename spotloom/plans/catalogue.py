@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spotloom.plans import problems
+from spotloom.plans import domain, domain_sql, problems
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
-FLAGSHIP = "p2_found"
+QUERIES = {**domain.QUERIES, **problems.QUERIES}
+ORACLE = {**domain_sql.ORACLE, **problems.ORACLE}
+FLAGSHIP = "redemux_cell_counts"
