@@ -118,7 +118,7 @@ def cell_documents(obs: DataFrame, rings: DataFrame, genes: DataFrame, proteins:
 
 
 def tile_side(platform: str | None) -> int:
-    return TILE_SIDE_TWO_LANES if platform == "g4x-2lane" else TILE_SIDE
+    return TILE_SIDE_TWO_LANES if (platform or "").endswith("-2lane") else TILE_SIDE
 
 
 def _even(n: int) -> int:
