@@ -89,8 +89,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     time has no valid target: ``deleted`` if the key exists. With no parents every reference is ``missing``. Reasons:
     ``missing`` (no row with the key), ``late`` (all its rows begin after the reference), else ``deleted``.
     """
-    refs = refs.withColumn("key", clean_key(F.col("key"))).where(F.col("key").isNotNull() & (F.col("key") != NO_TARGET))
-    parents = parents.withColumn("key", clean_key(F.col("key"))).where(F.col("key").isNotNull())
+    refs = refs.select("ref_table", "ref_row", clean_key(F.col("key")).alias("key"), "at").where(F.col("key").isNotNull() & (F.col("key") != NO_TARGET))
+    parents = parents.select(clean_key(F.col("key")).alias("key"), "since", "until").where(F.col("key").isNotNull())
     n = parents.count()
     blocks = bloom_blocks(n)
     bloom = bloom_filter(parents.select("key"), "key", blocks)
