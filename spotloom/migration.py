@@ -35,6 +35,8 @@ MOVES = [
     ("{v}/{id}_run_metadata.json", None, True),
 ]
 BACKUP = "migration_backup"
+#: In the backup: the files that were not there before, so that they go when the rest comes back.
+ABSENT = "absent.json"
 
 
 @dataclass(frozen=True)
@@ -85,6 +87,8 @@ def restore(root: str | Path, sample_id: str, log: logging.Logger) -> bool:
         return False
     for m in reversed(moves(root, sample_id)):
         m.undo()
+    for name in json.loads((root / BACKUP / ABSENT).read_text()) if (root / BACKUP / ABSENT).exists() else []:
+        sinks.delete_existing(root / name)
     shutil.rmtree(root / BACKUP)
     return True
 
@@ -132,6 +136,8 @@ def migrate(spark: SparkSession, root: str | Path, sample_id: str, log: logging.
         raise MigrationError("there is a backup of an earlier migration: restore or remove it first")
     log.info("backing up %.3f GB", directory.total_size_gb([m.source for m in todo if m.keep]))
     (root / BACKUP).mkdir(exist_ok=True)
+    new = {str(m.target.relative_to(root)) for m in todo if not m.target.exists()} - {str(m.target.relative_to(root)) for m in todo if m.renames and m.source.exists()}
+    (root / BACKUP / ABSENT).write_text(json.dumps(sorted(new)))
     try:
         for m in todo:
             m.save()
