@@ -2,11 +2,16 @@
 
 A raster is a table of its non-zero pixels (sample_id, y, x, label) or, some forty times smaller, of runs of a row
 (sample_id, y, x0, x1, label), x1 exclusive. Rings become runs row by row without touching pixels, transcripts are looked
-up in runs, and areas and centroids are sums over runs; only what needs pixels unfolds them.
+up in runs, areas and centroids are sums over runs, and intensities are sums over slices of image rows. Morphology
+paints runs on small dense tiles with a margin, so that only runs are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,11 @@ from spotloom.schemas import PIXEL_AREA_UM2
 
 #: Width in pixels of the blocks by which points are matched with runs of their row.
 BLOCK = 64
+#: Side of the tiles that morphology works on, and the margin it needs around them.
+TILE = 512
+MARGIN = 2
+#: Runs up to which they are sent to the image's rows; beyond, both are shuffled by row.
+BROADCAST_RUNS = 500_000
 
 
 def rings_to_runs(rings: DataFrame) -> DataFrame:
@@ -96,37 +106,106 @@ def nuclear_properties(nuclei: DataFrame, expanded: DataFrame) -> DataFrame:
     return region_properties(expanded).select("sample_id", "label", F.col("area_um").alias("nuclei_expanded_area_um")).join(n, ["sample_id", "label"], "left").select("sample_id", "label", "cell_x", "cell_y", "nuclei_area_um", "nuclei_expanded_area_um")
 
 
-def region_means(image: DataFrame, pixels: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+def pixels_to_image_rows(image: DataFrame) -> DataFrame:
+    """(sample_id, channel, y, x0, intensities) from single pixels (sample_id, channel, y, x, intensity): one array per
+    image row from its first pixel on, null where there is none. A pixel given twice counts once, the larger value."""
+    g = image.groupBy("sample_id", "channel", "y", "x").agg(F.max("intensity").alias("intensity")).groupBy("sample_id", "channel", "y").agg(F.map_from_entries(F.collect_list(F.struct("x", "intensity"))).alias("m"))
+    g = g.withColumns({"x0": F.array_min(F.map_keys("m")), "x1": F.array_max(F.map_keys("m"))})
+    return g.select("sample_id", "channel", "y", "x0", F.expr("transform(sequence(x0, x1), x -> try_element_at(m, x))").alias("intensities"))
+
+
+def _overlaps(runs: DataFrame, excluded: DataFrame) -> DataFrame:
+    """The parts of runs that excluded runs cover, to be taken off again."""
+    e = excluded.select("sample_id", "y", F.col("x0").alias("e0"), F.col("x1").alias("e1"))
+    both = runs.join(e, ["sample_id", "y"]).where("e0 < x1 and x0 < e1")
+    return both.select("sample_id", "y", F.greatest("x0", "e0").alias("x0"), F.least("x1", "e1").alias("x1"), "label")
+
+
+def region_means(image_rows: DataFrame, runs: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """(sample_id, label, channel, mean_intensity, n_pixels) of every channel at once.
 
-    ``image``: (sample_id, channel, y, x, intensity); ``excluded``: (sample_id, y, x), such as beads. A region without
-    any pixel left has no row. Null intensities do not count.
+    ``image_rows``: (sample_id, channel, y, x0, intensities ARRAY<DOUBLE>), an image row or a part of one from column
+    ``x0`` on; ``excluded``: runs (sample_id, y, x0, x1), disjoint, such as beads. A region without any pixel left has no
+    row. Null intensities do not count.
     """
-    p = pixels if excluded is None else pixels.join(excluded.select("sample_id", "y", "x").distinct(), ["sample_id", "y", "x"], "left_anti")
-    return image.join(p, ["sample_id", "y", "x"]).groupBy("sample_id", "label", "channel").agg(F.avg("intensity").alias("mean_intensity"), F.count("intensity").alias("n_pixels"))
+    r = runs.select("sample_id", "y", F.col("x0").alias("_a"), F.col("x1").alias("_b"), "label", F.lit(1).alias("_sign"))
+    if excluded is not None:
+        off = _overlaps(runs, excluded).select("sample_id", "y", F.col("x0").alias("_a"), F.col("x1").alias("_b"), "label", F.lit(-1).alias("_sign"))
+        r = r.unionByName(off)
+    per_row = r.groupBy("sample_id", "y").agg(F.collect_list(F.struct("_a", "_b", "label", "_sign")).alias("_runs"))  # the runs of one image row
+    if runs.count() <= BROADCAST_RUNS:
+        per_row = F.broadcast(per_row)
+    i = image_rows.select("sample_id", "channel", "y", "x0", "intensities")
+    part = i.join(per_row, ["sample_id", "y"]).select("sample_id", "channel", "x0", "intensities", F.explode("_runs").alias("r")).select("*", "r.*")
+    lo, hi = F.greatest("_a", "x0"), F.least("_b", F.col("x0") + F.size("intensities"))
+    part = part.where(hi > lo).withColumn("v", F.array_compact(F.slice("intensities", lo - F.col("x0") + 1, hi - lo)))
+    g = part.groupBy("sample_id", "label", "channel").agg(
+        F.sum(F.col("_sign") * F.aggregate("v", F.lit(0.0), lambda s, e: s + e)).alias("s"), F.sum(F.col("_sign") * F.size("v")).cast("bigint").alias("n_pixels")
+    )
+    return g.where("n_pixels > 0").select("sample_id", "label", "channel", (F.col("s") / F.col("n_pixels")).alias("mean_intensity"), "n_pixels")
 
 
-def border_pixels(pixels: DataFrame) -> DataFrame:
-    """(sample_id, y, x): pixels, background included, below the greatest label of their plus-shaped neighbourhood.
+_NEIGHBOURS = ((1, 0), (-1, 0), (0, 1), (0, -1))
 
-    Each pixel tells its label to itself and its four neighbours; pixels outside the image (negative) do not count.
-    """
-    here = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])).alias("o")
-    told = pixels.select("sample_id", "y", "x", "label", here).select("sample_id", (F.col("y") + F.col("o.a")).alias("y"), (F.col("x") + F.col("o.b")).alias("x"), "label", ((F.col("o.a") == 0) & (F.col("o.b") == 0)).alias("own"))
-    seen = told.where("y >= 0 and x >= 0").groupBy("sample_id", "y", "x").agg(F.max("label").alias("most"), F.max(F.when(F.col("own"), F.col("label"))).alias("own"))
-    return seen.where("most > coalesce(own, 0)").select("sample_id", "y", "x")
+
+def _shifted(a: np.ndarray, dy: int, dx: int, fill: int) -> np.ndarray:
+    out = np.full_like(a, fill)
+    h, w = a.shape
+    out[max(dy, 0) : h + min(dy, 0), max(dx, 0) : w + min(dx, 0)] = a[max(-dy, 0) : h + min(-dy, 0), max(-dx, 0) : w + min(-dx, 0)]
+    return out
+
+
+def _borders(a: np.ndarray) -> np.ndarray:
+    most = a
+    for dy, dx in _NEIGHBOURS:
+        most = np.maximum(most, _shifted(a, dy, dx, 0))
+    return a < most
+
+
+def _outlines(a: np.ndarray, outside: np.ndarray) -> np.ndarray:
+    """Pixels that are no border and have, inside the image, a neighbour that is background once borders are."""
+    inner = np.where(_borders(a), 0, a)
+    filled = np.where(outside, 1, inner)
+    touches = np.zeros(a.shape, bool)
+    for dy, dx in _NEIGHBOURS:
+        touches |= _shifted(filled, dy, dx, 1) == 0
+    return (inner != 0) & touches
+
+
+def _on_tiles(runs: DataFrame, shape: tuple[int, int] | None, work: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(sample_id, y, x, label) of the pixels that ``work`` picks on dense tiles with a margin. Where runs overlap, the
+    greatest label is painted. A tile has a fixed number of pixels, whatever lies on it."""
+    at = lambda c: F.floor(c / TILE).cast("int")
+    ty = F.explode(F.sequence(at(F.col("y") - MARGIN), at(F.col("y") + MARGIN))).alias("ty")
+    tx = F.explode(F.sequence(at(F.col("x0") - MARGIN), at(F.col("x1") - 1 + MARGIN))).alias("tx")
+    tiles = runs.where("x1 > x0 and label <> 0").select("sample_id", "y", "x0", "x1", "label", ty).select("*", tx)
+    side = TILE + 2 * MARGIN
+
+    def paint(t: pa.Table) -> pa.Table:
+        oy, ox = t["ty"][0].as_py() * TILE - MARGIN, t["tx"][0].as_py() * TILE - MARGIN
+        a = np.zeros((side, side), np.int32)
+        y, x0, x1, label = (t[c].to_numpy() for c in ("y", "x0", "x1", "label"))
+        order = np.argsort(label, kind="stable")
+        for r, b, e, v in zip((y - oy)[order].tolist(), np.maximum(x0 - ox, 0)[order].tolist(), np.minimum(x1 - ox, side)[order].tolist(), label[order].tolist(), strict=True):
+            a[r, b:e] = v
+        yy, xx = np.arange(side) + oy, np.arange(side) + ox
+        out_y, out_x = (yy < 0) | (yy >= shape[0] if shape else False), (xx < 0) | (xx >= shape[1] if shape else False)
+        outside = out_y[:, None] | out_x[None, :]
+        picked = work(a, outside) & ~outside
+        picked[:MARGIN] = picked[-MARGIN:] = picked[:, :MARGIN] = picked[:, -MARGIN:] = False
+        py, px = np.nonzero(picked)
+        return pa.table({"sample_id": pa.repeat(t["sample_id"][0], len(py)), "y": pa.array(yy[py], pa.int32()), "x": pa.array(xx[px], pa.int32()), "label": pa.array(a[py, px], pa.int32())})
+
+    return tiles.groupBy("sample_id", "ty", "tx").applyInArrow(paint, "sample_id string, y int, x int, label int")
+
+
+def border_pixels(runs: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
+    """(sample_id, y, x): pixels, background included, below the greatest label of their plus-shaped neighbourhood.
+    Pixels outside the image, of ``shape`` (height, width) if given, do not count."""
+    return _on_tiles(runs, shape, lambda a, _: _borders(a)).drop("label")
 
 
-def outline_pixels(pixels: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
+def outline_pixels(runs: DataFrame, shape: tuple[int, int] | None = None) -> DataFrame:
     """(sample_id, y, x, label): a region's pixels that are no border and touch, by a side, a pixel that is background
     once the borders are. Pixels outside the image, of ``shape`` (height, width) if given, do not touch."""
-    inner = pixels.join(border_pixels(pixels), ["sample_id", "y", "x"], "left_anti")
-    here = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])).alias("o")
-    sides = inner.select("sample_id", "y", "x", here).select("sample_id", (F.col("y") + F.col("o.a")).alias("y"), (F.col("x") + F.col("o.b")).alias("x"))
-    # how many of a pixel's four sides are inner pixels; sides outside the image count as inner
-    covered = sides.groupBy("sample_id", "y", "x").agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0)) + (F.col("y") == 0).cast("int") + (F.col("x") == 0).cast("int")
-    if shape:
-        n = n + (F.col("y") == shape[0] - 1).cast("int") + (F.col("x") == shape[1] - 1).cast("int")
-        covered = covered.where((F.col("y") < shape[0]) & (F.col("x") < shape[1]))
-    return inner.join(covered, ["sample_id", "y", "x"], "left").where(n < 4).select("sample_id", "y", "x", "label")
+    return _on_tiles(runs, shape, _outlines)

@@ -104,8 +104,8 @@ def _apply_segmentation(sample: SpatialSample, runs: DataFrame, out: Path, log:
     meta = props
     if have:
         log.info("mean intensities of %s", have)
-        beads = sample.load_bead_pixels() if sample.bead_mask_path.exists() else None
-        means = raster.region_means(sample.intensity_pixels(have), raster.runs_to_pixels(runs), beads)
+        beads = sample.load_bead_runs() if sample.bead_mask_path.exists() else None
+        means = raster.region_means(sample.intensity_rows(have), runs, beads)
         protein = cells.wide_means(means, [STAINS.get(c, c) for c in have]).withColumn("cell_id", cells.cell_name(F.col("sample_id"), F.col("label"))).drop("sample_id", "label")
         protein = durable(protein)
         sinks.write_csv_gz(protein.withColumnRenamed("cell_id", "label"), sc / "cell_by_protein.csv.gz")
@@ -120,7 +120,7 @@ def _cell_file(sample: SpatialSample, runs: DataFrame, matrix_dir: Path, out: Pa
     m = matrix.read_matrix(sample.spark, matrix_dir, remove_nontargeting=False)
     area = viewer.area_column([c for c in m.obs.columns if c != "segmentation_label"])
     obs = cells.cell_index(runs).select("cell_id").join(m.obs, "cell_id", "left").withColumnRenamed(area, "area")
-    drawn = polygons.smooth_outlines(raster.outline_pixels(durable(raster.runs_to_pixels(runs)), sample.shape))
+    drawn = polygons.smooth_outlines(raster.outline_pixels(runs, sample.shape))
     rings = drawn.select(cells.cell_name(F.col("sample_id"), F.col("label")).alias("cell_id"), "ring")
     sparse = cells.sparse_genes(m.X.withColumnRenamed("gene_id", "gene_name"), "cell_id")
     names = [r[0] for r in m.X.select("gene_id").distinct().orderBy("gene_id").collect()]  # a panel's genes

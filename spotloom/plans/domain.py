@@ -62,9 +62,12 @@ def nucleus_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def image(spark: SparkSession, sf: str) -> DataFrame:
-    p = pixels(spark, sf).select("sample_id", "y", "x")
-    ch = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("c")
-    return p.select("*", ch).select("sample_id", F.concat(F.lit("ch"), F.col("c").cast("string")).alias("channel"), "y", "x", ((F.col("y") * 31 + F.col("x") * 17 + F.col("c") * 101) % 256).cast("double").alias("intensity"))
+    """Rows of four channel images as wide and high as each sample's raster."""
+    size = runs(spark, sf).groupBy("sample_id").agg(F.max("y").alias("h"), F.max("x1").alias("w"))
+    rows = size.select("sample_id", "w", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("y")).repartition("sample_id", "y")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("c"))
+    value = F.expr("transform(sequence(0, w - 1), x -> double((y * 31 + x * 17 + c * 101) % 256))")
+    return rows.select("sample_id", F.concat(F.lit("ch"), F.col("c").cast("string")).alias("channel"), "y", F.lit(0).alias("x0"), value.alias("intensities"))
 
 
 def transcripts(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,7 +170,7 @@ def region_props_nuclear(spark, sf):
 
 
 def cell_by_protein_long(spark, sf):
-    return raster.region_means(image(spark, sf), pixels(spark, sf))
+    return raster.region_means(image(spark, sf), durable(runs(spark, sf)))
 
 
 def cell_by_protein_wide(spark, sf):
@@ -175,8 +178,9 @@ def cell_by_protein_wide(spark, sf):
 
 
 def region_mean_bead_masked(spark, sf):
-    p = pixels(spark, sf)
-    return raster.region_means(image(spark, sf), p, p.where("(x * 7 + y * 13) % 11 = 0"))
+    r = durable(runs(spark, sf))
+    beads = raster.runs_to_pixels(r).where("(x * 7 + y * 13) % 11 = 0").selectExpr("sample_id", "y", "x as x0", "x + 1 as x1").distinct()
+    return raster.region_means(image(spark, sf), r, beads)
 
 
 def embedding_region_mean(spark, sf):
@@ -268,11 +272,11 @@ def rasterize_polygons(spark, sf):
 
 
 def border_pixels(spark, sf):
-    return raster.border_pixels(durable(pixels(spark, sf)))
+    return raster.border_pixels(runs(spark, sf))
 
 
 def outline_pixels(spark, sf):
-    return raster.outline_pixels(durable(pixels(spark, sf)))
+    return raster.outline_pixels(runs(spark, sf))
 
 
 def vectorize_mask(spark, sf):

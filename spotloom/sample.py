@@ -132,8 +132,8 @@ class SpatialSample:
     def load_segmentation(self, expanded: bool = True, key: str | None = None) -> np.ndarray:
         return masks.default_segmentation(self.segmentation_path, expanded, key)
 
-    def load_bead_pixels(self) -> DataFrame:
-        return masks.bead_pixels(self.spark, self.bead_mask_path, self.sample_id)
+    def load_bead_runs(self) -> DataFrame:
+        return masks.bead_runs(self.spark, self.bead_mask_path, self.sample_id)
 
     def image_path(self, kind: str, thumbnail: bool = False, protein: str | None = None) -> Path:
         """The file of an image: ``protein`` (by name), ``h_and_e``, ``nuclear`` or ``eosin``."""
@@ -156,12 +156,12 @@ class SpatialSample:
     def load_image(self, kind: str, thumbnail: bool = False, protein: str | None = None) -> np.ndarray:
         return masks.decode_image(self.image_path(kind, thumbnail, protein))
 
-    def intensity_pixels(self, channels: list[str]) -> DataFrame:
-        """(sample_id, channel, y, x, intensity) of stains and proteins, named as in the tables."""
+    def intensity_rows(self, channels: list[str]) -> DataFrame:
+        """(sample_id, channel, y, x0, intensities) of stains and proteins, named as in the tables."""
         out = None
         for c in channels:
             path = self.image_path(c) if c in STAINS else self.image_path("protein", protein=c)
-            img = masks.image_pixels(self.spark, str(path.parent), self.sample_id, path.name).withColumn("channel", F.lit(STAINS.get(c, c)))
+            img = masks.image_rows(self.spark, str(path.parent), self.sample_id, path.name).withColumn("channel", F.lit(STAINS.get(c, c)))
             out = img if out is None else out.unionByName(img)
         return out
 

@@ -93,10 +93,9 @@ def rasterized(rings: DataFrame) -> DataFrame:
     return raster.pixels_to_runs(raster.last_on_top(p, "ordinal"))
 
 
-def bead_pixels(spark: SparkSession, path: str | Path, sample_id: str) -> DataFrame:
-    """(sample_id, y, x) of a boolean array's true pixels."""
-    r = mask_runs(spark, load_mask(path).astype(np.int32), sample_id)
-    return raster.runs_to_pixels(r).drop("label")
+def bead_runs(spark: SparkSession, path: str | Path, sample_id: str) -> DataFrame:
+    """(sample_id, y, x0, x1) of a boolean array's true pixels."""
+    return mask_runs(spark, load_mask(path).astype(np.int32), sample_id).drop("label")
 
 
 def jp2_shape(path: str | Path) -> tuple[int, int]:
@@ -122,21 +121,20 @@ def decode_image(path: str | Path) -> np.ndarray:
     return DECODERS[path.suffix](path.read_bytes())
 
 
-def image_pixels(spark: SparkSession, folder: str, sample_id: str, glob: str = "*.npy", rows: int = 64) -> DataFrame:
-    """(sample_id, channel, y, x, intensity) of a folder's images, a channel per file, decoded where the files are read
-    and handed on in bands of ``rows`` image rows."""
+def image_rows(spark: SparkSession, folder: str, sample_id: str, glob: str = "*.npy", rows: int = 64) -> DataFrame:
+    """(sample_id, channel, y, x0, intensities ARRAY<DOUBLE>) of a folder's images, a channel per file and a row per
+    image row, decoded where the files are read."""
     decoders = dict(DECODERS)
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 p = Path(path)
-                a = decoders[p.suffix](content)
+                a = decoders[p.suffix](content).astype(float)
                 for y0 in range(0, a.shape[0], rows):
                     band = a[y0 : y0 + rows]
-                    y, x = np.divmod(np.arange(band.size), a.shape[1])
-                    yield pd.DataFrame({"channel": p.stem, "y": (y + y0).astype(np.int32), "x": x.astype(np.int32), "intensity": band.ravel().astype(float)})
+                    yield pd.DataFrame({"channel": p.stem, "y": np.arange(y0, y0 + len(band), dtype=np.int32), "intensities": list(band)})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
-    out = files.repartition(F.col("path")).mapInPandas(decode, "channel string, y int, x int, intensity double")
-    return out.select(F.lit(sample_id).alias("sample_id"), "channel", "y", "x", "intensity")
+    out = files.repartition(F.col("path")).mapInPandas(decode, "channel string, y int, intensities array<double>")
+    return out.select(F.lit(sample_id).alias("sample_id"), "channel", "y", F.lit(0).alias("x0"), "intensities")

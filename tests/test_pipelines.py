@@ -91,7 +91,7 @@ def test_sample(sample, sample_dir):
         sample.load_image("nuclear")
     with pytest.raises(ValueError, match="panel"):
         sample.image_path("protein", protein="CD99")
-    assert sample.load_bead_pixels().count() == 15 * W
+    assert sample.load_bead_runs().selectExpr('sum(x1 - x0)').first()[0] == 15 * W
     assert sample.list_content()["dirs"] == ["h_and_e", "protein", "rna", "segmentation", "single_cell_data", "x_viewer"]
     assert sample.validate().ok
     assert len(list(tables.batches(sample.load_feature_table(), 150))) == 3

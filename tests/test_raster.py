@@ -30,10 +30,11 @@ def blobs(seed, n=40):
     return m
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_borders_and_outlines_follow_dilation_and_erosion(spark, seed):
+@pytest.mark.parametrize("seed,tile", [(1, 512), (2, 16), (5, 7)])
+def test_borders_and_outlines_follow_dilation_and_erosion(spark, monkeypatch, seed, tile):
+    monkeypatch.setattr(raster, "TILE", tile)
     m = blobs(seed)
-    p = pixels(spark, m)
+    p = masks.mask_runs(spark, m, "s")
     border = m != np.max([m] + [shift(m, *s, 0) for s in SIDES], axis=0)
     assert {(r.y, r.x) for r in raster.border_pixels(p).collect() if r.y < 40 and r.x < 40} == set(zip(*map(lambda a: a.tolist(), np.nonzero(border))))
     z = np.where(border, 0, m)
@@ -101,6 +102,14 @@ def test_bead_pixels_are_left_out(spark):
     m = np.zeros((4, 4), int)
     m[:, :2], m[:, 2:] = 1, 2
     img = spark.createDataFrame([("s", "c", y, x, float(y * 4 + x)) for y in range(4) for x in range(4)], "sample_id string, channel string, y int, x int, intensity double")
-    beads = spark.createDataFrame([("s", y, x) for y in range(4) for x in (0, 2, 3)], "sample_id string, y int, x int")
-    got = raster.region_means(img, pixels(spark, m), beads).collect()
+    beads = spark.createDataFrame([("s", y, a, b) for y in range(4) for a, b in ((0, 1), (2, 4))], "sample_id string, y int, x0 int, x1 int")
+    got = raster.region_means(raster.pixels_to_image_rows(img), masks.mask_runs(spark, m, "s"), beads).collect()
     assert [(r.label, r.mean_intensity, r.n_pixels) for r in got] == [(1, 7.0, 4)]  # region 2 has no pixel left
+
+
+def test_image_rows_in_parts_with_nulls(spark):
+    m = np.zeros((2, 9), int)
+    m[0, 1:8] = 4
+    rows = [("s", "c", 0, 0, [1.0, 2.0, None]), ("s", "c", 0, 3, [4.0, 5.0, 6.0, 7.0]), ("s", "c", 0, 7, [8.0, 9.0]), ("s", "c", 1, 0, [100.0] * 9)]
+    img = spark.createDataFrame(rows, "sample_id string, channel string, y int, x0 int, intensities array<double>")
+    assert [(r.mean_intensity, r.n_pixels) for r in raster.region_means(img, masks.mask_runs(spark, m, "s")).collect()] == [((2 + 4 + 5 + 6 + 7 + 8) / 6, 6)]
