@@ -5,6 +5,8 @@ Counts are kept long, (label, gene_name, counts); wide tables are made on reques
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +41,15 @@ def cell_by_gene(transcripts: DataFrame) -> DataFrame:
 def zero_completed(counts: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
     """(sample_id, label, gene_name, counts) for every cell and panel gene, 0 where there is none.
 
-    Each cell meets the panel's genes, a list of a few hundred, as an array; nothing but the counts is shuffled.
+    Each cell meets the panel's genes, a list of a few hundred held in the plan; nothing but the counts is shuffled.
     """
-    panel = genes.where("gene_name is not null").agg(F.sort_array(F.collect_set("gene_name")).alias("genes"))
+    names = sorted(r[0] for r in genes.where("gene_name is not null").select("gene_name").distinct().collect())  # a panel
+    if not names:
+        return counts.limit(0)
     g = counts.groupBy("sample_id", "label").agg(F.map_from_entries(F.collect_list(F.struct("gene_name", "counts"))).alias("m"))
-    grid = cells.select("sample_id", "label").distinct().join(g, ["sample_id", "label"], "left").crossJoin(F.broadcast(panel))  # one row of genes
-    return grid.select("sample_id", "label", "m", F.explode("genes").alias("gene_name")).select("sample_id", "label", "gene_name", F.coalesce(F.expr("try_element_at(m, gene_name)"), F.lit(0)).alias("counts"))
+    grid = cells.select("sample_id", "label").distinct().join(g, ["sample_id", "label"], "left")
+    each = grid.select("sample_id", "label", "m", F.explode(F.from_json(F.lit(json.dumps(names)), "array<string>")).alias("gene_name"))
+    return each.select("sample_id", "label", "gene_name", F.coalesce(F.expr("try_element_at(m, gene_name)"), F.lit(0)).alias("counts"))
 
 
 def wide_counts(counts: DataFrame, cells: DataFrame, genes: list[str]) -> DataFrame:
