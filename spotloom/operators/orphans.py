@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotloom.functions.keys import clean_key
-from spotloom.session import broadcast_if_small
 
 #: A block has 64 words of 64 bits; each key sets PROBES bits of one block.
 BLOCK_BITS = 4096
@@ -21,8 +20,8 @@ BITS_PER_KEY = 12
 #: The filter's size bound: 32,768 blocks of 4,096 bits are 16 MB, whatever the number of parents. A fuller filter only
 #: passes more references on to the exact join.
 MAX_BLOCKS = 32_768
-#: Parents with at most so many periods are broadcast to the exact join (under 20 MB); others are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Parents of at most so many rows are broadcast to the exact join (some 4 MB); others are joined by shuffle.
+BROADCAST_ROWS = 20_000
 
 #: Fixed value: a key that says that there is no target.
 NO_TARGET = "undetermined"
@@ -97,22 +96,20 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     probed = refs.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(bloom), "block", "left")
     probed = probed.withColumn("maybe", might_contain(F.col("words"), F.col("key"))).drop("block", "words")
 
-    proven = probed.where(~F.col("maybe")).select("ref_table", "ref_row", "at", F.lit("missing").alias("reason"))
-    periods = broadcast_if_small(validity_periods(parents), n, BROADCAST_ROWS).alias("p")
-    positive = probed.where("maybe").alias("r")
-    invalid = positive.join(
-        periods,
-        (F.col("r.key") == F.col("p.key")) & (F.col("p.since") <= F.col("r.at")) & (F.col("p.until").isNull() | (F.col("r.at") < F.col("p.until"))),
-        "left_anti",
-    )
+    known = (F.col("r.key") == F.col("p.key")) & F.col("r.maybe")
+    valid = (F.col("p.since") <= F.col("r.at")) & (F.col("p.until").isNull() | (F.col("r.at") < F.col("p.until")))
+    periods = validity_periods(parents)
     firsts = parents.groupBy("key").agg(F.min("since").alias("first"), F.count(F.lit(1)).alias("rows"))
-    reasons = invalid.join(broadcast_if_small(firsts, n, BROADCAST_ROWS), "key", "left").select(
-        "ref_table",
-        "ref_row",
-        "at",
-        F.when(F.col("rows").isNull(), "missing").when(F.col("first") > F.col("at"), "late").otherwise("deleted").alias("reason"),
-    )
-    return proven.unionByName(reasons)
+    reason = F.when(F.col("rows").isNull(), "missing").when(F.col("first") > F.col("at"), "late").otherwise("deleted").alias("reason")
+    out = ["ref_table", "ref_row", "at", reason]
+    if n <= BROADCAST_ROWS:
+        # one pass over the references, no shuffle of them; those the filter denies are not looked up any more
+        invalid = probed.alias("r").join(F.broadcast(periods).alias("p"), known & valid, "left_anti")
+        return invalid.alias("r").join(F.broadcast(firsts).alias("p"), known, "left").select(*out)
+    # only references that pass the filter are shuffled
+    proven = probed.where(~F.col("maybe")).select("ref_table", "ref_row", "at", F.lit("missing").alias("reason"))
+    invalid = probed.where("maybe").alias("r").join(periods.alias("p"), known & valid, "left_anti")
+    return proven.unionByName(invalid.join(firsts, "key", "left").select(*out))
 
 
 def orphans_per_period(orphans: DataFrame, unit: str = "day") -> DataFrame:

@@ -74,10 +74,3 @@ def durable(df: DataFrame) -> DataFrame:
     at = os.path.join(shared_dir(spark), "spotloom", uuid.uuid4().hex)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
-
-
-def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are within ``limit``; otherwise as it is, for a shuffled join."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if rows <= limit else df

@@ -21,7 +21,10 @@ def found(spark, refs, parents):
     return {x.ref_row: x.reason for x in orphans.orphan_references(r, p).collect()}
 
 
-def test_reasons(spark):
+@pytest.mark.parametrize("rows", [20_000, 0])
+def test_reasons(spark, monkeypatch, rows):
+    """By either kind of exact join."""
+    monkeypatch.setattr(orphans, "BROADCAST_ROWS", rows)
     parents = [("A", T0, None), ("B", T0, T0 + 5 * H), ("b ", T0 + 5 * H, T0 + 9 * H), ("C", T0 + 3 * H, None), ("D", T0, T0 + H), ("D", T0 + 4 * H, None), (None, T0, None), ("E", None, None), ("A", T0, None)]
     refs = [(" a\t", T0), ("x", T0), (None, T0), ("undetermined ", T0), ("B", T0 + 7 * H), ("B", T0 + 9 * H), ("c", T0), ("d", T0 + 2 * H), ("D", T0 + 4 * H), ("a", T0 - H), ("", T0), ("A", None), ("e", T0), ("C", T0 + 3 * H)]
     assert found(spark, refs, parents) == {1: "missing", 5: "deleted", 6: "late", 7: "deleted", 9: "late", 10: "missing", 11: "deleted", 12: "deleted"}
