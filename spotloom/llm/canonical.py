@@ -61,8 +61,9 @@ def _shape(c: str) -> str | None:
     kind, _, rest = unicodedata.decomposition(c).partition(" ")
     if kind in ("<wide>", "<narrow>", "<compat>") and rest:
         to = "".join(chr(int(x, 16)) for x in rest.split())
-        # of the looser kind only ligatures, numerals made of letters and radicals have the shape of their letters
-        if kind != "<compat>" or all(x.isalpha() for x in to):
+        # of the looser kind only ligatures, numerals made of letters and radicals have the shape of their letters; a single
+        # letter there, such as the long s, is another shape of it
+        if kind != "<compat>" or all(x.isalpha() for x in to) and (len(to) > 1 or unicodedata.category(c) in ("So", "Nl")):
             return "".join(unicodedata.normalize("NFD", x) for x in to)
     return None
 
