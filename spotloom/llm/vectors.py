@@ -185,7 +185,7 @@ def _rank(s: np.ndarray, k: int) -> np.ndarray:
     return (s >= kth[:, None]) & np.isfinite(s)
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 3, min_similarity: float | None = None, key: str = "label", column: str = "vector", closure: float = 0.12, probes: float = 0.25) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int = 3, min_similarity: float | None = None, key: str = "label", column: str = "vector", closure: float = 0.04, probes: float = 0.25) -> DataFrame:
     """(label_a, label_b, similarity): for each vector (a) its k most similar others (b) by cosine.
 
     ``vectors``: (label STRING, vector ARRAY<DOUBLE>). Similarities are rounded to nine decimals; equal ones share a
@@ -198,11 +198,15 @@ def nearest_vectors(vectors: DataFrame, k: int = 3, min_similarity: float | None
     """
     v = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(key).alias("label")).agg(F.min(column).alias("vector"))
     v = durable(v.where(F.exists("vector", lambda e: F.coalesce(e, F.lit(0.0)) != 0)))
-    n, dims = v.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    # vectors travel to their lists in the narrowest type that holds all of them exactly
+    kept = lambda kind: F.bool_and(F.forall("vector", lambda e: e.isNull() | F.coalesce(e.try_cast(kind).cast("double") == e, F.lit(False))))
+    n, dims, short, single = v.agg(F.count(F.lit(1)), F.max(F.size("vector")), kept("smallint"), kept("float")).first()
     if not n:
         return vectors.sparkSession.createDataFrame([], "label_a string, label_b string, similarity double")
+    kind = "smallint" if short else "float" if single else "double"
+    v = v.withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
     x = unit(bounded_sample(v, "label", "vector", dims))
-    graph = CentroidGraph(balanced_centroids(x, max(1, min(CENTROIDS, len(x) // 8, math.ceil(n / LIST)))))
+    graph = CentroidGraph(balanced_centroids(x, max(1, min(CENTROIDS, len(x) // 8, math.ceil(n / (LIST if min_similarity is not None else 2 * LIST))))))
     shared = vectors.sparkSession.sparkContext.broadcast(graph)
     radius = None if min_similarity is None else math.sqrt(max(0.0, 2 - 2 * min_similarity)) + 1e-6
 
@@ -214,7 +218,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 3, min_similarity: float | None
                 post, look = _postings(g, unit(matrix(part.column(1), dims)), radius, closure, probes)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(post, pa.list_(pa.int32())), pa.array(look, pa.list_(pa.int32()))], ["label", "vector", "post", "look"])
 
-    posted = durable(v.mapInArrow(assign, "label string, vector array<double>, post array<int>, look array<int>"))
+    posted = durable(v.mapInArrow(assign, f"label string, vector array<{kind}>, post array<int>, look array<int>"))
     # one row per list: bounded by the number of centroids
     heavy = {r[0]: r[1] for r in posted.select(F.explode("look").alias("list")).groupBy("list").count().where(F.col("count") > QUERIES).collect()}
     parts = F.lit(1)
