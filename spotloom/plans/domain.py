@@ -64,7 +64,9 @@ def nucleus_runs(spark: SparkSession, sf: str) -> DataFrame:
 def image(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of four channel images as wide and high as each sample's raster."""
     size = runs(spark, sf).groupBy("sample_id").agg(F.max("y").alias("h"), F.max("x1").alias("w"))
-    rows = size.select("sample_id", "w", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("y")).repartition("sample_id", "y")
+    # a given number of partitions is kept, where one left open would be merged: the rows are small before they have pixels
+    parts = 4 * spark.sparkContext.defaultParallelism
+    rows = size.select("sample_id", "w", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("y")).repartition(parts, "sample_id", "y")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("c"))
     value = F.expr("transform(sequence(0, w - 1), x -> double((y * 31 + x * 17 + c * 101) % 256))")
     return rows.select("sample_id", F.concat(F.lit("ch"), F.col("c").cast("string")).alias("channel"), "y", F.lit(0).alias("x0"), value.alias("intensities"))
