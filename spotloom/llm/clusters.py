@@ -4,8 +4,8 @@ Density clustering on unit vectors: two cells are linked if their distance is at
 cosine). Space is partitioned by balls of diameter ``eps`` around centres fitted on a bounded sample; all cells of a ball
 are linked without comparing any two of them. Reduced vectors, by a projection that never lengthens a distance, choose
 the balls in whose margin of width ``eps`` a cell lies; there it is compared with the ball's cells, and a link merges the
-two local clusters through that shared cell. Cells outside all balls find each other by random hyperplanes over several
-tables. Links between local clusters are then joined to components by a distributed star contraction.
+two local clusters through that shared cell. Cells outside all balls are dealt to blocks of space and compared with all that
+a block's distance cannot rule out. Links between local clusters are then joined to components by a distributed star contraction.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotloom.llm.vectors import bounded_sample, distances, matrix, unit
+from spotloom.llm.vectors import balanced_centroids, bounded_sample, distances, matrix, unit
 from spotloom.session import durable
 
 #: Rows that the centres are fitted on, at most, and dimensions of the reduced vectors.
@@ -26,9 +26,9 @@ SAMPLE = 6000
 REDUCED = 32
 #: Cells of a ball that one task compares with the ball's margin.
 MEMBERS = 20_000
-#: Hash tables for cells outside all balls, and how many of them a bucket should hold.
-TABLES = 24
-BUCKET = 16
+#: Cells outside all balls that a block should hold, and blocks' centroids at most.
+BLOCK = 4096
+CENTROIDS = 1024
 
 
 class Balls:
@@ -137,46 +137,65 @@ def _links_to_balls(placed: DataFrame, eps: float, dims: int) -> DataFrame:
     return members.unionByName(asking).groupBy("ball", "salt").applyInArrow(compare, "a string, b string")
 
 
-def _links_outside(placed: DataFrame, similarity: float, dims: int) -> DataFrame:
-    """(a, b) among cells outside all balls: those of a bucket of any table that are within reach of each other."""
-    outside = placed.where("home < 0")
+def _links_outside(outside: DataFrame, eps: float, dims: int) -> DataFrame:
+    """(a, b) among cells outside all balls: every cell meets every other that can be within reach, in one block or two.
+
+    Blocks are cells of space around bounded centroids, dealt further where one is too full. Of two blocks only the cells
+    that the distances to their centroids do not rule out meet, so no link depends on chance or on the number of cells.
+    """
+    empty = outside.select(F.lit("").alias("a"), F.lit("").alias("b")).limit(0)
     n = outside.count()
-    bits = max(6, math.ceil(math.log2(max(2, n / BUCKET))))
+    if n < 2:
+        return empty
+    x = unit(bounded_sample(outside, "node", "x", dims, SAMPLE))
+    shared = outside.sparkSession.sparkContext.broadcast(balanced_centroids(x, max(1, min(CENTROIDS, len(x) // 8, math.ceil(n / BLOCK)))))
+    reach, least = eps + 1e-5, 1 - eps * eps / 2 - 1e-6
+    whole = outside.select(F.forall("x", lambda e: e.isNull() | F.coalesce(e.try_cast("smallint").cast("double") == e, F.lit(False))).alias("w")).agg(F.bool_and("w")).first()[0]
+    kind = "smallint" if whole else "double"  # cells travel in the narrower type where it holds them exactly
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        between = distances(c, c)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                p = batch.slice(at, 2048)
+                d = distances(unit(matrix(p.column(1), dims)), c)
+                near = np.argmin(d, axis=1)
+                # a block may hold a cell within reach unless the plane half way to its centroid is farther away
+                meets = d * d - d[np.arange(len(d)), near][:, None] ** 2 <= 2 * reach * between[near] + 1e-9
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(near, pa.int32()), pa.array([np.flatnonzero(m).tolist() for m in meets], pa.list_(pa.int32()))], ["node", "x", "list", "meets"])
+
+    dealt = durable(outside.select("node", F.col("x").cast(f"array<{kind}>").alias("x")).mapInArrow(deal, f"node string, x array<{kind}>, list int, meets array<int>"))
+    # one row per centroid
+    parts = {r[0]: math.ceil(r[1] / (2 * BLOCK)) for r in dealt.groupBy("list").count().collect()}
+    many = F.create_map(*[F.lit(y) for i, c in parts.items() for y in (i, c)])
+    own = F.shiftleft(F.col("list").cast("bigint"), 32) + F.pmod(F.xxhash64("node"), F.try_element_at(many, F.col("list")))
+    rows = dealt.select("node", "x", own.alias("own"), F.explode("meets").alias("list")).where(F.col("list").isin(list(parts)))
+    rows = rows.select("node", "x", "own", "list", F.explode(F.sequence(F.lit(0), F.try_element_at(many, F.col("list")) - 1)).alias("part"))
+    rows = rows.withColumn("with", F.shiftleft(F.col("list").cast("bigint"), 32) + F.col("part"))
+    rows = rows.select("node", "x", (F.col("own") <= F.col("with")).alias("first"), F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"))
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(11).standard_normal((dims, TABLES * bits)).astype(np.float32)
-        weight = (1 << np.arange(bits)).astype(np.int64)
-        for b in batches:
-            u = unit(matrix(b.column(1), dims))
-            # counts are never negative, so all profiles lie on one side; their common part is taken out first
-            u = (u - u.sum(1)[:, None] / dims).astype(np.float32)
-            sign = ((u @ planes) > 0).reshape(len(u), TABLES, bits) @ weight
-            key = sign + (np.arange(TABLES, dtype=np.int64) << 40)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key.tolist(), pa.list_(pa.int64()))], ["node", "x", "keys"])
-
-    def bucket(t: pa.Table) -> pa.Table:
-        if t.num_rows < 2:
-            return pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string())})
+    def compare(t: pa.Table) -> pa.Table:
         t = t.sort_by("node")
         u = unit(matrix(t["x"], dims)).astype(np.float32)
-        nodes = t["node"].to_pylist()
-        left = np.arange(len(u))
+        first = t["first"].to_numpy(zero_copy_only=False)
+        same = t["one"][0].as_py() == t["two"][0].as_py()
+        one, two = np.flatnonzero(first), np.arange(len(u)) if same else np.flatnonzero(~first)
+        other, left = u[two], np.arange(len(u))
         a, b = [], []
-        # each cell is tied to the first of the bucket that it reaches, then to all it reaches of those still loose
-        for s in range(0, len(u), 1024):
-            sim = u[s : s + 1024] @ u.T >= similarity - 1e-6
-            for r in range(len(sim)):
-                i = s + r
-                hit = np.flatnonzero(sim[r, i + 1 :]) + i + 1
+        # each cell is tied to all that it reaches of those that are not yet tied to it
+        for s in range(0, len(one), 1024):
+            near = u[one[s : s + 1024]] @ other.T >= least
+            for i, row in zip(one[s : s + 1024].tolist(), near, strict=True):
+                hit = two[np.flatnonzero(row)]
                 hit = hit[left[hit] != left[i]]
-                a += [nodes[i]] * len(hit)
-                b += [nodes[h] for h in hit]
+                a += [i] * len(hit)
+                b += hit.tolist()
                 left[hit] = left[i]
-        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+        node = t["node"]
+        return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
 
-    keyed = outside.select("node", "x").mapInArrow(keys, "node string, x array<double>, keys array<bigint>")
-    keyed = keyed.select("node", "x", F.explode("keys").alias("key"))
-    return keyed.groupBy("key").applyInArrow(bucket, "a string, b string")
+    return rows.groupBy("one", "two").applyInArrow(compare, "a string, b string")
 
 
 def similarity_groups(cells: DataFrame, similarity: float = 0.85, key: str = "cell_id", counts: str = "x") -> DataFrame:
@@ -204,7 +223,7 @@ def similarity_groups(cells: DataFrame, similarity: float = 0.85, key: str = "ce
 
     placed = durable(c.mapInArrow(place, "cell_id string, x array<double>, node string, home int, inside array<int>, margin array<int>"))
     direct = placed.select(F.col("node").alias("a"), F.explode("inside").alias("ball")).select("a", F.concat(F.lit("b"), F.col("ball").cast("string")).alias("b")).distinct()
-    links = direct.unionByName(_links_to_balls(placed, balls.eps, dims)).unionByName(_links_outside(placed, similarity, dims))
+    links = direct.unionByName(_links_to_balls(placed, balls.eps, dims)).unionByName(_links_outside(placed.where("home < 0"), balls.eps, dims))
     roots = components(links)
     return placed.select("cell_id", "node", "x").join(roots, "node", "left").select("cell_id", "node", F.coalesce("root", "node").alias("root"), "x")
 

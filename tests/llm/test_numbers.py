@@ -173,3 +173,30 @@ def test_components(spark):
             root[y] = x
     got = {r.node: r.root for r in clusters.components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == {n: find(n) for n in list(root)}
+
+
+@pytest.mark.parametrize("block", [4096, 300])
+def test_loose_pairs_outside_all_balls_are_linked(spark, monkeypatch, block):
+    """Chains of three at a cosine just over the least, which no sampled ball holds; also in many blocks."""
+    monkeypatch.setattr(clusters, "SAMPLE", 2)
+    monkeypatch.setattr(clusters, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(1000):
+        base, v, w = np.linalg.qr(rng.standard_normal((130, 3)))[0].T
+        side = math.sqrt(1 - 0.851**2)
+        rows += [(f"c{g:04d}-{i}", x.tolist()) for i, x in enumerate((base, 0.851 * base + side * v, 0.851 * base + side * w))]
+    df = spark.createDataFrame(rows, "cell_id string, x array<double>")
+    got = {tuple(r) for r in clusters.group_members(clusters.similarity_groups(df)).collect()}
+    assert got == {(c, f"{c[:5]}-0") for c, _ in rows}
+
+
+def test_outside_blocks_are_dealt(spark, monkeypatch):
+    """Cells of one place, more than a block may hold, meet across its parts."""
+    rng = np.random.default_rng(9)
+    rows = [(f"c{i:04d}", (100 + rng.uniform(0, 5, 20)).round().tolist(), -1) for i in range(400)] + [("far", [0.0] * 19 + [1.0], -1)]
+    df = spark.createDataFrame(rows, "node string, x array<double>, home int")
+    monkeypatch.setattr(clusters, "BLOCK", 20)
+    monkeypatch.setattr(clusters, "CENTROIDS", 2)
+    roots = {r.node: r.root for r in clusters.components(clusters._links_outside(df, math.sqrt(0.3), 20)).collect()}
+    assert set(roots.values()) == {"c0000"} and len(roots) == 400
