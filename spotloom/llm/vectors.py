@@ -156,24 +156,16 @@ def _postings(graph: CentroidGraph, x: np.ndarray, radius: float | None, closure
     within the radius of it: one whose cell of space comes that close. Without, both are chosen by the ratio of a
     centroid's distance to the nearest's.
     """
-    ids, d = graph.search(x)
     if radius is None:
+        ids, d = graph.search(x)
         post = (d <= (1 + closure) * d[:, :1] + 1e-9) & (ids >= 0)
         look = (d <= (1 + probes) * d[:, :1] + 1e-9) & (ids >= 0)
         return [i[p].tolist() for i, p in zip(ids, post, strict=True)], [i[p].tolist() for i, p in zip(ids, look, strict=True)]
-    first = ids[:, :1]
-    gap = d * d - d[:, :1] ** 2
-    keep = (gap <= 2 * radius * graph.between[first, ids] + 1e-9) & (ids >= 0)
-    out = [i[p].tolist() for i, p in zip(ids, keep, strict=True)]
-    # where the last of the beam still passes there may be more: those rows are held against all centroids
-    full = np.flatnonzero(keep[:, -1] & (ids.shape[1] < len(graph.c)))
-    if len(full):
-        dd = distances(x[full], graph.c)
-        near = np.argmin(dd, axis=1)
-        ok = dd * dd - dd[np.arange(len(full)), near][:, None] ** 2 <= 2 * radius * graph.between[near] + 1e-9
-        for r, n_, o in zip(full, near, ok, strict=True):
-            rest = np.flatnonzero(o)
-            out[r] = [int(n_)] + [int(i) for i in rest if i != n_]
+    # the rule holds for the true nearest centroid only, so all distances are taken, not those of a search
+    d = distances(x, graph.c)
+    near = np.argmin(d, axis=1)
+    keep = d * d - d[np.arange(len(d)), near][:, None] ** 2 <= 2 * radius * graph.between[near] + 1e-9
+    out = [[int(n), *(i for i in np.flatnonzero(k).tolist() if i != n)] for n, k in zip(near, keep, strict=True)]
     return out, [o[:1] for o in out]
 
 

@@ -77,6 +77,36 @@ def test_close_vectors_are_all_found(spark, monkeypatch, list_size, queries):
         assert len(got) == len(set(got)) and set(got) == brute(m, labels, 3, least)
 
 
+def test_close_vectors_are_all_found_with_many_centroids():
+    """960 centroids of 16 gene-permuted copies: of two vectors within the radius, each is posted to the list the other
+    looks into, which is its true nearest."""
+    rng = np.random.default_rng(12)
+    main = rng.gamma(0.3, 1, 130)
+    one = main * rng.lognormal(0, 1, (60, 130))
+    genes = [rng.permutation(130) for _ in range(16)]
+    c = vectors.unit(np.concatenate([one[:, g] for g in genes]))
+    x = vectors.unit(np.concatenate([(one[rng.integers(0, 60, 200)] * rng.lognormal(0, 1, (200, 130)))[:, g] for g in genes]))
+    y = vectors.unit(x * rng.lognormal(0, 0.02, x.shape))
+    graph, radius = vectors.CentroidGraph(c), math.sqrt(2 - 2 * 0.9995) + 1e-6
+    (post, look), (post_y, look_y) = (vectors._postings(graph, z, radius, 0.04, 0.25) for z in (x, y))
+    for z, at in ((x, look), (y, look_y)):
+        assert [o for (o,) in at] == np.argmin(vectors.distances(z, c), axis=1).tolist()
+    close = np.flatnonzero((x * y).sum(1) >= 0.9995)
+    assert len(close) > 1000 and all(look[i][0] in post_y[i] and look_y[i][0] in post[i] for i in close)
+
+
+def test_close_pairs_against_brute_force_with_many_centroids(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LIST", 10)
+    rng = np.random.default_rng(13)
+    base = np.kron(np.eye(24), rng.gamma(0.5, 40, (1, 5)))[rng.integers(0, 24, 700)]
+    m = np.repeat(rng.poisson(base + rng.gamma(0.3, 2, base.shape)) + 0.0, 2, 0)
+    m[1::2] *= 3
+    m[1::2, 0] += rng.integers(0, 3, 700)
+    labels = [f"v{i:04d}" for i in range(len(m))]
+    got = {(r.label_a, r.label_b) for r in vectors.nearest_vectors(table(spark, m), 3, 0.9995).collect()}
+    assert got == brute(m, labels, 3, 0.9995)
+
+
 def test_recall_without_a_radius(spark, monkeypatch):
     monkeypatch.setattr(vectors, "LIST", 40)
     m = clumps(3)
