@@ -4,7 +4,9 @@ Two steps bring a text to its form. First every sign is read: invisible characte
 composed and decomposed accents are one, and a letter, digit or mark becomes the sign whose shape it has. Then the words
 are matched against a trie of the corpus' own frequent words by a weighted edit automaton, in which look-alikes and
 invisible characters cost nothing and every other edit is refused; a word that reads like an entry takes the entry's
-spelling, all others are spelled by the table. So Cyrillic text stays Cyrillic, and a Latin word with a Cyrillic letter
+spelling, all others are spelled by their script: a word with a letter that only one other script has is put into that
+script where all its letters have a form there, any other is spelled by the table. The trie holds every word that its
+script would not spell so, whatever their number. So Cyrillic text stays Cyrillic, and a Latin word with a Cyrillic letter
 becomes Latin. Accents, letter case, and raised or circled signs are kept apart.
 """
 
@@ -88,6 +90,28 @@ def read_signs(text: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(table)).translate(table))
 
 
+#: Letters that stand for others' shapes, back to those of each script; of several the first.
+BACK = {n: {ord(b): a for a, b in reversed([*zip(own, latin, strict=True)])} for n, own, latin in (("CYRILLIC", CYRILLIC, CYRILLIC_LATIN), ("GREEK", GREEK, GREEK_LATIN), ("ARMENIAN", ARMENIAN, ARMENIAN_LATIN))}
+
+
+@lru_cache(65_536)
+def _script(c: str) -> str:
+    return unicodedata.name(c, "?").split()[0]
+
+
+def script_spelling(read: str) -> str:
+    """A word, as it reads, in the one other script that its letters show; as it reads if they show none or several, or
+    if a letter has no form in that script."""
+    if read.isascii():
+        return read
+    parts = unicodedata.normalize("NFD", read)
+    scripts = {_script(c) for c in parts if c.isalpha()} - {"LATIN"}
+    back = BACK.get(next(iter(scripts))) if len(scripts) == 1 else None
+    if back is None or any(c.isalpha() and _script(c) == "LATIN" and ord(c) not in back for c in parts):
+        return read
+    return unicodedata.normalize("NFC", parts.translate(back))
+
+
 class SpellingTrie:
     """Words in a trie over the signs they read as; an entry is the spelling that is preferred for them.
 
@@ -138,21 +162,30 @@ def canonical_text(text: str, trie: SpellingTrie | None, cache: dict | None = No
         if (to := cache.get(w)) is None:
             if len(cache) > 200_000:
                 cache.clear()
-            cache[w] = to = trie.spell(w) or w
+            cache[w] = to = trie.spell(w) or script_spelling(w)
         return to
 
     return _WORD.sub(word, read)
 
 
-def frequent_words(texts: DataFrame, column: str = "text", words: int = 20_000) -> list[tuple[str, int]]:
-    """The corpus' most frequent words outside plain ASCII, counted over all texts; at most ``words`` reach the driver.
+def frequent_words(texts: DataFrame, column: str = "text") -> list[tuple[str, int]]:
+    """The words outside plain ASCII, counted over all texts, that are not spelled so without an entry.
 
-    ASCII words read as themselves and need no entry. This only chooses spellings: which texts read alike does not
-    depend on it.
+    Of the clean words that read alike the most frequent is taken, then the smallest; it is left out where its script
+    gives the same spelling. All others reach the driver, so a word's spelling does not depend on how many there are.
+    They are words made wholly of look-alikes, and few. ASCII words read as themselves and need no entry. This only
+    chooses spellings: which texts read alike does not depend on it.
     """
-    w = texts.select(F.explode(F.expr(rf"regexp_extract_all({column}, '[\\p{{L}}\\p{{M}}]+', 0)")).alias("w")).where(r"w rlike '[^\\x00-\\x7f]' and length(w) <= 64")
-    counted = w.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words).collect()
-    return [(r["w"], r["count"]) for r in counted if clean_word(r["w"])]
+    w = texts.select(F.explode(F.expr(rf"regexp_extract_all({column}, '[\\p{{L}}\\p{{M}}]+', 0)")).alias("w")).where(r"w rlike '[^\\x00-\\x7f]'")
+
+    @F.pandas_udf("read string, other boolean")
+    def reads(words: pd.Series) -> pd.DataFrame:
+        got = [(r := read_signs(w), script_spelling(r) != w) if clean_word(w) else (None, False) for w in words]
+        return pd.DataFrame(got, columns=["read", "other"])
+
+    counted = w.groupBy("w").count().select("w", "count", reads("w").alias("r")).where("r.read is not null")
+    best = counted.groupBy("r.read").agg(F.min(F.struct((-F.col("count")).alias("c"), "w", "r.other")).alias("b"))
+    return [(r["w"], -r["c"]) for r in best.select("b.*").where("other").select("w", "c").collect()]
 
 
 def canonical_column(texts: DataFrame, text: str = "text", out: str = "canonical", words: list[tuple[str, int]] | None = None) -> DataFrame:

@@ -56,6 +56,18 @@ def test_many_copies_of_one_text_are_no_pairs(spark):
     assert len(got) == 3000 and all(r["doc_b"] == 5000 for r in got)
 
 
+def test_spelling_does_not_depend_on_the_number_of_words(spark):
+    """More words than a list of 20,000 would hold, each twice, and CJK runs; then words that occur once."""
+    many = ["ж" + "".join(chr(0x431 + int(d)) for d in f"{i:05d}") for i in range(20_001)]
+    runs = ["".join(chr(0x4E00 + int(d)) for d in f"{i:05d}") for i in range(2000)]
+    texts = [" ".join(many), " ".join(many + runs + runs), "сенокос, ворон Νίκη սոխ СТО côté МОСТ ёж Үр " + "сор" * 30, "вopoн cенo"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    words = canonical.frequent_words(df)
+    got = {r["doc_id"]: r["canonical"] for r in canonical.canonical_column(df, words=words).collect()}
+    assert [got[i] for i in range(3)] == texts[:3] and got[3] == "ворон сено"
+    assert {w for w, _ in words} == {"СТО", "МОСТ", "Үр", "сор" * 30}
+
+
 # tokens
 
 
