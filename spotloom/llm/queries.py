@@ -50,7 +50,7 @@ def p5_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 def _daily(spark: SparkSession, sf: str, name: str, at: str, value: str) -> DataFrame:
     rows = table(spark, sf, name).where(f"{value} >= 0").select("sample_id", F.date_format(at, "yyyy-MM-dd").alias("day"), value)
-    return sketch.build_sketch(rows, ["sample_id", "day"], value)
+    return sketch.build_sketch(rows, ["sample_id", "day"], value, infinite=True)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Relative error of a percentile's value, and the size below which a value counts as zero.
 ERROR = 0.0005
 TINY = 1e-9
+#: Number of the outermost buckets, those of the infinities.
+OUTERMOST = 2**31 - 1
 
 
 def _gamma(error: float) -> float:
@@ -26,18 +28,18 @@ def bucket(value: Column, error: float = ERROR) -> tuple[Column, Column]:
     """(sign -1, 0 or 1, bucket number) of a value; ordered by value as (sign, sign * number)."""
     size = F.abs(value)
     sign = F.when(size < TINY, 0).when(value > 0, 1).otherwise(-1)
-    return sign, F.when(size < TINY, 0).otherwise(F.ceil(F.log(size) / math.log(_gamma(error)))).cast("int")
+    return sign, F.when(size < TINY, 0).when(size == float("inf"), OUTERMOST).otherwise(F.ceil(F.log(size) / math.log(_gamma(error)))).cast("int")
 
 
-def build_sketch(rows: DataFrame, groups: list[str], value: str, error: float = ERROR) -> DataFrame:
+def build_sketch(rows: DataFrame, groups: list[str], value: str, error: float = ERROR, infinite: bool = False) -> DataFrame:
     """(groups, sign, bucket, n): counts over all finite non-null values of each group.
 
-    Null, NaN and infinite values are not counted. Null group keys are a group of their own. Rows are combined before
+    Null and NaN are not counted, infinities only if ``infinite`` is set, each sign in an outermost bucket of its own. Null group keys are a group of their own. Rows are combined before
     the shuffle, so a group with most of all rows is no burden: it has at most its number of buckets per task.
     """
     v = F.col(value).cast("double")
     sign, no = bucket(v, error)
-    kept = rows.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    kept = rows.where(v.isNotNull() & ~F.isnan(v) & (F.lit(infinite) | (F.abs(v) < float("inf"))))
     return kept.groupBy(*groups, sign.alias("sign"), no.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 

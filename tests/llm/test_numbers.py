@@ -34,6 +34,22 @@ def test_percentiles_are_within_the_error_and_add_up(spark):
     assert sketch.percentiles(sketch.build_sketch(df.limit(0), ["g"], "v"), ["g"], shares).count() == 0
 
 
+def test_infinite_values_count(spark, tmp_path):
+    from spotloom.llm import queries
+
+    inf = float("inf")
+    at = "timestamp'2024-05-01 10:00:00'"
+    area = [("a", v) for v in (1.0, 2.0, inf, inf, inf)] + [("b", v) for v in (1.0, 2.0, 3.0, inf, -inf, float("nan"))]
+    score = [("a", 0.1)] * 9 + [("b", 0.1)] * 8 + [("b", inf)] * 2 + [("a", -inf)]
+    for name, column, day, rows in (("cell_metadata", "nuclei_area_um", "segmented_at", area), ("transcript_table", "confidence_score", "recorded_at", score)):
+        spark.createDataFrame(rows, f"sample_id string, {column} double").selectExpr("*", f"{at} as {day}").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {tuple(r) for r in queries.p6_found(spark, str(tmp_path)).collect()}
+    assert got == {("cell_metadata", "a", "2024-05-01"), ("transcript_table", "a", "2024-05-01")}
+    df = spark.createDataFrame([("g", v) for v in (-inf, 1.0, inf)], "g string, v double")
+    p = {r.share: r.value for r in sketch.percentiles(sketch.build_sketch(df, ["g"], "v", infinite=True), ["g"], [0.0, 1.0]).collect()}
+    assert p == {0.0: -inf, 1.0: inf}
+
+
 # nearest vectors
 
 
