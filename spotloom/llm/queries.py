@@ -139,4 +139,16 @@ with v as (
 select source_table, sample_id, day from r
 where i = greatest(1, cast(ceil(n * q - 1e-9) as bigint)) and ((source_table = 'transcript_table' and x < 0.7) or (source_table = 'cell_metadata' and x > 45))
 """
-ORACLE = {"p3_found": _P3, "p5_found": _P5, "p6_found": _P6}
+
+
+def _p6_all(table: str, column: str, name: str) -> str:
+    # the same buckets: of relative width (1 + e) / (1 - e), e = 0.0005, read off by rank, given by their middle
+    g = "(1.0005::double / 0.9995::double)"
+    return f"""{name}_b as (select sample_id, cast(case when {column} < 1e-9 then -1000000 when isinf({column}) then 1000000 else ceil(ln({column}) / ln({g})) end as int) as b, count(*) as c from {table} where {column} is not null and not isnan({column}) and {column} >= 0 group by all),
+{name}_u as (select *, sum(c) over (partition by sample_id order by b) as upto, sum(c) over (partition by sample_id) as n from {name}_b),
+{name} as (select u.sample_id, q as share, case when b = -1000000 then 0.0::double when b = 1000000 then 'infinity'::double else 2 / ({g} + 1) * pow({g}, b) end as value, cast(n as bigint) as n, '{table}' as source_table
+  from {name}_u u, (values (0.1::double), (0.5::double), (0.9::double), (0.99::double)) s(q) where upto >= greatest(1, ceil(n * q - 1e-9)) and upto - c < greatest(1, ceil(n * q - 1e-9)))"""
+
+
+_P6_ALL = f"with {_p6_all('transcript_table', 'confidence_score', 'score')}, {_p6_all('cell_metadata', 'nuclei_area_um', 'area')} select * from score union all select * from area"
+ORACLE = {"p3_found": _P3, "p5_found": _P5, "p6_found": _P6, "p6_percentiles": _P6_ALL}

@@ -1,7 +1,8 @@
 """Encoding with a public byte-level BPE vocabulary.
 
-Two tiers: a minimal perfect hash over the vocabulary resolves pre-tokens that are entries as a whole; a pre-token that
-is none is split into its bytes, held in a linked list, and merged lowest rank first with a heap. Both give the ids of
+Two tiers: a minimal perfect hash over the vocabulary resolves pre-tokens that are entries as a whole, all distinct ones of
+a batch at once; a pre-token that is none is split into its bytes, held in a linked list, and merged lowest rank first with
+a heap. Both give the ids of
 ordinary byte-pair encoding, since a pre-token that is an entry is always merged into it or kept apart by rank alone,
 which the build step checks entry by entry.
 """
@@ -12,6 +13,7 @@ import base64
 import heapq
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,76 +23,75 @@ from pyspark.sql import DataFrame
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that cuts a text into pre-tokens, part of the vocabulary's definition.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens outside the vocabulary that a task remembers before it forgets all.
-REMEMBERED = 300_000
+#: Characters of texts that are encoded together.
+CHARACTERS = 4_000_000
 
 
 class PerfectHash:
-    """A minimal perfect hash by displacement: keys are dealt to buckets, and each bucket, fullest first, gets the first
-    seed that sends its keys to free slots. The slot's own key is compared at look-up, so strangers are recognised."""
-
-    def __init__(self, keys: list[bytes], load: int = 4):
-        import xxhash
-
-        self.n = len(keys)
-        self.buckets = max(1, self.n // load)
-        first = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, self.n)
-        bucket = (first % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        starts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        self.seeds = np.zeros(self.buckets, np.int64)
-        self.slots: list[int] = [-1] * self.n
-        self.keys: list[bytes | None] = [None] * self.n
-        free = np.ones(self.n, bool)
-        for b in sorted(range(self.buckets), key=lambda b: starts[b] - starts[b + 1]):
-            own = order[starts[b] : starts[b + 1]]
-            if not len(own):
-                break
-            if len(own) == 1:
-                # single keys fill what is left: a negative seed names the slot
-                continue
-            seed = 0
-            while True:
-                at = [self._mix(int(first[i]), seed) for i in own]
-                if len(set(at)) == len(at) and all(free[a] for a in at):
-                    break
-                seed += 1
-            self.seeds[b] = seed
-            for i, a in zip(own, at, strict=True):
-                free[a] = False
-                self.slots[a], self.keys[a] = int(i), keys[i]
-        left = iter(np.flatnonzero(free).tolist())
-        for b in range(self.buckets):
-            own = order[starts[b] : starts[b + 1]]
-            if len(own) == 1:
-                a = next(left)
-                self.seeds[b] = -a - 1
-                self.slots[a], self.keys[a] = int(own[0]), keys[own[0]]
-        self.seeds = self.seeds.tolist()
-        self._hash = xxhash.xxh3_64_intdigest
-
-    def _mix(self, h: int, seed: int) -> int:
-        h = (h ^ (seed * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF
-        h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-        return (h ^ (h >> 29)) % self.n
-
-    def find(self, key: bytes) -> int:
-        """The key's place in the list it was built from, or -1."""
-        if not self.n:
-            return -1
-        h = self._hash(key)
-        seed = self.seeds[h % self.buckets]
-        at = -seed - 1 if seed < 0 else self._mix(h, seed)
-        return self.slots[at] if self.keys[at] == key else -1
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_hash"}
-
-    def __setstate__(self, state):
-        import xxhash
-
-        self.__dict__ |= state
-        self._hash = xxhash.xxh3_64_intdigest
+    """A minimal perfect hash in levels: a key whose place in a level's bit field no other key has stays there, the rest
+    go on to the next, smaller field. A key's number is the count of set bits before its own, so numbers are dense. The
+    number's own key is compared at look-up, so strangers are recognised. Everything is an array: it is built at once on
+    the driver and sent to the tasks as it is, and whole columns of keys are looked up together.
+    """
+
+    def __init__(self, keys: list[bytes], spread: float = 2.0):
+        first = _hashes(keys)
+        if len(np.unique(first)) != len(keys):
+            raise ValueError("two keys are equal, or have one hash")
+        self.sizes: list[int] = []
+        fields: list[np.ndarray] = []
+        left = np.arange(len(keys))
+        while len(left):
+            size = max(64, int(spread * len(left)))
+            at = _mix(first[left], len(self.sizes), size)
+            alone = np.bincount(at, minlength=size) == 1
+            self.sizes.append(size)
+            fields.append(alone)
+            left = left[~alone[at]]
+        self.bits = np.concatenate(fields) if fields else np.zeros(0, bool)
+        self.rank = np.cumsum(self.bits) - self.bits
+        self.first = np.zeros(len(keys), np.uint64)
+        self.own: list[bytes] = [b""] * len(keys)
+        self.place = np.zeros(len(keys), np.int64)
+        number = self._numbers(first)
+        self.first[number], self.place[number] = first, np.arange(len(keys))
+        for n, k in zip(number.tolist(), keys, strict=True):
+            self.own[n] = k
+
+    def _numbers(self, first: np.ndarray) -> np.ndarray:
+        """Each hash's number, or -1 where no level has it alone."""
+        out = np.full(len(first), -1)
+        todo, base = np.arange(len(first)), 0
+        for level, size in enumerate(self.sizes):
+            at = base + _mix(first[todo], level, size)
+            hit = self.bits[at]
+            out[todo[hit]] = self.rank[at[hit]]
+            todo, base = todo[~hit], base + size
+        return out
+
+    def find(self, keys: list[bytes]) -> np.ndarray:
+        """Each key's place in the list that the hash was built from, or -1."""
+        first = _hashes(keys)
+        number = self._numbers(first)
+        hit = np.flatnonzero(number >= 0)
+        hit = hit[self.first[number[hit]] == first[hit]]
+        own = self.own
+        hit = [i for i, n in zip(hit.tolist(), number[hit].tolist(), strict=True) if own[n] == keys[i]]
+        out = np.full(len(keys), -1)
+        out[hit] = self.place[number[hit]]
+        return out
+
+
+def _hashes(keys: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+
+
+def _mix(h: np.ndarray, level: int, size: int) -> np.ndarray:
+    h = h ^ np.uint64((level * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(size)).astype(np.int64)
 
 
 def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -127,68 +128,92 @@ def load_ranks(name: str, path: str = TOKENIZERS) -> dict[bytes, int]:
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int]):
-        import regex
+    """Ids of texts. It is plain data, built once where the job is put together, so that tasks need no vocabulary file."""
 
+    def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         # a whole pre-token is its own id only if its bytes merge into it
-        self.words = [w for w in ranks if merge_bytes(w, ranks) == [ranks[w]]]
-        self.ids = [ranks[w] for w in self.words]
-        self.table = PerfectHash(self.words)
-        self.known: dict[str, list[int]] = {}
-        self._cut = regex.compile(PATTERN).findall
-
-    def word(self, piece: str) -> list[int]:
-        raw = piece.encode("utf-8", "replace")
+        words = [w for w in ranks if merge_bytes(w, ranks) == [ranks[w]]]
+        self.ids = np.array([ranks[w] for w in words], np.int32)
+        self.table = PerfectHash(words)
+
+    def words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces end to end, number of ids of each): by the perfect hash where a piece is an entry, else by
+        merging its bytes."""
+        raw = [p.encode("utf-8", "replace") for p in pieces]
         at = self.table.find(raw)
-        return [self.ids[at]] if at >= 0 else merge_bytes(raw, self.ranks)
+        many = np.ones(len(raw), np.int64)
+        misses = np.flatnonzero(at < 0).tolist()
+        merged = [merge_bytes(raw[i], self.ranks) for i in misses]
+        many[misses] = [len(m) for m in merged]
+        out = np.empty(int(many.sum()), np.int32)
+        start = np.cumsum(many) - many
+        out[start[at >= 0]] = self.ids[at[at >= 0]]
+        for i, m in zip(start[misses].tolist(), merged, strict=True):
+            out[i : i + len(m)] = m
+        return out, many
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of ids of each). Each distinct pre-token of the texts is looked up once."""
+        cut = _cutter()
+        known: dict[str, int] = {}
+        codes: list[int] = []
+        ends = [0]
+        for t in texts:
+            if t:
+                codes += [known.setdefault(p, len(known)) for p in cut(t)]
+            ends.append(len(codes))
+        ids, many = self.words(list(known))
+        code = np.array(codes, np.int64)
+        n = many[code]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        # the ids of a piece lie together: positions run on within a piece and jump between pieces
+        start = (np.cumsum(many) - many)[code]
+        at = np.repeat(start - upto[:-1], n) + np.arange(upto[-1])
+        return ids[at], np.diff(upto[ends])
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for piece in self._cut(text):
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                ids = self.word(piece)
-                if len(piece) < 64:
-                    known[piece] = ids
-            out += ids
-        return out
+        return self.encode_all([text])[0].tolist()
+
 
+@lru_cache(1)
+def _cutter():
+    import regex
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+    return regex.compile(PATTERN).findall
 
 
-def _encoder(name: str, path: str) -> Encoder:
-    """One per worker process; a later task finds it ready."""
-    if (name, path) not in _encoders:
-        _encoders[name, path] = Encoder(load_ranks(name, path))
-    return _encoders[name, path]
+@lru_cache(4)
+def encoder(name: str = "byte_bpe_50k", path: str = TOKENIZERS) -> Encoder:
+    return Encoder(load_ranks(name, path))
 
 
 def encode_corpus(texts: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", path: str = TOKENIZERS) -> DataFrame:
     """(key, ids ARRAY<INT>): the ids of each whole text, without special tokens; strings of special tokens are text.
 
     A null text and an empty text have no ids: both give an empty list. Every row gives one row, repeated keys included.
-    The vocabulary is read from ``path`` by each worker once. No row is shuffled.
+    The vocabulary is read from ``path`` once, on the driver, and sent with its hash to the tasks: a vocabulary is of
+    fixed size. No row is shuffled.
     """
     schema = pa.schema([("k", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    shared = texts.sparkSession.sparkContext.broadcast(encoder(vocabulary, path))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(vocabulary, path)
+        enc = shared.value
         for batch in batches:
-            # lists of a batch lie end to end; offsets are of 32 bits, so a batch is cut before they run out
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                ids: list[int] = []
-                ends = [0]
-                for t in part.column(1).to_pylist():
-                    if t:
-                        ids += enc.encode(t)
-                    ends.append(len(ids))
-                values = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), values], schema=schema)
+            column = batch.column(1).to_pylist()
+            # texts are taken together up to a number of characters, so that a batch of long ones stays small
+            at = 0
+            while at < len(column):
+                to, size = at, 0
+                while to < len(column) and (to == at or size < CHARACTERS):
+                    size += len(column[to] or "")
+                    to += 1
+                ids, many = enc.encode_all(column[at:to])
+                ends = np.concatenate([[0], np.cumsum(many)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), lists], schema=schema)
+                at = to
 
     out = texts.selectExpr(f"cast(`{key}` as bigint) as k", f"`{text}` as t").mapInArrow(work, "k bigint, ids array<int>")
     return out.withColumnRenamed("k", key)

@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,10 +79,25 @@ def encoder():
 
 def test_every_entry_is_found_and_no_stranger(encoder):
     t = encoder.table
-    assert sorted(t.slots) == list(range(len(encoder.words)))  # minimal: every slot taken once
-    assert all(t.find(w) == i for i, w in enumerate(encoder.words))
-    assert all(t.find(w + b"\x00q") == -1 for w in encoder.words[:5000])
-    assert tokens.PerfectHash([]).find(b"a") == -1 and tokens.PerfectHash([b"a"]).find(b"a") == 0
+    n = len(t.own)
+    assert n > 50_000 and int(t.bits.sum()) == n and sorted(t.place.tolist()) == list(range(n))  # minimal: dense numbers
+    words = [t.own[i] for i in np.argsort(t.place)]
+    assert t.find(words).tolist() == list(range(n))
+    assert (t.find([w + b"\x00q" for w in words[:5000]]) == -1).all()
+    assert tokens.PerfectHash([]).find([b"a"]).tolist() == [-1] and tokens.PerfectHash([b"a"]).find([b"a", b"b", b""]).tolist() == [0, -1, -1]
+    with pytest.raises(ValueError, match="equal"):
+        tokens.PerfectHash([b"a", b"a"])
+
+
+def test_tasks_need_no_vocabulary_file(spark, encoder, monkeypatch):
+    """What is sent to the tasks is the encoder itself, as plain data."""
+    import pickle
+
+    copy = pickle.loads(pickle.dumps(encoder))
+    assert len(pickle.dumps(encoder)) < 10_000_000
+    monkeypatch.setattr(tokens, "load_ranks", None)
+    ids, many = copy.encode_all(["an example", None, "", "zqxj", "an example"])
+    assert many.tolist() == [2, 0, 0, len(encoder.encode("zqxj")), 2] and ids[:2].tolist() == ids[-2:].tolist()
 
 
 @settings(max_examples=200, deadline=None)
