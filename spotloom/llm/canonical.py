@@ -1,13 +1,16 @@
 """One consistent form for text that reads alike.
 
-Two steps bring a text to its form. First every sign is read: invisible characters go, blanks of any kind are a space,
-composed and decomposed accents are one, and a letter, digit or mark becomes the sign whose shape it has. Then the words
-are matched against a trie of the corpus' own frequent words by a weighted edit automaton, in which look-alikes and
-invisible characters cost nothing and every other edit is refused; a word that reads like an entry takes the entry's
-spelling, all others are spelled by their script: a word with a letter that only one other script has is put into that
-script where all its letters have a form there, any other is spelled by the table. The trie holds every word that its
-script would not spell so, whatever their number. So Cyrillic text stays Cyrillic, and a Latin word with a Cyrillic letter
-becomes Latin. Accents, letter case, and raised or circled signs are kept apart.
+A text is cut into tokens and what stands between them. Each token, as it stands, walks a trie of the corpus' own spellings
+by a weighted edit automaton: a sign passes an edge of the same shape at no cost, whatever its script, width or way of
+composition, an ignorable passes none at no cost, and any other edit costs one, which is more than is allowed. The states
+alive are the nodes that the token may have reached, several where spellings of different scripts share a shape. A token
+that ends at an entry takes the entry's spelling. Only what matches nothing, and what stands between tokens, is put into
+its form by the table of shapes: invisible characters go, blanks of any kind are a space, composed and decomposed accents
+are one, and a letter, digit or mark becomes the sign that stands for its shape; a word with a letter that only one other
+script has is put into that script where all its letters have a form there.
+
+Two texts have one form if and only if they read alike, whatever the entries: these choose spellings. Accents, letter case,
+and raised or circled signs are kept apart.
 """
 
 from __future__ import annotations
@@ -20,33 +23,60 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-#: Letters of one shape, each string against the Latin letters below it.
-CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜһасеіјорѕухԁԛԝѵӏ"
-CYRILLIC_LATIN = "ABESIJKMHOPCTYXYGQWhaceijopsyxdqwvl"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρϳϲ"
-GREEK_LATIN = "ABEZHIKMNOPTYXovpjc"
-ARMENIAN = "օսոհցՕՍ"
-ARMENIAN_LATIN = "ounhgOU"
+from pyspark.sql import types as T
+
+from spotloom.session import durable
+
+#: Fixed values, after the public tables of confusable characters: letters of one shape, each string of a script against
+#: the letters and digits below it that stand for the shapes.
+CYRILLIC = "АВЕЅІЈКМНОРСТУХҮԌԚԜѴӀһасеіјорѕухԁԛԝѵӏҽ"
+CYRILLIC_LATIN = "ABESIJKMHOPCTYXYGQWVIhaceijopsyxdqwvle"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγινορϳϲ"
+GREEK_LATIN = "ABEZHIKMNOPTYXayivopjc"
+ARMENIAN = "օսոհցզյՕՍՏԼ"
+ARMENIAN_LATIN = "ounhgqjOUSL"
+CHEROKEE = "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏎᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ"
+CHEROKEE_LATIN = "DRTiAJEWMHYGZ4bRWSVSLCPKdGB"
+LISU = "ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LISU_LATIN = "BPdDTGKJCZFMNLSRVHWXYAEIOU"
+COPTIC = "ⲂⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬ"
+COPTIC_LATIN = "BHIKMNOoPpCcTYX"
+LATIN = "ɑɡ"
+LATIN_LATIN = "ag"
+ARABIC = "۰۱۲۳۷۸۹ی"
+ARABIC_SHAPE = "٠١٢٣٧٨٩ى"
+SCRIPTS = {"CYRILLIC": (CYRILLIC, CYRILLIC_LATIN), "GREEK": (GREEK, GREEK_LATIN), "ARMENIAN": (ARMENIAN, ARMENIAN_LATIN), "CHEROKEE": (CHEROKEE, CHEROKEE_LATIN), "LISU": (LISU, LISU_LATIN), "COPTIC": (COPTIC, COPTIC_LATIN), "LATIN": (LATIN, LATIN_LATIN), "ARABIC": (ARABIC, ARABIC_SHAPE)}
 #: Marks of one shape, and the mark that stands for them.
-MARKS = {"‐": "-", "‑": "-", "﹣": "-", "ʼ": "’", "⁄": "/", "∕": "/", "∶": ":", "։": ":", "ǀ": "|", "∣": "|", "‧": "·", "⋅": "·"}
+MARKS = {"‐": "-", "‑": "-", "﹣": "-", "ʼ": "’", "⁄": "/", "∕": "/", "∶": ":", "։": ":", "꞉": ":", "ꓽ": ":", "ǀ": "|", "∣": "|", "‧": "·", "⋅": "·", "․": ".", "ꓸ": ".", "‚": ",", "ꓹ": ",", "ǃ": "!", "ʹ": "′"}
 #: Characters that read as nothing though they are letters or marks by category.
 IGNORABLE = "͏ᅟᅠ឴឵ㅤﾠ"
 
-_WORD = re.compile(r"[^\W_]+", re.UNICODE)
+#: Entries that are sent to every task, at most; beyond, each row is joined with the entries its own tokens may reach.
+ENTRIES = 500_000
 
 
-#: Small letters that have no Latin look-alike themselves but whose capitals have, against that in small.
-FOLDED = "вмнткαβεζηικμτυχ"
-FOLDED_LATIN = "bmhtkabezhikmtyx"
+def fold_signs(text: str) -> str:
+    """Like ``read_signs`` with letter case ignored too: a letter also reads as its look-alike of the other case does."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_folded))
 
 
-def fold_signs(text: str) -> str:
-    """Like ``read_signs`` with letter case ignored too: a small letter also reads as its capital's look-alike does."""
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", read_signs(text).casefold()).translate(_FOLD))
+class _Folded(dict):
+    """What each sign of a decomposed text reads as in one case, found when first asked for."""
+
+    def __missing__(self, o: int) -> str:
+        self[o] = to = unicodedata.normalize("NFD", unicodedata.normalize("NFD", read_signs(chr(o)).casefold()).translate(_fold_table()))
+        return to
 
 
-_FOLD = str.maketrans(FOLDED, FOLDED_LATIN)
+_folded = _Folded()
+
+
+@lru_cache(1)
+def _fold_table() -> dict[int, str]:
+    """Letters that have no look-alike themselves but whose capitals have, against that in small."""
+    table = shape_table()
+    pairs = [(a.casefold(), b.casefold()) for own, latin in SCRIPTS.values() for a, b in zip(own, latin, strict=True)]
+    return {ord(a): b for a, b in pairs if len(a) == 1 and a != b and (ord(a) not in table or a in CHEROKEE)}
 
 
 def _ignorable(c: str) -> bool:
@@ -75,7 +105,7 @@ def shape_table() -> dict[int, str]:
     """Code point to what it reads as, built from the character database and the look-alike letters."""
     places = (range(0xAC00), range(0xD7A4, 0xD800), range(0xE000, 0x20000), range(0xE0000, 0xE1000))
     table = {o: s for r in places for o in r if (s := _shape(chr(o))) is not None}
-    for own, latin in ((CYRILLIC, CYRILLIC_LATIN), (GREEK, GREEK_LATIN), (ARMENIAN, ARMENIAN_LATIN)):
+    for own, latin in SCRIPTS.values():
         table |= {ord(a): b for a, b in zip(own, latin, strict=True)}
     table |= {ord(a): b for a, b in MARKS.items()}
     # a look-alike may itself come from another form, as a full-width mark does
@@ -91,7 +121,7 @@ def read_signs(text: str) -> str:
 
 
 #: Letters that stand for others' shapes, back to those of each script; of several the first.
-BACK = {n: {ord(b): a for a, b in reversed([*zip(own, latin, strict=True)])} for n, own, latin in (("CYRILLIC", CYRILLIC, CYRILLIC_LATIN), ("GREEK", GREEK, GREEK_LATIN), ("ARMENIAN", ARMENIAN, ARMENIAN_LATIN))}
+BACK = {n: {ord(b): a for a, b in reversed([*zip(own, latin, strict=True)])} for n, (own, latin) in SCRIPTS.items() if n not in ("LATIN", "ARABIC")}
 
 
 @lru_cache(65_536)
@@ -112,31 +142,89 @@ def script_spelling(read: str) -> str:
     return unicodedata.normalize("NFC", parts.translate(back))
 
 
+@lru_cache(65_536)
+def sign_shapes(c: str) -> str:
+    """The signs that one sign of a decomposed text reads as: none for an ignorable, several for a ligature."""
+    return unicodedata.normalize("NFD", read_signs(c))
+
+
 class SpellingTrie:
-    """Words in a trie over the signs they read as; an entry is the spelling that is preferred for them.
+    """Spellings in a trie over their own signs, walked by a weighted edit automaton.
 
-    The automaton walks a token through the trie. Its only transitions of cost zero are: a sign to an edge of the same
-    shape, and an ignorable to no edge. Any other edit exceeds the allowed weight of zero, so that at most one state is
-    alive and a walk is linear in the token. Of several words that read alike the most frequent is the entry, then the
-    smallest.
+    A token's signs are taken as they are. A sign passes an edge that has its shape, and an ignorable passes none, at a
+    weight of 0; to replace, leave out or put in a sign weighs 1. The automaton's states are the nodes reached with their
+    least weights; those over ``limit`` die. With the limit of 0 that texts are canonized with, a walk follows the few
+    nodes whose spellings read like the token so far. Entries that read alike are one: the more frequent, then the smaller.
     """
 
-    def __init__(self, words: list[tuple[str, int]]):
-        self.root: dict = {}
-        for word, _ in sorted(words, key=lambda x: (-x[1], x[0])):
-            node = self.root
-            for c in read_signs(word):
-                node = node.setdefault(c, {})
-            node.setdefault("", word)
+    def __init__(self, words: list[tuple[str, int]], limit: float = 0.0):
+        self.limit = limit
+        # per node: its edges by the shape they have, as (sign, node), and its entry
+        self.edges: list[dict[str, list[tuple[str, int]]]] = [{}]
+        self.entry: list[tuple[int, str] | None] = [None]
+        taken: set[str] = set()
+        for word, n in sorted(words, key=lambda x: (-x[1], x[0])):
+            if (shape := read_signs(word)) in taken:
+                continue
+            taken.add(shape)
+            at = 0
+            for sign in unicodedata.normalize("NFD", word):
+                for one in sign_shapes(sign):
+                    at = self._child(at, one, sign)
+            self.entry[at] = (-n, word)
+        #: plain tokens that an entry may spell in another way
+        self.plain = {t for t in taken if t.isascii()}
+
+    def _child(self, at: int, shape: str, sign: str) -> int:
+        own = self.edges[at].setdefault(shape, [])
+        for s, to in own:
+            if s == sign:
+                return to
+        self.edges.append({})
+        self.entry.append(None)
+        own.append((sign, len(self.entry) - 1))
+        return own[-1][1]
 
     def spell(self, token: str) -> str | None:
-        """The entry that reads like the token, or None."""
-        node = self.root
-        for c in read_signs(token):
-            node = node.get(c)
-            if node is None:
-                return None
-        return node.get("")
+        """The entry that the token reaches with the least weight within the limit, or None."""
+        if self.limit:
+            return self._spell_near(token)
+        live, edges = [0], self.edges
+        for c in unicodedata.normalize("NFD", token):
+            for shape in sign_shapes(c):
+                live = [to for at in live for _, to in edges[at].get(shape, ())]
+                if not live:
+                    return None
+        found = [e for at in live if (e := self.entry[at])]
+        return min(found)[1] if found else None
+
+    def _spell_near(self, token: str) -> str | None:
+        def left_out(live: dict[int, float]) -> dict[int, float]:
+            """Edges passed without a sign of the token."""
+            todo = list(live)
+            while todo:
+                at = todo.pop()
+                w = live[at] + 1
+                if w <= self.limit:
+                    for own in self.edges[at].values():
+                        for _, to in own:
+                            if live.get(to, w + 1) > w:
+                                live[to] = w
+                                todo.append(to)
+            return live
+
+        live = left_out({0: 0.0})
+        for c in unicodedata.normalize("NFD", token):
+            for shape in sign_shapes(c):
+                after: dict[int, float] = {}
+                for at, w in live.items():
+                    steps = [(to, w + (s != shape)) for s, own in self.edges[at].items() for _, to in own]
+                    for to, v in [*steps, (at, w + 1)]:
+                        if v <= self.limit and after.get(to, v + 1) > v:
+                            after[to] = v
+                live = left_out(after)
+        found = [(w, *e) for at, w in live.items() if (e := self.entry[at])]
+        return min(found)[2] if found else None
 
 
 def clean_word(word: str) -> bool:
@@ -150,52 +238,97 @@ def clean_word(word: str) -> bool:
     return len(scripts) == 1 and not scripts & {"FULLWIDTH", "KANGXI", "CJK"} and unicodedata.normalize("NFKC", word) == word
 
 
-def canonical_text(text: str, trie: SpellingTrie | None, cache: dict | None = None) -> str:
-    """The one form of a text. Without a trie, its signs' shapes alone."""
-    read = read_signs(text)
-    if trie is None or read.isascii() and text == read and not trie.root:
-        return read
-    cache = {} if cache is None else cache
+@lru_cache(1)
+def _tokenizer():
+    """(cuts a decomposed text: what stands between tokens at even places, tokens at odd ones; signs that read as a mark
+    and a letter; ignorables between accents).
 
-    def word(m: re.Match) -> str:
-        w = m[0]
-        if (to := cache.get(w)) is None:
-            if len(cache) > 200_000:
-                cache.clear()
-            cache[w] = to = trie.spell(w) or script_spelling(w)
-        return to
+    What a sign reads as decides whether it is part of a token, so texts that read alike are cut alike. A token starts with
+    a letter or digit; accents and ignorables go on with it.
+    """
+    import regex
 
-    return _WORD.sub(word, read)
+    word = lambda s: all(x.isalnum() or unicodedata.category(x)[0] == "M" for x in s)
+    shapes = {chr(o): r for o in shape_table() if (r := sign_shapes(chr(o))) != chr(o)}
+    put = lambda cs: "".join(rf"\U{ord(c):08x}" for c in sorted(cs))
+    ignorable = put(c for c, r in shapes.items() if not r)
+    other = put(c for c, r in shapes.items() if c.isalnum() and not word(r) or not r)
+    more = put(c for c, r in shapes.items() if r and not c.isalnum() and word(r) and r[0].isalnum())
+    mixed = {ord(c): r for c, r in shapes.items() if not word(r) and any(x.isalnum() for x in r)}
+    start = rf"[[\p{{L}}\p{{N}}{more}]--[{other}]]"
+    cut = regex.compile(rf"({start}[{start}\p{{M}}{ignorable}]*)", regex.V1)
+    return cut.split, mixed, regex.compile(rf"(?<=\p{{M}})[{ignorable}]+(?=\p{{M}})"), regex.compile("[" + put(map(chr, mixed)) + "]")
 
 
-def frequent_words(texts: DataFrame, column: str = "text") -> list[tuple[str, int]]:
-    """The words outside plain ASCII, counted over all texts, that are not spelled so without an entry.
+_PLAIN = re.compile(r"[A-Za-z0-9]+")
 
-    Of the clean words that read alike the most frequent is taken, then the smallest; it is left out where its script
-    gives the same spelling. All others reach the driver, so a word's spelling does not depend on how many there are.
-    They are words made wholly of look-alikes, and few. ASCII words read as themselves and need no entry. This only
-    chooses spellings: which texts read alike does not depend on it.
+
+def canonical_text(text: str, trie: SpellingTrie, cache: dict | None = None) -> str:
+    """The one form of a text: each token as the trie spells it, all else by the table."""
+    if text.isascii() and text.isprintable() and (not trie.plain or trie.plain.isdisjoint(_PLAIN.findall(text))):
+        return text
+    cache = {} if cache is None else cache
+    cut, mixed, between, has_mixed = _tokenizer()
+    text = unicodedata.normalize("NFD", text)
+    if has_mixed.search(text):
+        text = text.translate(mixed)
+    out = cut(text)
+    for i, piece in enumerate(out):
+        if (to := cache.get(piece)) is None:
+            to = None
+            if i % 2:
+                to = trie.spell(unicodedata.normalize("NFD", between.sub("", piece)))
+                if to is None:
+                    to = script_spelling(read_signs(piece))
+            else:
+                to = read_signs(piece)
+            if len(piece) < 200:
+                if len(cache) > 200_000:
+                    cache.clear()
+                cache[piece] = to
+        out[i] = to
+    return unicodedata.normalize("NFC", "".join(out))
+
+
+def spellings(texts: DataFrame, column: str = "text") -> DataFrame:
+    """(read, word, n): the entries of the corpus, counted over all its texts.
+
+    Of the words that read alike the most frequent clean one is the entry, then the smallest; it is left out where all of
+    them are in plain ASCII, or where there is only one and the table spells it as it is. One row per entry, on the cluster.
     """
-    w = texts.select(F.explode(F.expr(rf"regexp_extract_all({column}, '[\\p{{L}}\\p{{M}}]+', 0)")).alias("w")).where(r"w rlike '[^\\x00-\\x7f]'")
+    w = texts.select(F.explode(F.expr(rf"regexp_extract_all({column}, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Cf}}]*', 0)")).alias("w"))
 
-    @F.pandas_udf("read string, other boolean")
+    @F.pandas_udf("read string, clean boolean, own boolean")
     def reads(words: pd.Series) -> pd.DataFrame:
-        got = [(r := read_signs(w), script_spelling(r) != w) if clean_word(w) else (None, False) for w in words]
-        return pd.DataFrame(got, columns=["read", "other"])
+        got = [(r := read_signs(w), clean_word(w), script_spelling(r) == w) for w in words]
+        return pd.DataFrame(got, columns=["read", "clean", "own"])
 
-    counted = w.groupBy("w").count().select("w", "count", reads("w").alias("r")).where("r.read is not null")
-    best = counted.groupBy("r.read").agg(F.min(F.struct((-F.col("count")).alias("c"), "w", "r.other")).alias("b"))
-    return [(r["w"], -r["c"]) for r in best.select("b.*").where("other").select("w", "c").collect()]
+    counted = w.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    plain = F.expr(r"w rlike '^[\\x00-\\x7f]*$'")
+    odd = counted.where(~plain).select("w", "n", reads("w").alias("r")).select("r.read", "w", "n", "r.clean", "r.own", F.lit(True).alias("odd"))
+    even = counted.where(plain).select(F.col("w").alias("read"), "w", "n", F.lit(True).alias("clean"), F.lit(True).alias("own"), F.lit(False).alias("odd"))
+    best = F.min(F.when(F.col("clean"), F.struct((-F.col("n")).alias("n"), "w", "own"))).alias("b")
+    # plain words only matter to those that read like them: theirs are few, and each is one row here
+    classes = odd.unionByName(even).groupBy("read").agg(best, F.bool_or("odd").alias("odd"), F.count(F.lit(1)).alias("ways"))
+    return classes.where("odd and b is not null and (ways > 1 or not b.own)").select("read", F.col("b.w").alias("word"), (-F.col("b.n")).alias("n"))
 
 
-def canonical_column(texts: DataFrame, text: str = "text", out: str = "canonical", words: list[tuple[str, int]] | None = None) -> DataFrame:
+def canonical_column(texts: DataFrame, text: str = "text", out: str = "canonical", words: DataFrame | None = None) -> DataFrame:
     """``texts`` with the canonical form of column ``text`` in ``out``; null stays null, an empty text empty.
 
-    ``words``: entries of the trie (see ``frequent_words``), a bounded list. Whole texts are read, however long. Other
-    columns pass through.
+    ``words``: entries of the trie (see ``spellings``). Up to ENTRIES they are sent to all tasks in one trie; of more, each
+    row gets those that its own tokens may reach, by a join, and walks a trie of them. Whole texts are read, however long.
+    Other columns pass through.
     """
-    entries = texts.sparkSession.sparkContext.broadcast(words or [])
     cols = [c for c in texts.columns if c != out]
+    if words is None:
+        held = []
+    else:
+        words = durable(words)
+        if words.count() > ENTRIES:
+            return _canonical_by_row(texts, text, out, words)
+        held = [(r[0], r[1]) for r in words.select("word", "n").collect()]  # at most ENTRIES
+    entries = texts.sparkSession.sparkContext.broadcast(held)
 
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         trie = SpellingTrie(entries.value)
@@ -203,26 +336,36 @@ def canonical_column(texts: DataFrame, text: str = "text", out: str = "canonical
         for s in batches:
             yield s.map(lambda t: None if t is None else canonical_text(t, trie, cache))
 
-    from pyspark.sql import types as T
-
     return texts.select(*cols, F.pandas_udf(work, T.StringType())(F.col(text)).alias(out))
 
 
-def read_alike(texts: DataFrame, key: str = "doc_id", text: str = "text", words: list[tuple[str, int]] | None = None) -> DataFrame:
+def _canonical_by_row(texts: DataFrame, text: str, out: str, words: DataFrame) -> DataFrame:
+    cols = [c for c in texts.columns if c != out]
+
+    @F.pandas_udf("array<string>")
+    def readings(ts: pd.Series) -> pd.Series:
+        cut, mixed, _, _ = _tokenizer()
+        return ts.map(lambda t: [] if t is None else sorted({read_signs(w) for w in cut(unicodedata.normalize("NFD", t).translate(mixed))[1::2]}))
+
+    @F.pandas_udf("string")
+    def spell(ts: pd.Series, own: pd.Series) -> pd.Series:
+        tries = [SpellingTrie([(w["word"], w["n"]) for w in o] if o is not None else []) for o in own]
+        return pd.Series([None if t is None else canonical_text(t, trie) for t, trie in zip(ts, tries, strict=True)], dtype=object)
+
+    rows = durable(texts.select(*cols).withColumn("_row", F.monotonically_increasing_id()))
+    reach = rows.select("_row", F.explode(readings(F.col(text))).alias("read")).join(words, "read")
+    own = reach.groupBy("_row").agg(F.collect_list(F.struct("word", "n")).alias("_own"))  # at most the words of one text
+    return rows.join(own, "_row", "left").select(*cols, spell(F.col(text), F.col("_own")).alias(out))
+
+
+def read_alike(texts: DataFrame, key: str = "doc_id", text: str = "text", words: DataFrame | None = None) -> DataFrame:
     """(doc_a, doc_b): pairs of rows with visible text that reads the same but differs in code points, smaller key first.
 
     Rows with equal text are no case, so copies are gathered first: only forms with at least two different texts go on,
     and only different texts are paired, before their rows are joined to them. Null, empty and invisible texts are no
-    cases.
+    cases. For one row per document instead of pairs see ``alike_classes``.
     """
-    from pyspark.sql import types as T
-
-    rows = texts.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
-    form = canonical_column(rows, "t", "form", words).where("form is not null and trim(form) <> ''")
-    hashed = form.select("k", F.sha2(F.col("form"), 256).alias("form"), F.sha2(F.col("t"), 256).alias("t"))
-    from spotloom.session import durable
-
-    hashed = durable(hashed)
+    hashed = _hashed_forms(texts, key, text, words)
     variants = hashed.select("form", "t").distinct()
     several = variants.groupBy("form").count().where("count > 1").select("form")
     variants = variants.join(several, "form", "left_semi")
@@ -232,3 +375,19 @@ def read_alike(texts: DataFrame, key: str = "doc_id", text: str = "text", words:
     a = pairs.join(own.select(F.col("t").alias("ta"), F.col("k").alias("doc_a")), "ta")
     b = a.join(own.select(F.col("t").alias("tb"), F.col("k").alias("doc_b")), "tb")
     return b.where("doc_a < doc_b").select("doc_a", "doc_b")
+
+
+def _hashed_forms(texts: DataFrame, key: str, text: str, words: DataFrame | None) -> DataFrame:
+    rows = texts.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
+    form = canonical_column(rows, "t", "form", words).where("form is not null and trim(form) <> ''")
+    return durable(form.select("k", F.sha2(F.col("form"), 256).alias("form"), F.sha2(F.col("t"), 256).alias("t")))
+
+
+def alike_classes(texts: DataFrame, key: str = "doc_id", text: str = "text", words: DataFrame | None = None) -> DataFrame:
+    """(<key>, first, n_links): of each row that reads like a row of another text, the smallest key that reads so, and the
+    number of rows that read like it but differ in code points. Grows with the rows, however many are alike."""
+    hashed = _hashed_forms(texts, key, text, words)
+    per_text = hashed.groupBy("form", "t").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"))
+    per_form = per_text.groupBy("form").agg(F.sum("n").alias("all"), F.min("k").alias("first"), F.count(F.lit(1)).alias("ways")).where("ways > 1")
+    own = per_text.select("form", "t", "n").join(per_form, "form").select("form", "t", "first", (F.col("all") - F.col("n")).alias("n_links"))
+    return hashed.join(own, ["form", "t"]).select(F.col("k").alias(key), "first", "n_links")

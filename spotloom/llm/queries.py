@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotloom.llm import canonical, clusters, leaks, sketch, tokens, vectors
+from spotloom.llm import canonical, clusters, leaks, sketch, text_sql, tokens, vectors
 from spotloom.session import durable, table
 
 SIMILAR_CELLS = 0.85
@@ -79,7 +79,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_proximity(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold an item's most telling words close together, in any order."""
+    """Documents that hold most of an item's words close together, in any order."""
     return leaks.find_proximity(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
@@ -89,16 +89,22 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     d = _documents(spark, sf)
-    return canonical.read_alike(d, words=canonical.frequent_words(d))
+    return canonical.read_alike(d, words=canonical.spellings(d))
+
+
+def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document that reads like another text: the first that reads so, and how many do."""
+    d = _documents(spark, sf)
+    return canonical.alike_classes(d, words=canonical.spellings(d)).withColumnRenamed("first", "first_doc")
 
 
 def p9_canonical(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's text in its one form."""
     d = _documents(spark, sf)
-    return canonical.canonical_column(d, words=canonical.frequent_words(d)).select("doc_id", "canonical")
+    return canonical.canonical_column(d, words=canonical.spellings(d)).select("doc_id", "canonical")
 
 
-_ALL = (p3_found, p3_described, p5_found, p5_neighbours, p6_found, p6_percentiles, p7_ids, p8_found, p8_proximity, p9_found, p9_canonical)
+_ALL = (p3_found, p3_described, p5_found, p5_neighbours, p6_found, p6_percentiles, p7_ids, p8_found, p8_proximity, p9_found, p9_classes, p9_canonical)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _P3 = """
@@ -151,4 +157,4 @@ def _p6_all(table: str, column: str, name: str) -> str:
 
 
 _P6_ALL = f"with {_p6_all('transcript_table', 'confidence_score', 'score')}, {_p6_all('cell_metadata', 'nuclei_area_um', 'area')} select * from score union all select * from area"
-ORACLE = {"p3_found": _P3, "p5_found": _P5, "p6_found": _P6, "p6_percentiles": _P6_ALL}
+ORACLE = {"p3_found": _P3, "p5_found": _P5, "p6_found": _P6, "p6_percentiles": _P6_ALL, **text_sql.oracle()}
