@@ -100,16 +100,32 @@ def _shape(c: str) -> str | None:
     return None
 
 
-@lru_cache(1)
+#: The table of shapes and the patterns that cut texts: built once where a job is put together, and sent to its tasks.
+_known: dict[str, object] = {}
+
+
+def reading_state() -> dict[str, object]:
+    """All that ``use_state`` gives to another process, so that it need not be built there."""
+    shape_table(), _cutters(), word_patterns()
+    return dict(_known)
+
+
+def use_state(state: dict[str, object]) -> None:
+    if not _known:
+        _known.update(state)
+
+
 def shape_table() -> dict[int, str]:
     """Code point to what it reads as, built from the character database and the look-alike letters."""
-    places = (range(0xAC00), range(0xD7A4, 0xD800), range(0xE000, 0x20000), range(0xE0000, 0xE1000))
-    table = {o: s for r in places for o in r if (s := _shape(chr(o))) is not None}
-    for own, latin in SCRIPTS.values():
-        table |= {ord(a): b for a, b in zip(own, latin, strict=True)}
-    table |= {ord(a): b for a, b in MARKS.items()}
-    # a look-alike may itself come from another form, as a full-width mark does
-    return {o: "".join(table.get(ord(c), c) if ord(c) != o else c for c in s) for o, s in table.items()}
+    if "table" not in _known:
+        places = (range(0xAC00), range(0xD7A4, 0xD800), range(0xE000, 0x20000), range(0xE0000, 0xE1000))
+        table = {o: s for r in places for o in r if (s := _shape(chr(o))) is not None}
+        for own, latin in SCRIPTS.values():
+            table |= {ord(a): b for a, b in zip(own, latin, strict=True)}
+        table |= {ord(a): b for a, b in MARKS.items()}
+        # a look-alike may itself come from another form, as a full-width mark does
+        _known["table"] = {o: "".join(table.get(ord(c), c) if ord(c) != o else c for c in s) for o, s in table.items()}
+    return _known["table"]
 
 
 def read_signs(text: str) -> str:
@@ -238,28 +254,73 @@ def clean_word(word: str) -> bool:
     return len(scripts) == 1 and not scripts & {"FULLWIDTH", "KANGXI", "CJK"} and unicodedata.normalize("NFKC", word) == word
 
 
-@lru_cache(1)
-def _tokenizer():
-    """(cuts a decomposed text: what stands between tokens at even places, tokens at odd ones; signs that read as a mark
-    and a letter; ignorables between accents).
+def _ranges(codes: set[int]) -> str:
+    """The inside of a pattern's class of characters."""
+    out, first, last = [], None, None
+    for o in [*sorted(codes), -1]:
+        if last is not None and o == last + 1:
+            last = o
+            continue
+        if last is not None:
+            out.append(f"\\U{first:08x}" + (f"-\\U{last:08x}" if last > first else ""))
+        first = last = o
+    return "".join(out)
+
+
+def _runs(start: set[int], more: set[int], group: bool) -> tuple[str, str]:
+    """Patterns of a sign of ``start`` and all that follow of either: for texts of the basic plane, where a class is a
+    table and not a search, and for all."""
+    low = lambda x: {o for o in x if o < 0x10000}
+    one = lambda a, b: f"[{_ranges(a)}][{_ranges(b)}]*"
+    both = one(low(start), low(start | more)), one(start, start | more)
+    return tuple(f"({x})" for x in both) if group else both
+
+
+def _categories() -> dict[str, set[int]]:
+    out: dict[str, set[int]] = {"L": set(), "N": set(), "M": set()}
+    for o in range(0x110000):
+        if (k := unicodedata.category(chr(o))[0]) in out:
+            out[k].add(o)
+    return out
+
+
+def word_patterns() -> tuple[str, str]:
+    """Runs of letters and digits, with the marks on them that have no composed form."""
+    if "words" not in _known:
+        c = _categories()
+        _known["words"] = _runs(c["L"] | c["N"], c["M"], False)
+    return _known["words"]
+
+
+def _cutters() -> dict[str, object]:
+    """Patterns of tokens, and the signs that read as a mark and a letter.
 
     What a sign reads as decides whether it is part of a token, so texts that read alike are cut alike. A token starts with
     a letter or digit; accents and ignorables go on with it.
     """
-    import regex
+    if "cutters" not in _known:
+        c = _categories()
+        word = lambda s: all(x.isalnum() or unicodedata.category(x)[0] == "M" for x in s)
+        shapes = {o: r for o in shape_table() if (r := sign_shapes(chr(o))) != chr(o)}
+        ignorable = {o for o, r in shapes.items() if not r}
+        start = (c["L"] | c["N"]) - {o for o, r in shapes.items() if not r or not word(r)}
+        start |= {o for o, r in shapes.items() if r and not chr(o).isalnum() and word(r) and r[0].isalnum()}
+        mixed = {o: r for o, r in shapes.items() if not word(r) and any(x.isalnum() for x in r)}
+        marks = _ranges(c["M"] - ignorable)
+        between = f"(?<=[{marks}])[{_ranges(ignorable)}]+(?=[{marks}])"
+        _known["cutters"] = {"tokens": _runs(start, c["M"] | ignorable, True), "mixed": mixed, "has_mixed": f"[{_ranges(set(mixed))}]", "between": between}
+    return _known["cutters"]
 
-    word = lambda s: all(x.isalnum() or unicodedata.category(x)[0] == "M" for x in s)
-    shapes = {chr(o): r for o in shape_table() if (r := sign_shapes(chr(o))) != chr(o)}
-    put = lambda cs: "".join(rf"\U{ord(c):08x}" for c in sorted(cs))
-    ignorable = put(c for c, r in shapes.items() if not r)
-    other = put(c for c, r in shapes.items() if c.isalnum() and not word(r) or not r)
-    more = put(c for c, r in shapes.items() if r and not c.isalnum() and word(r) and r[0].isalnum())
-    mixed = {ord(c): r for c, r in shapes.items() if not word(r) and any(x.isalnum() for x in r)}
-    start = rf"[[\p{{L}}\p{{N}}{more}]--[{other}]]"
-    cut = regex.compile(rf"({start}[{start}\p{{M}}{ignorable}]*)", regex.V1)
-    return cut.split, mixed, regex.compile(rf"(?<=\p{{M}})[{ignorable}]+(?=\p{{M}})"), regex.compile("[" + put(map(chr, mixed)) + "]")
 
+@lru_cache(1)
+def _tokenizer():
+    """(cut, mixed, between, has_mixed): ``cut`` gives what stands between tokens at even places, tokens at odd ones."""
+    k = _cutters()
+    low, full = (re.compile(p).split for p in k["tokens"])
+    return lambda t: (full if _HIGH(t) else low)(t), k["mixed"], re.compile(k["between"]), re.compile(k["has_mixed"])
 
+
+_HIGH = re.compile("[\U00010000-\U0010ffff]").search
 _PLAIN = re.compile(r"[A-Za-z0-9]+")
 
 
@@ -298,8 +359,11 @@ def spellings(texts: DataFrame, column: str = "text") -> DataFrame:
     """
     w = texts.select(F.explode(F.expr(rf"regexp_extract_all({column}, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Cf}}]*', 0)")).alias("w"))
 
+    state = texts.sparkSession.sparkContext.broadcast(reading_state())
+
     @F.pandas_udf("read string, clean boolean, own boolean")
     def reads(words: pd.Series) -> pd.DataFrame:
+        use_state(state.value)
         got = [(r := read_signs(w), clean_word(w), script_spelling(r) == w) for w in words]
         return pd.DataFrame(got, columns=["read", "clean", "own"])
 
@@ -328,10 +392,11 @@ def canonical_column(texts: DataFrame, text: str = "text", out: str = "canonical
         if words.count() > ENTRIES:
             return _canonical_by_row(texts, text, out, words)
         held = [(r[0], r[1]) for r in words.select("word", "n").collect()]  # at most ENTRIES
-    entries = texts.sparkSession.sparkContext.broadcast(held)
+    entries = texts.sparkSession.sparkContext.broadcast((held, reading_state()))
 
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        trie = SpellingTrie(entries.value)
+        use_state(entries.value[1])
+        trie = SpellingTrie(entries.value[0])
         cache: dict = {}
         for s in batches:
             yield s.map(lambda t: None if t is None else canonical_text(t, trie, cache))
@@ -341,14 +406,17 @@ def canonical_column(texts: DataFrame, text: str = "text", out: str = "canonical
 
 def _canonical_by_row(texts: DataFrame, text: str, out: str, words: DataFrame) -> DataFrame:
     cols = [c for c in texts.columns if c != out]
+    state = texts.sparkSession.sparkContext.broadcast(reading_state())
 
     @F.pandas_udf("array<string>")
     def readings(ts: pd.Series) -> pd.Series:
+        use_state(state.value)
         cut, mixed, _, _ = _tokenizer()
         return ts.map(lambda t: [] if t is None else sorted({read_signs(w) for w in cut(unicodedata.normalize("NFD", t).translate(mixed))[1::2]}))
 
     @F.pandas_udf("string")
     def spell(ts: pd.Series, own: pd.Series) -> pd.Series:
+        use_state(state.value)
         tries = [SpellingTrie([(w["word"], w["n"]) for w in o] if o is not None else []) for o in own]
         return pd.Series([None if t is None else canonical_text(t, trie) for t, trie in zip(ts, tries, strict=True)], dtype=object)
 

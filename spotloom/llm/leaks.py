@@ -13,16 +13,16 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotloom.llm.canonical import fold_signs
+from spotloom.llm.canonical import fold_signs, reading_state, use_state, word_patterns
 from spotloom.session import durable
 
 #: Consecutive words that make a leak, and about how many words of documents and of items one part and one block take.
@@ -30,9 +30,8 @@ WORDS = 10
 PART_TOKENS = 1_000_000
 BLOCK_TOKENS = 2_000_000
 
-#: Runs of letters and digits, with the marks on them that have no composed form.
-TERM = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
 _PLAIN = re.compile(r"[a-z0-9]+")
+_HIGH = re.compile("[\U00010000-\U0010ffff]").search
 
 INDEX = "part bigint, docs array<bigint>, starts array<int>, terms array<string>, ends array<int>, places array<int>"
 
@@ -41,7 +40,14 @@ def words_of(text: str) -> list[str]:
     """The longest runs of letters and digits, as they read, in one case."""
     if text.isascii() and text.isprintable():
         return _PLAIN.findall(text.lower())
-    return regex.findall(TERM, fold_signs(text))
+    folded = fold_signs(text)
+    low, full = _terms()
+    return (full if _HIGH(folded) else low)(folded)
+
+
+@lru_cache(1)
+def _terms():
+    return tuple(re.compile(p).findall for p in word_patterns())
 
 
 def positional_index(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,8 +58,10 @@ def positional_index(docs: DataFrame, doc: str = "doc_id", text: str = "text") -
     held; null texts and null ids are not. A part ends at PART_TOKENS words, or with the one document that is longer.
     """
     corpus = docs.select(F.col(doc).cast("bigint").alias("d"), F.col(text).alias("t")).where("t is not null and d is not null")
+    state = docs.sparkSession.sparkContext.broadcast(reading_state())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_state(state.value)
         made = 0
         ids: list[int] = []
         starts: list[int] = []
