@@ -1,11 +1,14 @@
 """Clusters of mutually similar count profiles, with their size and most typical members.
 
-Density clustering on unit vectors: two cells are linked if their distance is at most ``eps`` (the chord of the least
-cosine). Space is partitioned by balls of diameter ``eps`` around centres fitted on a bounded sample; all cells of a ball
-are linked without comparing any two of them. Reduced vectors, by a projection that never lengthens a distance, choose
-the balls in whose margin of width ``eps`` a cell lies; there it is compared with the ball's cells, and a link merges the
-two local clusters through that shared cell. Cells outside all balls are dealt to blocks of space and compared with all that
-a block's distance cannot rule out. Links between local clusters are then joined to components by a distributed star contraction.
+Density clustering on unit vectors: cells are near if their distance is at most ``eps`` (the chord of the least cosine); a
+cell with enough near cells, itself included, is a core; cores that are near are in one cluster, and a cell that is no core
+joins the cluster of a core it is near to. Space is partitioned twice. Dense places are balls of diameter ``eps`` around
+centres fitted on a bounded sample: all cells of a ball are near each other, so they are cores of one local cluster without
+comparing any two. Reduced vectors, by a projection that never lengthens a distance, tell in which balls' margins of width
+``eps`` a cell lies; there it is compared with the ball's cells, and as a shared core merges the local clusters. The cells
+outside all dense balls are dealt to lists around centroids, whose number follows that of the cells, each also to every list
+in whose margin it lies; in each list they form local clusters, merged through the cores that lists share. Merging is by a
+distributed star contraction. No link depends on chance.
 """
 
 from __future__ import annotations
@@ -18,17 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotloom.llm.vectors import balanced_centroids, bounded_sample, distances, matrix, unit
+from spotloom.llm.space import CentroidGraph, bounded_sample, distances, matrix, posting_lists, unit
 from spotloom.session import durable
 
-#: Rows that the centres are fitted on, at most, and dimensions of the reduced vectors.
+#: Rows that the balls are fitted on, at most, and dimensions of the reduced vectors.
 SAMPLE = 6000
 REDUCED = 32
-#: Cells of a ball that one task compares with the ball's margin.
+#: Cells of a ball, and cells in its margin, that one task compares.
 MEMBERS = 20_000
-#: Cells outside all balls that a block should hold, and blocks' centroids at most.
+#: Cells outside all balls that a list should hold.
 BLOCK = 4096
-CENTROIDS = 1024
+#: Near cells, itself included, that make a cell a core.
+CORE = 3
 
 
 class Balls:
@@ -106,125 +110,150 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return nodes.join(e.select(F.col("b").alias("node"), F.col("a").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def _links_to_balls(placed: DataFrame, eps: float, dims: int) -> DataFrame:
-    """(a, b): a cell in a ball's margin, by its node, and the ball, where a cell of the ball is within reach."""
-    asked = {r[0] for r in placed.select(F.explode("margin").alias("ball")).distinct().collect()}  # at most one row per ball
+def _near_balls(placed: DataFrame, dense: list[int], eps: float, dims: int) -> DataFrame:
+    """(node, cell, ball, n): a cell that lies in a dense ball's margin and is near to n > 0 of its cells. A ball with very
+    many cells, or very many in its margin, is dealt to tasks as parts of the one against parts of the other."""
+    none = placed.select("node", F.col("cell_id").alias("cell"), F.lit(0).alias("ball"), F.lit(0).cast("bigint").alias("n")).limit(0)
+    asking = placed.select(F.explode("margin").alias("ball"), "cell_id", "node", "x").where(F.col("ball").isin(dense))
+    asked = {r[0]: r[1] for r in asking.groupBy("ball").count().collect()}  # at most one row per ball
     if not asked:
-        return placed.select(F.lit("").alias("a"), F.lit("").alias("b")).limit(0)
-    full = {r[0]: r[1] for r in placed.where("home >= 0").groupBy("home").count().collect() if r[0] in asked}
-    parts = F.create_map(*[F.lit(y) for i, c in full.items() for y in (i, math.ceil(c / MEMBERS))]) if full else None
-    if parts is None:
-        return placed.select(F.lit("").alias("a"), F.lit("").alias("b")).limit(0)
-    n = lambda c: F.try_element_at(parts, F.col(c))
-    members = placed.where(F.col("home").isin(list(full))).select(F.col("home").alias("ball"), F.pmod(F.xxhash64("cell_id"), n("home")).cast("int").alias("salt"), F.lit(True).alias("member"), F.lit(None).cast("string").alias("node"), "x")
-    asking = placed.select(F.explode("margin").alias("ball"), "node", "x").where(F.col("ball").isin(list(full)))
-    asking = asking.select("ball", F.explode(F.sequence(F.lit(0), n("ball") - 1)).alias("salt"), F.lit(False).alias("member"), "node", "x")
+        return none
+    held = {r[0]: r[1] for r in placed.where(F.col("home").isin(list(asked))).groupBy("home").count().collect()}
+    parts = lambda c, of: F.try_element_at(F.create_map(*[F.lit(y) for i in asked for y in (i, math.ceil(of[i] / MEMBERS))]), F.col(c))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    salt = lambda n: F.pmod(F.xxhash64("cell_id"), n).cast("int")
+    members = placed.where(F.col("home").isin(list(asked))).select(F.col("home").alias("ball"), salt(parts("home", held)).alias("m"), spread(parts("home", asked)).alias("a"), F.lit(True).alias("member"), "cell_id", "node", "x")
+    asking = asking.select("ball", spread(parts("ball", held)).alias("m"), salt(parts("ball", asked)).alias("a"), F.lit(False).alias("member"), "cell_id", "node", "x")
 
     def compare(t: pa.Table) -> pa.Table:
         u = unit(matrix(t["x"], dims)).astype(np.float32)
         member = t["member"].to_numpy(zero_copy_only=False)
-        ball, rows = f"b{t['ball'][0].as_py()}", np.flatnonzero(~member)
-        cells, linked = u[member], []
-        least = 1 - eps * eps / 2
-        for s in range(0, len(rows), max(1, 4_000_000 // max(1, len(cells)))):
-            part = rows[s : s + max(1, 4_000_000 // max(1, len(cells)))]
-            if len(cells):
-                best = (u[part] @ cells.T).max(1)
-                linked += part[best >= least - 1e-6].tolist()
-        nodes = sorted(set(t["node"].take(pa.array(linked, pa.int64())).to_pylist()))
-        return pa.table({"a": pa.array(nodes, pa.string()), "b": pa.array([ball] * len(nodes), pa.string())})
+        rows, cells = np.flatnonzero(~member), u[member]
+        n = np.zeros(len(rows), np.int64)
+        step = max(1, 4_000_000 // max(1, len(cells)))
+        for s in range(0, len(rows), step):
+            n[s : s + step] = (u[rows[s : s + step]] @ cells.T >= 1 - eps * eps / 2 - 1e-6).sum(1)
+        hit = pa.array(rows[n > 0], pa.int64())
+        return pa.table({"node": t["node"].take(hit), "cell": t["cell_id"].take(hit), "ball": t["ball"].take(hit), "n": pa.array(n[n > 0], pa.int64())})
 
-    return members.unionByName(asking).groupBy("ball", "salt").applyInArrow(compare, "a string, b string")
+    return members.unionByName(asking).groupBy("ball", "m", "a").applyInArrow(compare, "node string, cell string, ball int, n bigint")
 
 
-def _links_outside(outside: DataFrame, eps: float, dims: int) -> DataFrame:
-    """(a, b) among cells outside all balls: every cell meets every other that can be within reach, in one block or two.
+def _margin_rule(eps: float):
+    """A query looks into its nearest list; a cell is data of every list that may hold a query near to it: unless the
+    plane half-way between the list's centroid and its own nearest is farther away than ``eps``."""
 
-    Blocks are cells of space around bounded centroids, dealt further where one is too full. Of two blocks only the cells
-    that the distances to their centroids do not rule out meet, so no link depends on chance or on the number of cells.
+    def rule(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = distances(x, graph.c)
+        near = np.argmin(d, axis=1)
+        query = np.zeros(d.shape, bool)
+        query[np.arange(len(d)), near] = True
+        return (d * d - d[np.arange(len(d)), near][:, None] ** 2 <= 2 * (eps + 1e-5) * graph.between[near] + 1e-9) | query, query
+
+    return rule
+
+
+def _near_counts(lists: DataFrame, eps: float, dims: int) -> DataFrame:
+    """(cell, n): how many cells of the lists, itself included, are near to each."""
+
+    def count(t: pa.Table) -> pa.Table:
+        u = unit(matrix(t["x"], dims)).astype(np.float32)
+        data, query = (np.flatnonzero(t[c].to_numpy(zero_copy_only=False)) for c in ("data", "query"))
+        n = np.zeros(len(query), np.int64)
+        for s in range(0, len(query), 1024):
+            n[s : s + 1024] = (u[query[s : s + 1024]] @ u[data].T >= 1 - eps * eps / 2 - 1e-6).sum(1)
+        return pa.table({"cell": t["cell_id"].take(pa.array(query, pa.int64())), "n": pa.array(n, pa.int64())})
+
+    return lists.groupBy("list", "q", "d").applyInArrow(count, "cell string, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def _local_clusters(lists: DataFrame, cores: DataFrame, eps: float, dims: int) -> DataFrame:
+    """(a, b, core): in each list, cores tied to their local cluster by as few links as it takes, and a cell that is no core
+    tied to the least core it is near to.
+
+    ``cores``: (cell, core BOOLEAN).
     """
-    empty = outside.select(F.lit("").alias("a"), F.lit("").alias("b")).limit(0)
-    n = outside.count()
-    if n < 2:
-        return empty
-    x = unit(bounded_sample(outside, "node", "x", dims, SAMPLE))
-    shared = outside.sparkSession.sparkContext.broadcast(balanced_centroids(x, max(1, min(CENTROIDS, len(x) // 8, math.ceil(n / BLOCK)))))
-    reach, least = eps + 1e-5, 1 - eps * eps / 2 - 1e-6
-    whole = outside.select(F.forall("x", lambda e: e.isNull() | F.coalesce(e.try_cast("smallint").cast("double") == e, F.lit(False))).alias("w")).agg(F.bool_and("w")).first()[0]
-    kind = "smallint" if whole else "double"  # cells travel in the narrower type where it holds them exactly
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
-        between = distances(c, c)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                p = batch.slice(at, 2048)
-                d = distances(unit(matrix(p.column(1), dims)), c)
-                near = np.argmin(d, axis=1)
-                # a block may hold a cell within reach unless the plane half way to its centroid is farther away
-                meets = d * d - d[np.arange(len(d)), near][:, None] ** 2 <= 2 * reach * between[near] + 1e-9
-                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(near, pa.int32()), pa.array([np.flatnonzero(m).tolist() for m in meets], pa.list_(pa.int32()))], ["node", "x", "list", "meets"])
-
-    dealt = durable(outside.select("node", F.col("x").cast(f"array<{kind}>").alias("x")).mapInArrow(deal, f"node string, x array<{kind}>, list int, meets array<int>"))
-    # one row per centroid
-    parts = {r[0]: math.ceil(r[1] / (2 * BLOCK)) for r in dealt.groupBy("list").count().collect()}
-    many = F.create_map(*[F.lit(y) for i, c in parts.items() for y in (i, c)])
-    own = F.shiftleft(F.col("list").cast("bigint"), 32) + F.pmod(F.xxhash64("node"), F.try_element_at(many, F.col("list")))
-    rows = dealt.select("node", "x", own.alias("own"), F.explode("meets").alias("list")).where(F.col("list").isin(list(parts)))
-    rows = rows.select("node", "x", "own", "list", F.explode(F.sequence(F.lit(0), F.try_element_at(many, F.col("list")) - 1)).alias("part"))
-    rows = rows.withColumn("with", F.shiftleft(F.col("list").cast("bigint"), 32) + F.col("part"))
-    rows = rows.select("node", "x", (F.col("own") <= F.col("with")).alias("first"), F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"))
+    known = lists.join(cores.withColumnRenamed("cell", "cell_id"), "cell_id")
 
-    def compare(t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
+    def tie(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cell_id")
         u = unit(matrix(t["x"], dims)).astype(np.float32)
-        first = t["first"].to_numpy(zero_copy_only=False)
-        same = t["one"][0].as_py() == t["two"][0].as_py()
-        one, two = np.flatnonzero(first), np.arange(len(u)) if same else np.flatnonzero(~first)
-        other, left = u[two], np.arange(len(u))
-        a, b = [], []
-        # each cell is tied to all that it reaches of those that are not yet tied to it
-        for s in range(0, len(one), 1024):
-            near = u[one[s : s + 1024]] @ other.T >= least
-            for i, row in zip(one[s : s + 1024].tolist(), near, strict=True):
-                hit = two[np.flatnonzero(row)]
-                hit = hit[left[hit] != left[i]]
+        data, query, core = (t[c].to_numpy(zero_copy_only=False) for c in ("data", "query", "core"))
+        to = np.flatnonzero(data & core)
+        group = np.arange(len(u))
+        a, b, kept = [], [], []
+        asking = np.flatnonzero(query)
+        for s in range(0, len(asking), 1024):
+            near = u[asking[s : s + 1024]] @ u[to].T >= 1 - eps * eps / 2 - 1e-6
+            for i, row in zip(asking[s : s + 1024].tolist(), near, strict=True):
+                hit = to[np.flatnonzero(row)]
+                if core[i]:
+                    # a cell is tied to those it is near to that are not yet in its group
+                    hit = hit[group[hit] != group[i]]
+                    group[hit] = group[i]
+                else:
+                    hit = hit[:1]
                 a += [i] * len(hit)
                 b += hit.tolist()
-                left[hit] = left[i]
-        node = t["node"]
-        return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
+                kept += [bool(core[i])] * len(hit)
+        c = t["cell_id"]
+        return pa.table({"a": c.take(pa.array(a, pa.int64())), "b": c.take(pa.array(b, pa.int64())), "core": pa.array(kept, pa.bool_())})
 
-    return rows.groupBy("one", "two").applyInArrow(compare, "a string, b string")
+    return known.groupBy("list", "q", "d").applyInArrow(tie, "a string, b string, core boolean")
 
 
-def similarity_groups(cells: DataFrame, similarity: float = 0.85, key: str = "cell_id", counts: str = "x") -> DataFrame:
-    """(cell_id, node, root, x): every distinct cell with counts, and its group's root; a cell alone is its own root.
+def similarity_groups(cells: DataFrame, similarity: float = 0.85, key: str = "cell_id", counts: str = "x", least: int = CORE) -> DataFrame:
+    """(cell_id, node, root, x): every distinct cell with counts, and its cluster's root; a cell in no cluster is its own.
 
-    ``cells``: (cell_id STRING, x ARRAY of numbers). A repeated cell counts once, with its smallest vector. Null ids and
-    null vectors are left out; nulls inside a vector count as 0; a vector of zeros is similar to none and left out.
+    ``cells``: (cell_id STRING, x ARRAY of numbers); ``least``: near cells, itself included, that make a core. A repeated
+    cell counts once, with its smallest vector. Null ids and null vectors are left out; nulls inside a vector count as 0; a
+    vector of zeros is similar to none and left out. A cell that is no core, near to cores of several clusters, joins one.
     """
-    c = cells.where(F.col(key).isNotNull() & F.col(counts).isNotNull()).groupBy(F.col(key).alias("cell_id")).agg(F.min(F.col(counts).cast("array<double>")).alias("x"))
-    c = durable(c.where(F.exists("x", lambda e: F.coalesce(e, F.lit(0.0)) != 0)))
+    spark = cells.sparkSession
+    c = cells.where(F.col(key).isNotNull() & F.col(counts).isNotNull()).groupBy(F.col(key).alias("cell_id")).agg(F.min(counts).alias("x"))
+    c = durable(c.where(F.exists("x", lambda e: F.coalesce(e, F.lit(0)) != 0)))
+    kind = c.schema["x"].dataType.simpleString()
     n, dims = c.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
     if not n:
-        return cells.sparkSession.createDataFrame([], "cell_id string, node string, root string, x array<double>")
+        return spark.createDataFrame([], f"cell_id string, node string, root string, x {kind}")
     balls = Balls(unit(bounded_sample(c, "cell_id", "x", dims, SAMPLE)), similarity)
-    shared = cells.sparkSession.sparkContext.broadcast(balls)
+    shared = spark.sparkContext.broadcast(balls)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 p = b.slice(at, 2048)
                 home, inside, margin = shared.value.place(unit(matrix(p.column(1), dims)))
-                node = [f"b{h}" if h >= 0 else f"c{i}" for h, i in zip(home, p.column(0).to_pylist(), strict=True)]
                 ints = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(node), pa.array(home, pa.int32()), pa.array(inside, ints), pa.array(margin, ints)], ["cell_id", "x", "node", "home", "inside", "margin"])
-
-    placed = durable(c.mapInArrow(place, "cell_id string, x array<double>, node string, home int, inside array<int>, margin array<int>"))
-    direct = placed.select(F.col("node").alias("a"), F.explode("inside").alias("ball")).select("a", F.concat(F.lit("b"), F.col("ball").cast("string")).alias("b")).distinct()
-    links = direct.unionByName(_links_to_balls(placed, balls.eps, dims)).unionByName(_links_outside(placed.where("home < 0"), balls.eps, dims))
-    roots = components(links)
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(home, pa.int32()), pa.array(inside, ints), pa.array(margin, ints)], ["cell_id", "x", "home", "inside", "margin"])
+
+    placed = durable(c.mapInArrow(place, f"cell_id string, x {kind}, home int, inside array<int>, margin array<int>"))
+    size = {r[0]: r[1] for r in placed.where("home >= 0").groupBy("home").count().where(F.col("count") >= least).collect()}  # at most one row per ball
+    dense = list(size)
+    ball = lambda b: F.concat(F.lit("b"), b.cast("string"))
+    at_home = F.col("home").isin(dense)
+    placed = placed.withColumn("node", F.when(at_home, ball(F.col("home"))).otherwise(F.concat(F.lit("c"), "cell_id")))
+    # a cell inside a ball is near to all its cells; one in its margin is compared
+    sizes = F.create_map(*[F.lit(y) for i, m in size.items() for y in (i, m)]) if size else F.create_map().cast("map<int,bigint>")
+    inside = placed.select("node", F.col("cell_id").alias("cell"), F.explode("inside").alias("ball")).where(F.col("ball").isin(dense)).select("node", "cell", "ball", F.try_element_at(sizes, F.col("ball")).cast("bigint").alias("n"))
+    near = durable(inside.unionByName(_near_balls(placed, dense, balls.eps, dims)))
+    outside = durable(placed.where(~at_home).select("cell_id", "x"))
+    merge = near.where(F.col("node").startswith("b")).select(F.col("node").alias("a"), ball(F.col("ball")).alias("b")).distinct()
+    border = None
+    rest = outside.count()
+    if rest:
+        lists = durable(posting_lists(outside, "cell_id", "x", dims, rest, _margin_rule(balls.eps), BLOCK))
+        counted = _near_counts(lists, balls.eps, dims).unionByName(near.where(F.col("node").startswith("c")).select("cell", "n"))
+        cores = durable(counted.groupBy("cell").agg((F.sum("n") >= least).alias("core")))
+        local = durable(_local_clusters(lists, cores, balls.eps, dims))
+        to_ball = near.where(F.col("node").startswith("c")).join(cores, "cell").select(F.col("node").alias("a"), ball(F.col("ball")).alias("b"), "core").distinct()
+        named = local.select(F.concat(F.lit("c"), "a").alias("a"), F.concat(F.lit("c"), "b").alias("b"), "core").unionByName(to_ball)
+        merge = merge.unionByName(named.where("core").select("a", "b"))
+        border = named.where("not core").groupBy("a").agg(F.min("b").alias("b"))
+    roots = components(merge)
+    if border is not None:
+        joined = border.join(roots.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("node"), F.coalesce("root", "b").alias("root"))
+        roots = roots.unionByName(joined)
     return placed.select("cell_id", "node", "x").join(roots, "node", "left").select("cell_id", "node", F.coalesce("root", "node").alias("root"), "x")
 
 

@@ -32,9 +32,10 @@ def _cell_vectors(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _neighbours(spark: SparkSession, sf: str, least: float | None) -> list[tuple[str, DataFrame]]:
-    # without a radius, the few intensities of proteins need a wider look for the same recall than the counts of genes
+    # without a least similarity, the few intensities of proteins need a wider look for the same recall than the counts of
+    # genes; with one, the lists that it needs are searched in any case
     names = (("transcript", "cell_by_transcript", 0.12), ("protein", "cell_by_protein", 0.25))
-    return [(kind, vectors.nearest_vectors(_cell_vectors(spark, sf, name), 3, least, probes=probes)) for kind, name, probes in names]
+    return [(kind, vectors.nearest_vectors(_cell_vectors(spark, sf, name), 3, least, probes=probes if least is None else 0.04)) for kind, name, probes in names]
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,6 +135,28 @@ def _vectors_sql(kind: str, name: str, drop: str) -> str:
 _BOTH = (("transcript", "cell_by_transcript", "label, segmentation_label"), ("protein", "cell_by_protein", "label"))
 _P5 = "with " + ", ".join(_vectors_sql(*b) for b in _BOTH) + " union all ".join(_p5(*b) for b in _BOTH)
 
+
+def _p5_all(kind: str, name: str, drop: str) -> str:
+    return f"""
+    select '{kind}' as matrix, a as label_a, b as label_b, s as similarity from (
+      select *, rank() over (partition by a order by s desc) as place from (
+        select x.label as a, y.label as b, round(list_inner_product(x.v, y.v) / (x.l * y.l), 9) as s
+        from {kind}_v x join {kind}_v y on x.label <> y.label where x.l > 0 and y.l > 0) t
+    ) p where place <= 3"""
+
+
+_P5_ALL = "with " + ", ".join(_vectors_sql(*b) for b in _BOTH) + " union all ".join(_p5_all(*b) for b in _BOTH)
+_P3_DESCRIBED = f"""
+with g as ({_P3}),
+u as (select cell_id, first_cell_id, list_transform(x, lambda e: coalesce(e, 0) / sqrt(list_inner_product(d, d))) as v
+  from g join (select cell_id, min(x) as x, min(list_transform(x, lambda e: cast(coalesce(e, 0) as double))) as d from feature_matrix where x is not null group by cell_id) f using (cell_id)),
+s as (select first_cell_id, i, sum(v[i]) as m from (select first_cell_id, v, unnest(range(1, len(v) + 1)) as i from u) e group by all),
+m as (select first_cell_id, list(m order by i) as m, sqrt(sum(m * m)) as l from s group by first_cell_id),
+r as (select u.first_cell_id, cell_id, count(*) over (partition by u.first_cell_id) as n_cells, round(list_inner_product(v, m) / l, 9) as similarity from u join m using (first_cell_id)),
+p as (select *, row_number() over (partition by first_cell_id order by similarity desc, cell_id) as place from r)
+select first_cell_id, n_cells, cast(place as int) as place, cell_id, similarity from p where place <= 3
+"""
+
 _P6 = """
 with v as (
   select 'transcript_table' as source_table, sample_id, strftime(recorded_at, '%Y-%m-%d') as day, confidence_score as x, 0.9 as q from transcript_table
@@ -157,4 +180,4 @@ def _p6_all(table: str, column: str, name: str) -> str:
 
 
 _P6_ALL = f"with {_p6_all('transcript_table', 'confidence_score', 'score')}, {_p6_all('cell_metadata', 'nuclei_area_um', 'area')} select * from score union all select * from area"
-ORACLE = {"p3_found": _P3, "p5_found": _P5, "p6_found": _P6, "p6_percentiles": _P6_ALL, **text_sql.oracle()}
+ORACLE = {"p3_found": _P3, "p3_described": _P3_DESCRIBED, "p5_found": _P5, "p5_neighbours": _P5_ALL, "p6_found": _P6, "p6_percentiles": _P6_ALL, **text_sql.oracle()}

@@ -1,180 +1,44 @@
 """Most similar vectors for every vector, by balanced posting lists.
 
-A bounded sample is cut into balanced clusters; their centroids form a small graph that every task searches in memory.
-Each vector is posted to its nearest centroid's list and, near a boundary, to its neighbours' lists as well; a query
-looks only into the lists that the distances to their centroids cannot rule out. All vectors are posted and all are
-queries. Lists with very many queries are dealt to several tasks by query.
+Vectors are dealt to balanced lists (see ``space``), whose centroids each task searches as a graph in memory. A vector is
+posted to its nearest centroid's list and, near a boundary, to its neighbours' lists as well; a query looks into the lists
+whose centroid's distance is at most so many times the nearest's. All vectors are posted and all are queries.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotloom.llm.space import CentroidGraph, Rule, matrix, narrowest, posting_lists, unit
 from spotloom.session import durable
 
-#: Rows that the centroids are fitted on, at most; vectors that a list should hold; centroids at most.
-SAMPLE = 8192
+#: Vectors that a list should hold.
 LIST = 2048
-CENTROIDS = 1024
-#: Links of a centroid in the graph, and centroids kept during a search.
-LINKS = 16
-BEAM = 32
-#: Queries of a list that one task takes, and similarities held at once.
-QUERIES = 16_384
+#: Similarities held at once.
 CELLS = 4_000_000
 #: Decimals to which similarities are rounded before they are ranked.
 DECIMALS = 9
 
 
-def matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """An Arrow column of number lists as float64 rows; shorter lists end in zeros, nulls are 0, NaN is 0."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    out = np.zeros((len(column), dims))
-    values = column.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
-    n = np.asarray(column.value_lengths().fill_null(0))
-    if len(n) and (n == dims).all():
-        out = values.reshape(-1, dims)
-    else:
-        out[np.arange(dims) < n[:, None]] = values
-    return np.nan_to_num(out, nan=0.0, posinf=0.0, neginf=0.0)
+def ratio_rule(closure: float, probes: float, slack: float = 0.0) -> Rule:
+    """Posted to lists up to (1 + closure) times the nearest centroid's distance; searched are those up to (1 + probes)
+    times it, and up to ``slack`` more than it.
 
-
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
-
-
-def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Euclidean distances of unit vectors."""
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * (x @ c.T), 0))
-
-
-def bounded_sample(vectors: DataFrame, key: str, column: str, dims: int, rows: int = SAMPLE) -> np.ndarray:
-    """At most ``rows`` vectors, those of the smallest hashes of their keys: the same whatever the partitions."""
-    got = vectors.select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col(column).alias("v")).orderBy("h", "k").limit(rows).select("v").toArrow()
-    return matrix(got["v"], dims)
-
-
-def balanced_centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
-    """Centroids of balanced clusters: the fullest part is halved by two-means until there are k parts, none of which
-    holds more than its share by much."""
-    parts = [np.arange(len(x))]
-    done: list[np.ndarray] = []
-    rng = np.random.default_rng(7)
-    while parts and len(parts) + len(done) < k:
-        parts.sort(key=len)
-        own = parts.pop()
-        if len(own) < 4:
-            done.append(own)
-            continue
-        v = x[own]
-        a = v[rng.integers(len(v))]
-        b = v[np.argmax(((v - a) ** 2).sum(1))]
-        for _ in range(rounds):
-            lean = ((v - a) ** 2).sum(1) - ((v - b) ** 2).sum(1)
-            near = lean < 0
-            if not near.any() or near.all():
-                break
-            a, b = v[near].mean(0), v[~near].mean(0)
-        if not near.any() or near.all():
-            done.append(own)
-            continue
-        parts += [own[near], own[~near]]
-    return np.stack([x[p].mean(0) for p in parts + done]).astype(np.float64)
-
-
-class CentroidGraph:
-    """Centroids linked to their nearest and to a few far ones; a search keeps the best seen and expands them in turn."""
-
-    def __init__(self, centroids: np.ndarray):
-        self.c = centroids
-        k = len(centroids)
-        d = distances(centroids, centroids)
-        self.between = d
-        near = np.argsort(d, axis=1)[:, 1 : LINKS + 1]
-        far = np.random.default_rng(3).integers(0, k, (k, 4))
-        self.links = np.concatenate([near, far], 1) if k > 1 else np.zeros((1, 1), np.int64)
-        # entries: centroids chosen far from each other
-        self.entries = [0]
-        best = d[0].copy()
-        for _ in range(min(k, math.isqrt(k) + 1) - 1):
-            self.entries.append(int(np.argmax(best)))
-            best = np.minimum(best, d[self.entries[-1]])
-
-    def search(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances) of about the ``beam`` nearest centroids of each row, nearest first; id -1 fills up."""
-        n, k = len(x), len(self.c)
-        if k <= 2 * beam:
-            d = distances(x, self.c)
-            ids = np.argsort(d, axis=1)[:, :beam]
-            return ids, np.take_along_axis(d, ids, 1)
-        xx, cc = (x * x).sum(1), (self.c * self.c).sum(1)
-        seen = np.zeros((n, k), bool)
-        ids = np.full((n, beam), -1)
-        dist = np.full((n, beam), np.inf)
-        spent = np.ones((n, beam), bool)
-
-        def take(rows, new):
-            """Adds candidates, one array of them per row; those seen before are dropped."""
-            nonlocal ids, dist, spent
-            fresh = ~seen[rows[:, None], new]
-            np.put_along_axis(sub := seen[rows], new, True, 1)
-            seen[rows] = sub
-            order = np.argsort(new, axis=1, kind="stable")
-            srt = np.take_along_axis(new, order, 1)
-            twice = np.zeros_like(fresh)
-            np.put_along_axis(twice, order[:, 1:], srt[:, 1:] == srt[:, :-1], 1)
-            d = np.sqrt(np.maximum(xx[rows][:, None] + cc[new] - 2 * np.einsum("nd,nkd->nk", x[rows], self.c[new]), 0))
-            d[~fresh | twice] = np.inf
-            all_i = np.concatenate([ids[rows], new], 1)
-            all_d = np.concatenate([dist[rows], d], 1)
-            all_s = np.concatenate([spent[rows], np.zeros(new.shape, bool)], 1)
-            best = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
-            ids[rows], dist[rows], spent[rows] = (np.take_along_axis(z, best, 1) for z in (all_i, all_d, all_s))
-
-        take(np.arange(n), np.tile(np.array(self.entries), (n, 1)))
-        while True:
-            open_ = np.where(spent | np.isinf(dist), np.inf, dist)
-            at = np.argmin(open_, axis=1)
-            rows = np.flatnonzero(np.isfinite(open_[np.arange(n), at]) & (at < max(8, beam // 2)))
-            if not len(rows):
-                break
-            spent[rows, at[rows]] = True
-            take(rows, self.links[ids[rows, at[rows]]])
-        return np.where(np.isinf(dist), -1, ids), dist
-
-
-def _postings(graph: CentroidGraph, x: np.ndarray, radius: float | None, closure: float, probes: float) -> tuple[list[list[int]], list[list[int]]]:
-    """Per row: the lists to be posted to and the lists to be searched, its nearest first.
-
-    With a radius, a query looks into its nearest list only, and a vector is posted to every list that may hold a query
-    within the radius of it: one whose cell of space comes that close. Without, both are chosen by the ratio of a
-    centroid's distance to the nearest's.
+    With a slack of twice a radius no neighbour within the radius is missed: it is in the list of its own nearest
+    centroid, which is at most that much farther from the query than the query's nearest.
     """
-    if radius is None:
-        ids, d = graph.search(x)
-        post = (d <= (1 + closure) * d[:, :1] + 1e-9) & (ids >= 0)
-        look = (d <= (1 + probes) * d[:, :1] + 1e-9) & (ids >= 0)
-        return [i[p].tolist() for i, p in zip(ids, post, strict=True)], [i[p].tolist() for i, p in zip(ids, look, strict=True)]
-    # the rule holds for the true nearest centroid only, so all distances are taken, not those of a search
-    d = distances(x, graph.c)
-    near = np.argmin(d, axis=1)
-    keep = d * d - d[np.arange(len(d)), near][:, None] ** 2 <= 2 * radius * graph.between[near] + 1e-9
-    out = [[int(n), *(i for i in np.flatnonzero(k).tolist() if i != n)] for n, k in zip(near, keep, strict=True)]
-    return out, [o[:1] for o in out]
 
+    def rule(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = graph.within(x, lambda least: np.maximum((1 + max(closure, probes)) * least, least + slack))
+        least = d.min(1)[:, None]
+        return d <= (1 + closure) * least + 1e-9, d <= np.maximum((1 + probes) * least, least + slack) + 1e-9
 
-def _rank(s: np.ndarray, k: int) -> np.ndarray:
-    """In each row, which similarities have fewer than k strictly larger ones."""
-    if s.shape[1] <= k:
-        return np.isfinite(s)
-    kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-    return (s >= kth[:, None]) & np.isfinite(s)
+    return rule
 
 
 def nearest_vectors(vectors: DataFrame, k: int = 3, min_similarity: float | None = None, key: str = "label", column: str = "vector", closure: float = 0.04, probes: float = 0.25) -> DataFrame:
@@ -185,50 +49,25 @@ def nearest_vectors(vectors: DataFrame, k: int = 3, min_similarity: float | None
     to none. A repeated label counts once, with its smallest vector; a null label or vector is left out. Equal vectors
     of different labels are neighbours of similarity 1.
 
-    With ``min_similarity`` only neighbours at least so similar are sought (at most the k best places of them), and
-    lists are ruled out by that radius. Without it, lists are chosen by ratio; recall is measured in the tests.
+    ``min_similarity`` only keeps neighbours at least so similar; the lists searched then reach far enough that none of
+    these is missed. Without it the accuracy hangs on ``closure`` and ``probes``, and is measured in the tests.
     """
     v = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(key).alias("label")).agg(F.min(column).alias("vector"))
     v = durable(v.where(F.exists("vector", lambda e: F.coalesce(e, F.lit(0.0)) != 0)))
-    # vectors travel to their lists in the narrowest type that holds all of them exactly
-    kept = lambda kind: F.bool_and(F.forall("vector", lambda e: e.isNull() | F.coalesce(e.try_cast(kind).cast("double") == e, F.lit(False))))
-    n, dims, short, single = v.agg(F.count(F.lit(1)), F.max(F.size("vector")), kept("smallint"), kept("float")).first()
+    n, dims = v.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     if not n:
         return vectors.sparkSession.createDataFrame([], "label_a string, label_b string, similarity double")
-    kind = "smallint" if short else "float" if single else "double"
-    v = v.withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
-    x = unit(bounded_sample(v, "label", "vector", dims))
-    graph = CentroidGraph(balanced_centroids(x, max(1, min(CENTROIDS, len(x) // 8, math.ceil(n / (LIST if min_similarity is not None else 2 * LIST))))))
-    shared = vectors.sparkSession.sparkContext.broadcast(graph)
-    radius = None if min_similarity is None else math.sqrt(max(0.0, 2 - 2 * min_similarity)) + 1e-6
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = shared.value
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                post, look = _postings(g, unit(matrix(part.column(1), dims)), radius, closure, probes)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(post, pa.list_(pa.int32())), pa.array(look, pa.list_(pa.int32()))], ["label", "vector", "post", "look"])
-
-    posted = durable(v.mapInArrow(assign, f"label string, vector array<{kind}>, post array<int>, look array<int>"))
-    # one row per list: bounded by the number of centroids
-    heavy = {r[0]: r[1] for r in posted.select(F.explode("look").alias("list")).groupBy("list").count().where(F.col("count") > QUERIES).collect()}
-    parts = F.lit(1)
-    if heavy:
-        at = F.create_map(*[F.lit(y) for i, c in heavy.items() for y in (i, math.ceil(c / QUERIES))])
-        parts = F.coalesce(F.try_element_at(at, F.col("list")), F.lit(1))
-    rows = posted.select("label", "vector", "post", "look", F.explode(F.array_union("post", "look")).alias("list"))
-    rows = rows.select("label", "vector", "list", F.array_contains("post", F.col("list")).alias("data"), F.array_contains("look", F.col("list")).alias("query"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), parts.alias("parts"))
-    rows = rows.withColumn("query", F.col("query") & (F.pmod(F.xxhash64("label"), F.col("parts")) == F.col("salt"))).where("data or query").drop("parts")
+    v = v.withColumn("vector", F.col("vector").cast(f"array<{narrowest(v, 'vector')}>"))
+    slack = 0.0 if min_similarity is None else 2 * math.sqrt(max(0.0, 2 - 2 * min_similarity)) + 1e-6
+    floor = -1.0 if min_similarity is None else min_similarity
+    rows = posting_lists(v, "label", "vector", dims, n, ratio_rule(closure, probes, slack), LIST)
 
     def one_list(t: pa.Table) -> pa.Table:
-        raw = matrix(t["vector"], dims)
-        u = unit(raw)
+        u = unit(matrix(t["vector"], dims))
         low = u.astype(np.float32)
         data = np.flatnonzero(t["data"].to_numpy(zero_copy_only=False))
         query = np.flatnonzero(t["query"].to_numpy(zero_copy_only=False))
         out_a, out_b, out_s = [], [], []
-        floor = -1.0 if min_similarity is None else min_similarity
         step = max(1, CELLS // max(1, len(data)))
         for s in range(0, len(query), step):
             q = query[s : s + step]
@@ -258,9 +97,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 3, min_similarity: float | None
         label = t["label"]
         return pa.table({"label_a": label.take(pa.array(a, pa.int64())), "label_b": label.take(pa.array(b, pa.int64())), "similarity": pa.array(sim, pa.float64())})
 
-    found = rows.groupBy("list", "salt").applyInArrow(one_list, "label_a string, label_b string, similarity double")
-    if min_similarity is not None:
-        return found  # each query looked into one list
+    found = rows.groupBy("list", "q", "d").applyInArrow(one_list, "label_a string, label_b string, similarity double")
     w = Window.partitionBy("label_a").orderBy(F.desc("similarity"))
     return found.distinct().withColumn("place", F.rank().over(w)).where(F.col("place") <= k).drop("place")
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from spotloom.llm import clusters, sketch, vectors
+from spotloom.llm import clusters, sketch, space, vectors
 
 
 # percentiles
@@ -81,38 +81,47 @@ def clumps(seed, n=600, dims=24):
     return m
 
 
-@pytest.mark.parametrize("list_size,queries", [(2048, 16_384), (20, 16_384), (40, 7)])
-def test_close_vectors_are_all_found(spark, monkeypatch, list_size, queries):
-    """Also with many small lists, and with lists dealt to several tasks."""
-    monkeypatch.setattr(vectors, "LIST", list_size)
-    monkeypatch.setattr(vectors, "QUERIES", queries)
+def small_lists(monkeypatch, size, centroids=1024, task_rows=16_384, sample=8192):
+    for name, v in (("CENTROIDS", centroids), ("TASK_ROWS", task_rows), ("SAMPLE", sample)):
+        monkeypatch.setattr(space, name, v)
+    monkeypatch.setattr(vectors, "LIST", size)
+
+
+@pytest.mark.parametrize("size,centroids,task_rows", [(2048, 1024, 16_384), (20, 1024, 16_384), (40, 1024, 7), (10, 4, 16_384), (10, 3, 9)])
+def test_close_vectors_are_all_found(spark, monkeypatch, size, centroids, task_rows):
+    """Also with many small lists, with lists dealt to several tasks, and with lists cut again."""
+    small_lists(monkeypatch, size, centroids, task_rows)
     m = clumps(2)
     labels = [f"v{i:04d}" for i in range(len(m))]
     for least in (0.9995, 0.99):
-        got = [(r.label_a, r.label_b) for r in vectors.nearest_vectors(table(spark, m), 3, least).collect()]
+        got = [(r.label_a, r.label_b) for r in vectors.nearest_vectors(table(spark, m), 3, least, probes=0.04).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(m, labels, 3, least)
 
 
-def test_close_vectors_are_all_found_with_many_centroids():
-    """960 centroids of 16 gene-permuted copies: of two vectors within the radius, each is posted to the list the other
-    looks into, which is its true nearest."""
-    rng = np.random.default_rng(12)
+def far_copies(seed=12, rows=200):
+    """Vectors of 16 gene-permuted copies, which are far from each other, and 960 centroids of them."""
+    rng = np.random.default_rng(seed)
     main = rng.gamma(0.3, 1, 130)
     one = main * rng.lognormal(0, 1, (60, 130))
     genes = [rng.permutation(130) for _ in range(16)]
-    c = vectors.unit(np.concatenate([one[:, g] for g in genes]))
-    x = vectors.unit(np.concatenate([(one[rng.integers(0, 60, 200)] * rng.lognormal(0, 1, (200, 130)))[:, g] for g in genes]))
-    y = vectors.unit(x * rng.lognormal(0, 0.02, x.shape))
-    graph, radius = vectors.CentroidGraph(c), math.sqrt(2 - 2 * 0.9995) + 1e-6
-    (post, look), (post_y, look_y) = (vectors._postings(graph, z, radius, 0.04, 0.25) for z in (x, y))
-    for z, at in ((x, look), (y, look_y)):
-        assert [o for (o,) in at] == np.argmin(vectors.distances(z, c), axis=1).tolist()
+    c = space.unit(np.concatenate([one[:, g] for g in genes]))
+    x = space.unit(np.concatenate([(one[rng.integers(0, 60, rows)] * rng.lognormal(0, 1, (rows, 130)))[:, g] for g in genes]))
+    return c, x, rng
+
+
+def test_close_vectors_share_a_list_with_many_centroids():
+    c, x, rng = far_copies()
+    y = space.unit(x * rng.lognormal(0, 0.02, x.shape))
+    graph, radius = space.CentroidGraph(c), math.sqrt(2 - 2 * 0.9995) + 1e-6
+    rule = vectors.ratio_rule(0.04, 0.04, 2 * radius)
+    (post, look), (post_y, look_y) = rule(graph, x), rule(graph, y)
     close = np.flatnonzero((x * y).sum(1) >= 0.9995)
-    assert len(close) > 1000 and all(look[i][0] in post_y[i] and look_y[i][0] in post[i] for i in close)
+    assert len(close) > 1000 and (look & post_y)[close].any(1).all() and (look_y & post)[close].any(1).all()
+    assert look.sum(1).mean() < 100  # of 960: most are ruled out
 
 
 def test_close_pairs_against_brute_force_with_many_centroids(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "LIST", 10)
+    small_lists(monkeypatch, 10)
     rng = np.random.default_rng(13)
     base = np.kron(np.eye(24), rng.gamma(0.5, 40, (1, 5)))[rng.integers(0, 24, 700)]
     m = np.repeat(rng.poisson(base + rng.gamma(0.3, 2, base.shape)) + 0.0, 2, 0)
@@ -123,8 +132,42 @@ def test_close_pairs_against_brute_force_with_many_centroids(spark, monkeypatch)
     assert got == brute(m, labels, 3, 0.9995)
 
 
-def test_recall_without_a_radius(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "LIST", 40)
+@pytest.mark.parametrize("size,centroids,sample", [(40, 1024, 8192), (40, 3, 8192), (40, 3, 100)])
+def test_lists_hold_every_vector(spark, monkeypatch, size, centroids, sample):
+    """Every vector is data and query of some list, cut again or not; lists then follow the number of vectors."""
+    small_lists(monkeypatch, size, centroids, sample=sample)
+    m = clumps(4)
+    m[50] = 1
+    rows = space.posting_lists(table(spark, m), "label", "vector", m.shape[1], len(m), vectors.ratio_rule(0.04, 0.1), size).collect()
+    for flag in ("data", "query"):
+        assert {r["label"] for r in rows if r[flag]} == {f"v{i:04d}" for i in range(len(m))}
+    per_list = {}
+    for r in rows:
+        per_list.setdefault(r["list"], []).append(r["label"])
+    assert max(map(len, per_list.values())) < 0.6 * len(m) and len(per_list) > 6
+
+
+def test_alike_vectors_are_dealt_to_tasks(spark, monkeypatch):
+    """A third of all vectors are one, so no centroid cuts their list; its queries meet all its data in parts."""
+    small_lists(monkeypatch, 40, task_rows=25)
+    m = clumps(6, 300)
+    m[100:200] = m[100]
+    rows = space.posting_lists(table(spark, m), "label", "vector", m.shape[1], len(m), vectors.ratio_rule(0.04, 0.1), 40).collect()
+    per_task = {}
+    for r in rows:
+        t = per_task.setdefault((r["list"], r["q"], r["d"]), [[], []])
+        for i, flag in enumerate(("data", "query")):
+            if r[flag]:
+                t[i].append(r["label"])
+    assert max(len(t[0]) for t in per_task.values()) < 80 and max(len(t[1]) for t in per_task.values()) < 80
+    hot = {f"v{i:04d}" for i in range(100, 200)}
+    met = {(a, b) for d, q in per_task.values() for a in q if a in hot for b in d if b in hot}
+    assert len(met) == 100 * 100
+
+
+@pytest.mark.parametrize("centroids", [1024, 4])
+def test_recall_without_a_radius(spark, monkeypatch, centroids):
+    small_lists(monkeypatch, 40, centroids)
     m = clumps(3)
     labels = [f"v{i:04d}" for i in range(len(m))]
     want = brute(m, labels, 3)
@@ -134,12 +177,15 @@ def test_recall_without_a_radius(spark, monkeypatch):
 
 def test_graph_finds_nearest_centroids():
     rng = np.random.default_rng(5)
-    c = vectors.unit(rng.normal(size=(500, 16)))
-    x = vectors.unit(rng.normal(size=(300, 16)))
-    ids, d = vectors.CentroidGraph(c).search(x)
-    true = np.argsort(vectors.distances(x, c), axis=1)
-    assert np.mean(ids[:, 0] == true[:, 0]) >= 0.97 and (np.diff(d, axis=1) >= 0).all()
-    assert all(len(set(r[r >= 0])) == (r >= 0).sum() for r in ids)
+    for c, x in ((space.unit(rng.normal(size=(500, 16))), space.unit(rng.normal(size=(300, 16)))), far_copies()[:2]):
+        graph, true = space.CentroidGraph(c), space.distances(x, c)
+        met = graph.nearest(x)
+        assert np.mean(met.min(1) <= 1.2 * true.min(1)) >= 0.9 and np.isfinite(met).mean() < 0.5
+        d = graph.within(x, lambda least: 1.2 * least)
+        near = true <= 1.2 * true.min(1)[:, None]
+        assert (np.isfinite(d) == near).all() and np.allclose(d[near], true[near])
+    one = space.CentroidGraph(c[:1])
+    assert one.within(x, lambda least: least).shape == (len(x), 1)
 
 
 def test_odd_vectors(spark):
@@ -196,13 +242,52 @@ def test_groups_of_odd_rows(spark):
 
 
 def test_links_reach_across_balls(spark):
-    """A chain of cells, each near the next: one component, whatever its length."""
+    """A chain of cells, each near the next: one cluster, whatever its length."""
     t = np.linspace(0, 1.5, 60)
     rows = [(f"c{i:03d}", [1000 * math.cos(a), 1000 * math.sin(a), 1.0]) for i, a in enumerate(t)]
     df = spark.createDataFrame(rows, "cell_id string, x array<double>")
     assert {r.first_cell_id for r in clusters.group_members(clusters.similarity_groups(df)).collect()} == {"c000"}
 
 
+def density_by_force(rows, similarity=0.85, least=3):
+    """(clusters of cores, cell -> the clusters that it may join)."""
+    u = space.unit(np.array([x for _, x in rows], float)).astype(np.float32)
+    near = u @ u.T >= similarity - 1e-6
+    core = near.sum(1) >= least
+    left, out, may = set(np.flatnonzero(core).tolist()), [], {}
+    while left:
+        own, todo = set(), [left.pop()]
+        while todo:
+            i = todo.pop()
+            own.add(i)
+            new = set(np.flatnonzero(near[i] & core).tolist()) & left
+            left -= new
+            todo += new
+        out.append(own)
+    for i in np.flatnonzero(~core).tolist():
+        may[rows[i][0]] = {k for k, own in enumerate(out) if any(near[i, j] for j in own)}
+    return [{rows[i][0] for i in own} for own in out], may
+
+
+@pytest.mark.parametrize("sample,members,block,centroids,task_rows", [(6000, 20_000, 4096, 1024, 16_384), (2, 20_000, 4096, 1024, 16_384), (60, 15, 40, 1024, 16_384), (2, 20_000, 30, 3, 16_384), (30, 20_000, 30, 1024, 20)])
+def test_density_clusters_against_brute_force(spark, monkeypatch, sample, members, block, centroids, task_rows):
+    """Clouds that run into each other, bridges, pairs and lone cells; with and without balls, many lists, lists cut again and
+    dealt to tasks."""
+    for where, name, v in ((clusters, "SAMPLE", sample), (clusters, "MEMBERS", members), (clusters, "BLOCK", block), (space, "CENTROIDS", centroids), (space, "TASK_ROWS", task_rows)):
+        monkeypatch.setattr(where, name, v)
+    rng = np.random.default_rng(21)
+    centres = rng.gamma(0.4, 1, (25, 40))
+    x = np.concatenate([c * rng.lognormal(0, s, (n, 40)) for c, s, n in zip(centres, rng.uniform(0.1, 0.9, 25), rng.integers(1, 60, 25), strict=True)])
+    rows = [(f"c{i:04d}", v.tolist()) for i, v in enumerate(x)]
+    got = {r.cell_id: r.root for r in clusters.similarity_groups(spark.createDataFrame(rows, "cell_id string, x array<double>")).collect()}
+    want, may = density_by_force(rows)
+    assert len(want) > 3 and sum(bool(v) for v in may.values()) > 5
+    root = [{got[c] for c in own} for own in want]
+    assert all(len(r) == 1 for r in root) and len(set.union(*root)) == len(want)
+    for c, ks in may.items():
+        assert got[c] in set().union(*[root[k] for k in ks]) if ks else got[c] == f"c{c}" or sum(v == got[c] for v in got.values()) == 1
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(f"n{i}", f"n{i + 1}") for i in range(60)] + [(f"m{rng.randrange(50)}", f"m{rng.randrange(50)}") for _ in range(45)] + [("hub", f"s{i}") for i in range(300)] + [("x", "x")]
@@ -222,10 +307,10 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("block", [4096, 300])
-def test_loose_pairs_outside_all_balls_are_linked(spark, monkeypatch, block):
-    """Chains of three at a cosine just over the least, which no sampled ball holds; also in many blocks."""
+def test_loose_triples_outside_all_balls_are_found(spark, monkeypatch, block):
+    """Triples at a cosine just over the least, which no sampled ball holds; also in many lists."""
     monkeypatch.setattr(clusters, "SAMPLE", 2)
-    monkeypatch.setattr(clusters, "BLOCK", block, raising=False)
+    monkeypatch.setattr(clusters, "BLOCK", block)
     rng = np.random.default_rng(8)
     rows = []
     for g in range(1000):
@@ -235,14 +320,3 @@ def test_loose_pairs_outside_all_balls_are_linked(spark, monkeypatch, block):
     df = spark.createDataFrame(rows, "cell_id string, x array<double>")
     got = {tuple(r) for r in clusters.group_members(clusters.similarity_groups(df)).collect()}
     assert got == {(c, f"{c[:5]}-0") for c, _ in rows}
-
-
-def test_outside_blocks_are_dealt(spark, monkeypatch):
-    """Cells of one place, more than a block may hold, meet across its parts."""
-    rng = np.random.default_rng(9)
-    rows = [(f"c{i:04d}", (100 + rng.uniform(0, 5, 20)).round().tolist(), -1) for i in range(400)] + [("far", [0.0] * 19 + [1.0], -1)]
-    df = spark.createDataFrame(rows, "node string, x array<double>, home int")
-    monkeypatch.setattr(clusters, "BLOCK", 20)
-    monkeypatch.setattr(clusters, "CENTROIDS", 2)
-    roots = {r.node: r.root for r in clusters.components(clusters._links_outside(df, math.sqrt(0.3), 20)).collect()}
-    assert set(roots.values()) == {"c0000"} and len(roots) == 400
