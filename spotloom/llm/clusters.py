@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from spotloom.llm.space import CentroidGraph, bounded_sample, distances, matrix, posting_lists, unit
+from spotloom.llm.space import CentroidGraph, bounded_sample, distances, matrix, measured, posting_lists, unit
 from spotloom.session import durable
 
 #: Rows that the balls are fitted on, at most, and dimensions of the reduced vectors.
@@ -33,6 +33,8 @@ MEMBERS = 20_000
 BLOCK = 4096
 #: Near cells, itself included, that make a cell a core.
 CORE = 3
+#: Links between local clusters that one task joins, at most.
+EDGES = 500_000
 
 
 class Balls:
@@ -88,10 +90,13 @@ class Balls:
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root): the least node of each node's component, for all nodes of the edges (a, b).
 
-    Large and small stars in turn: every node hands its larger, then its smaller neighbours to the least it knows, until
-    every edge ends in a root. Each step is an aggregation and a join by node, written to the shared folder.
+    Up to EDGES links are joined by one task. More are contracted by large and small stars in turn: every node hands its
+    larger, then its smaller neighbours to the least it knows, until every edge ends in a root. Each step is an aggregation
+    and a join by node, written to the shared folder.
     """
-    e = durable(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    e, (n, _) = _written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if n <= EDGES:
+        return e.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_join_links, "node string, root string")
     nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
     seen = None
     for _ in range(rounds):
@@ -100,8 +105,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select("m", "a", "b")
-        e = durable(small.select(F.col("m").alias("a"), "b").unionByName(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-        sign = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        e, sign = _written(small.select(F.col("m").alias("a"), "b").unionByName(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
         if sign == seen:
             break
         seen = sign
@@ -110,6 +114,28 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return nodes.join(e.select(F.col("b").alias("node"), F.col("a").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Edges in the shared folder, and (number, sum of hashes) of them, counted as they are written."""
+    seen = Observation()
+    e = durable(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
+    return e, (seen.get["n"], seen.get["h"])
+
+
+def _join_links(t: pa.Table) -> pa.Table:
+    names, at = np.unique(np.concatenate([t["a"].to_numpy(), t["b"].to_numpy()]).astype(str), return_inverse=True)
+    root = np.arange(len(names))
+    a, b = at[: t.num_rows], at[t.num_rows :]
+    while True:
+        # each link pulls the greater of its ends' roots to the lesser, then paths are halved
+        x, y = root[a], root[b]
+        if (x == y).all():
+            break
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+    return pa.table({"node": pa.array(names.tolist(), pa.string()), "root": pa.array(names[root].tolist(), pa.string())})
+
+
 def _near_balls(placed: DataFrame, dense: list[int], eps: float, dims: int) -> DataFrame:
     """(node, cell, ball, n): a cell that lies in a dense ball's margin and is near to n > 0 of its cells. A ball with very
     many cells, or very many in its margin, is dealt to tasks as parts of the one against parts of the other."""
@@ -212,10 +238,11 @@ def similarity_groups(cells: DataFrame, similarity: float = 0.85, key: str = "ce
     spark = cells.sparkSession
     c = cells.where(F.col(key).isNotNull() & F.col(counts).isNotNull()).groupBy(F.col(key).alias("cell_id")).agg(F.min(counts).alias("x"))
     c = durable(c.where(F.exists("x", lambda e: F.coalesce(e, F.lit(0)) != 0)))
-    kind = c.schema["x"].dataType.simpleString()
-    n, dims = c.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    n, dims, kind = measured(c, "x")
+    kind = f"array<{kind}>"
     if not n:
         return spark.createDataFrame([], f"cell_id string, node string, root string, x {kind}")
+    c = c.withColumn("x", F.col("x").cast(kind))
     balls = Balls(unit(bounded_sample(c, "cell_id", "x", dims, SAMPLE)), similarity)
     shared = spark.sparkContext.broadcast(balls)
 
@@ -237,12 +264,10 @@ def similarity_groups(cells: DataFrame, similarity: float = 0.85, key: str = "ce
     sizes = F.create_map(*[F.lit(y) for i, m in size.items() for y in (i, m)]) if size else F.create_map().cast("map<int,bigint>")
     inside = placed.select("node", F.col("cell_id").alias("cell"), F.explode("inside").alias("ball")).where(F.col("ball").isin(dense)).select("node", "cell", "ball", F.try_element_at(sizes, F.col("ball")).cast("bigint").alias("n"))
     near = durable(inside.unionByName(_near_balls(placed, dense, balls.eps, dims)))
-    outside = durable(placed.where(~at_home).select("cell_id", "x"))
     merge = near.where(F.col("node").startswith("b")).select(F.col("node").alias("a"), ball(F.col("ball")).alias("b")).distinct()
     border = None
-    rest = outside.count()
-    if rest:
-        lists = durable(posting_lists(outside, "cell_id", "x", dims, rest, _margin_rule(balls.eps), BLOCK))
+    if rest := n - sum(size.values()):
+        lists = posting_lists(placed.where(F.col("node").startswith("c")).select("cell_id", "x"), "cell_id", "x", dims, rest, _margin_rule(balls.eps), BLOCK)
         counted = _near_counts(lists, balls.eps, dims).unionByName(near.where(F.col("node").startswith("c")).select("cell", "n"))
         cores = durable(counted.groupBy("cell").agg((F.sum("n") >= least).alias("core")))
         local = durable(_local_clusters(lists, cores, balls.eps, dims))

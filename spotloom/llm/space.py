@@ -60,11 +60,13 @@ def bounded_sample(vectors: DataFrame, key: str, column: str, dims: int, rows: i
     return matrix(got["v"], dims)
 
 
-def narrowest(vectors: DataFrame, column: str) -> str:
-    """The narrowest type that holds all numbers of a column of lists exactly, in which they then travel."""
+def measured(vectors: DataFrame, column: str) -> tuple[int, int, str]:
+    """(rows, dimensions, type): the type is the narrowest that holds all numbers of a column of lists exactly, in which
+    they then travel."""
     kept = lambda kind: F.bool_and(F.forall(column, lambda e: e.isNull() | F.coalesce(e.try_cast(kind).cast("double") == e, F.lit(False))))
-    short, single = vectors.agg(kept("smallint"), kept("float")).first()
-    return "smallint" if short else "float" if single else "double"
+    whole = vectors.schema[column].dataType.elementType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    n, dims, short, single = vectors.agg(F.count(F.lit(1)), F.max(F.size(column)), kept("smallint"), F.lit(False) if whole else kept("float")).first()
+    return n, dims or 0, "smallint" if short else vectors.schema[column].dataType.elementType.simpleString() if whole else "float" if single else "double"
 
 
 def balanced_parts(x: np.ndarray, k: int, rounds: int = 6) -> list[np.ndarray]:
@@ -179,22 +181,24 @@ def posting_lists(vectors: DataFrame, key: str, column: str, dims: int, n: int,
     dealt = durable(dealt)
     rows = dealt.select("k", "x", F.explode("lists").alias("l")).select("k", "x", "l.list", "l.flags")
     full = lambda r: r.groupBy("list").agg(F.count_if(F.col("flags").bitwiseAND(1) > 0).alias("n_data"), F.count_if(F.col("flags") > 1).alias("n_query"))
-    counts = {r[0]: (r[1], r[2]) for r in full(dealt.select(F.explode("lists").alias("l")).select("l.list", "l.flags")).collect()}  # at most CENTROIDS rows
-    long = {i: a + b for i, (a, b) in counts.items() if max(a, b) > CUT * size}
-    if long and n > size:
+    counts = [tuple(r) for r in full(dealt.select(F.explode("lists").alias("l")).select("l.list", "l.flags")).collect()]  # at most CENTROIDS rows
+    long = {i: a + b for i, a, b in counts if max(a, b) > CUT * size}
+    if long and n > size * len(graph.c):
         rows = durable(rows.where(~F.col("list").isin(list(long))).unionByName(_cut(rows, long, dims, kind, rule, size)))
-        heavy = full(rows)
+        # lists that one task should not take whole: few rows, which Spark broadcasts if they are as small as that
+        heavy = durable(full(rows).where(f"n_data > {TASK_ROWS} or n_query > {TASK_ROWS}"))
+        heavy = None if heavy.isEmpty() else heavy
     else:
-        heavy = spark.createDataFrame([(i, *c) for i, c in counts.items()], "list bigint, n_data bigint, n_query bigint")
-    # lists that one task should not take whole; a table of few rows, which Spark then broadcasts if it is as small as that
-    parts = lambda c: F.ceil(F.col(c) / TASK_ROWS).cast("int")
-    heavy = durable(heavy.where(f"n_data > {TASK_ROWS} or n_query > {TASK_ROWS}").select("list", F.greatest(parts("n_query"), F.lit(1)).alias("nq"), F.greatest(parts("n_data"), F.lit(1)).alias("nd")))
+        counts = [c for c in counts if max(c[1:]) > TASK_ROWS]
+        heavy = spark.createDataFrame(counts, "list bigint, n_data bigint, n_query bigint") if counts else None
     flags = F.col("flags")
     rows = rows.select("k", "x", "list", (flags.bitwiseAND(1) > 0).alias("data"), (flags > 1).alias("query"))
     one = F.lit(0).alias("q"), F.lit(0).alias("d")
-    if heavy.isEmpty():
+    if heavy is None:
         return rows.select(F.col("k").alias(key), F.col("x").alias(column), "list", *one, "data", "query")
     h = lambda c: F.pmod(F.xxhash64("k"), F.col(c)).cast("int")
+    parts = lambda c: F.greatest(F.ceil(F.col(c) / TASK_ROWS).cast("int"), F.lit(1))
+    heavy = heavy.select("list", parts("n_query").alias("nq"), parts("n_data").alias("nd"))
     rows = rows.join(heavy, "list", "left").na.fill(1, ["nq", "nd"]).withColumns({"hq": h("nq"), "hd": h("nd")})
     cell = lambda q, d, data, query: F.struct(q.alias("q"), d.alias("d"), data.alias("data"), query.alias("query"))
     own = F.array(cell(F.col("hq"), F.col("hd"), F.col("data"), F.col("query")))

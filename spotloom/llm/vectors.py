@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotloom.llm.space import CentroidGraph, Rule, matrix, narrowest, posting_lists, unit
+from spotloom.llm.space import CentroidGraph, Rule, matrix, measured, posting_lists, unit
 from spotloom.session import durable
 
 #: Vectors that a list should hold.
@@ -54,10 +54,10 @@ def nearest_vectors(vectors: DataFrame, k: int = 3, min_similarity: float | None
     """
     v = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(key).alias("label")).agg(F.min(column).alias("vector"))
     v = durable(v.where(F.exists("vector", lambda e: F.coalesce(e, F.lit(0.0)) != 0)))
-    n, dims = v.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    n, dims, kind = measured(v, "vector")
     if not n:
         return vectors.sparkSession.createDataFrame([], "label_a string, label_b string, similarity double")
-    v = v.withColumn("vector", F.col("vector").cast(f"array<{narrowest(v, 'vector')}>"))
+    v = v.withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
     slack = 0.0 if min_similarity is None else 2 * math.sqrt(max(0.0, 2 - 2 * min_similarity)) + 1e-6
     floor = -1.0 if min_similarity is None else min_similarity
     rows = posting_lists(v, "label", "vector", dims, n, ratio_rule(closure, probes, slack), LIST)

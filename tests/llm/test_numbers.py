@@ -288,7 +288,9 @@ def test_density_clusters_against_brute_force(spark, monkeypatch, sample, member
         assert got[c] in set().union(*[root[k] for k in ks]) if ks else got[c] == f"c{c}" or sum(v == got[c] for v in got.values()) == 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_of_one_task", [0, 500_000])
+def test_components(spark, monkeypatch, edges_of_one_task):
+    monkeypatch.setattr(clusters, "EDGES", edges_of_one_task)
     rng = random.Random(6)
     edges = [(f"n{i}", f"n{i + 1}") for i in range(60)] + [(f"m{rng.randrange(50)}", f"m{rng.randrange(50)}") for _ in range(45)] + [("hub", f"s{i}") for i in range(300)] + [("x", "x")]
     root = {}
@@ -304,6 +306,7 @@ def test_components(spark):
             root[y] = x
     got = {r.node: r.root for r in clusters.components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert got == {n: find(n) for n in list(root)}
+    assert clusters.components(spark.createDataFrame([("x", "x")], "a string, b string")).count() == 0
 
 
 @pytest.mark.parametrize("block", [4096, 300])
