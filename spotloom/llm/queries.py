@@ -28,7 +28,8 @@ def p3_described(spark: SparkSession, sf: str) -> DataFrame:
 def _cell_vectors(spark: SparkSession, sf: str, name: str) -> DataFrame:
     t = table(spark, sf, name)
     numbers = [c for c in t.columns if c not in ("label", "segmentation_label")]
-    return t.select("label", F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in numbers]).alias("vector"))
+    kind = "double" if any(t.schema[c].dataType.simpleString() in ("double", "float") for c in numbers) else "int"
+    return t.select("label", F.array(*[F.coalesce(F.col(f"`{c}`").cast(kind), F.lit(0).cast(kind)) for c in numbers]).alias("vector"))
 
 
 def _neighbours(spark: SparkSession, sf: str, least: float | None) -> list[tuple[str, DataFrame]]:

@@ -53,13 +53,13 @@ def nearest_vectors(vectors: DataFrame, k: int = 3, min_similarity: float | None
     these is missed. Without it the accuracy hangs on ``closure`` and ``probes``, and is measured in the tests.
     """
     v = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(key).alias("label")).agg(F.min(column).alias("vector"))
-    v = durable(v.where(F.exists("vector", lambda e: F.coalesce(e, F.lit(0.0)) != 0)))
+    v = durable(v.where(F.exists("vector", lambda e: F.coalesce(e, F.lit(0)) != 0)))
     n, dims, kind = measured(v, "vector")
     if not n:
         return vectors.sparkSession.createDataFrame([], "label_a string, label_b string, similarity double")
     v = v.withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
     slack = 0.0 if min_similarity is None else 2 * math.sqrt(max(0.0, 2 - 2 * min_similarity)) + 1e-6
-    floor = -1.0 if min_similarity is None else min_similarity
+    floor = -2.0 if min_similarity is None else min_similarity
     rows = posting_lists(v, "label", "vector", dims, n, ratio_rule(closure, probes, slack), LIST)
 
     def one_list(t: pa.Table) -> pa.Table:
@@ -67,17 +67,20 @@ def nearest_vectors(vectors: DataFrame, k: int = 3, min_similarity: float | None
         low = u.astype(np.float32)
         data = np.flatnonzero(t["data"].to_numpy(zero_copy_only=False))
         query = np.flatnonzero(t["query"].to_numpy(zero_copy_only=False))
+        kept = low[data].T
         out_a, out_b, out_s = [], [], []
         step = max(1, CELLS // max(1, len(data)))
         for s in range(0, len(query), step):
             q = query[s : s + step]
-            rough = low[q] @ low[data].T
-            rough[q[:, None] == data] = -np.inf
-            # the k-th best, less the error of single precision, bounds who can have a place
-            bound = np.full(len(q), floor - 1e-5, np.float32)
-            if rough.shape[1] > k:
-                bound = np.maximum(bound, -np.partition(-rough, k - 1, axis=1)[:, k - 1] - 2e-6)
-            i, j = np.nonzero((rough >= bound[:, None]) & np.isfinite(rough))
+            rough = low[q] @ kept
+            own = np.minimum(np.searchsorted(data, q), max(0, len(data) - 1))
+            own_row = np.flatnonzero(data[own] == q) if len(data) else own[:0]
+            rough[own_row, own[own_row]] = -np.inf
+            i, j = np.nonzero(rough >= np.float32(floor - 1e-5))
+            if len(i) > 8 * k * len(q) and rough.shape[1] > k:
+                # the k-th best, less the error of single precision, bounds who can have a place
+                bound = np.maximum(np.float32(floor - 1e-5), np.partition(rough, -k, axis=1)[:, -k] - 2e-6)
+                i, j = np.nonzero(rough >= bound[:, None])
             sim = np.round(np.einsum("nd,nd->n", u[q[i]], u[data[j]]), DECIMALS)
             ok = sim >= floor
             out_a.append(q[i[ok]])
