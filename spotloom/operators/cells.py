@@ -135,7 +135,9 @@ def sparse_genes(counts: DataFrame, key: str = "label") -> DataFrame:
 
 def with_clustering(cells: DataFrame, clustering: DataFrame, key: str = "cell_id") -> DataFrame:
     """Cells with their clusters and embedding, nulls where there is none; a repeated key of ``clustering`` counts once."""
-    return cells.join(clustering.dropDuplicates([key]), key, "left")
+    rest = [c for c in clustering.columns if c != key]
+    one = clustering.groupBy(key).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_m")).select(key, *[F.col(f"_m.`{c}`").alias(c) for c in rest])
+    return cells.join(one, key, "left")
 
 
 def embedding_vector(df: DataFrame, name: str, out: str = "X_umap") -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from spotloom.functions.barcode import hamming, packed
 from spotloom.schemas import MAX_DISTANCE, MIN_DELTA, UNDETERMINED
 
-#: Codes, in all, up to which every read meets all codes of its number, broadcast; beyond, candidates are sought by
-#: segments in a shuffled join.
-BROADCAST_CODES = 20_000
+#: Codes, in all, up to which every read meets all codes of its number and length, broadcast; beyond, candidates are sought
+#: by equal segments, of which a code has a fixed number. Both give the same pairs.
+BROADCAST_CODES = 1_000
 SEGMENTS = MAX_DISTANCE + MIN_DELTA + 1
 
 
@@ -29,8 +29,8 @@ def _distance() -> Column:
 
 def _pairs_by_read(reads: DataFrame, codes: DataFrame, broadcast: bool) -> DataFrame:
     c = _with_bits(codes, "c").withColumnRenamed("sequence", "code")
-    pairs = _with_bits(reads, "r").join(F.broadcast(c) if broadcast else c, "read")
-    return pairs.where(F.length("sequence") == F.length("code")).withColumn("distance", _distance())
+    c, r = c.withColumn("_length", F.length("code")), _with_bits(reads, "r").withColumn("_length", F.length("sequence"))
+    return r.join(F.broadcast(c) if broadcast else c, ["read", "_length"]).drop("_length").withColumn("distance", _distance())
 
 
 def _segments(sequence: Column) -> Column:
@@ -59,7 +59,9 @@ def distinct_reads(reads: DataFrame) -> DataFrame:
 
 def code_distances(reads: DataFrame, codes: DataFrame, most: int = MAX_DISTANCE + MIN_DELTA) -> DataFrame:
     """(read, sequence, probe_name, distance) of distinct reads and codes of one read number and length within ``most``."""
-    return _pairs_by_read(distinct_reads(reads), codes, codes.count() <= BROADCAST_CODES).where(F.col("distance") <= most).select("read", "sequence", "probe_name", "distance")
+    few = codes.count() <= BROADCAST_CODES
+    pairs = _pairs_by_read(distinct_reads(reads), codes, few) if few or most > SEGMENTS - 1 else _pairs_by_segment(distinct_reads(reads), codes)
+    return pairs.where(F.col("distance") <= most).select("read", "sequence", "probe_name", "distance")
 
 
 def decide(reads: DataFrame, codes: DataFrame, by_segment: bool | None = None) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Recognising and upgrading older table layouts."""
+"""Recognising and upgrading older table layouts.
+
+An upgrade renames, reorders and scales, but never judges values: a measurement that is NaN was taken and is no number, one
+that is null was not taken, and both come out as they went in.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotloom.functions.probes import is_probe_name
-from spotloom.schemas import FEATURE_COLUMNS, LEGACY_FEATURES, NOT_CONVERTED, PIXEL_AREA_UM2, UNDETERMINED
+from spotloom.schemas import FEATURE_COLUMNS, LEGACY_FEATURES, MIGRATED_COLUMNS, NOT_CONVERTED, PIXEL_AREA_UM2, UNDETERMINED
 
 #: Column sets by which layouts are told apart.
 EARLY_DEMUXED = {"cell_id", "gene_name", "probe_name", "demuxed"}
@@ -31,8 +35,8 @@ def upgrade_features(features: DataFrame) -> DataFrame:
 
 
 def features_in_order(features: DataFrame) -> DataFrame:
-    """The raw feature table's columns in their order."""
-    return features.select(*FEATURE_COLUMNS)
+    """The columns of a migrated raw feature table in their order."""
+    return features.select(*MIGRATED_COLUMNS)
 
 
 def classify_panel(panel: DataFrame) -> str:

@@ -1,35 +1,42 @@
 """Rings of regions: contours of their pixels, and the smooth outline that the viewer draws.
 
-One region's pixels form one group, sent to one task by a shuffle on (sample, label); a cell has some thousand pixels.
+A region's pixels come to one task by a shuffle on (sample, label), sorted; the task works through its regions as they pass
+by. A cell has some thousand pixels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Tolerance, in pixels, of the simplified outline.
 TOLERANCE = 2.0
 
 
+#: By the corners of a square that are inside (1, 2, 4 and 8 from the upper left on, clockwise), the pieces of
+#: a contour that cross it, from side to side.
+PIECES = {1: ["tl"], 2: ["rt"], 4: ["br"], 8: ["lb"], 3: ["rl"], 6: ["bt"], 12: ["lr"], 9: ["tb"], 14: ["lt"], 13: ["tr"], 11: ["rb"], 7: ["bl"], 5: ["tl", "br"], 10: ["rt", "lb"]}
+
+
 def contours(ys: np.ndarray, xs: np.ndarray) -> list[np.ndarray]:
     """Closed rings (y, x) around the pixels, at the level half-way between inside and outside (marching squares)."""
     y0, x0 = ys.min() - 1, xs.min() - 1
-    m = np.zeros((ys.max() - y0 + 2, xs.max() - x0 + 2), bool)
-    m[ys - y0, xs - x0] = True
+    m = np.zeros((ys.max() - y0 + 2, xs.max() - x0 + 2), np.int8)
+    m[ys - y0, xs - x0] = 1
+    code = m[:-1, :-1] + 2 * m[:-1, 1:] + 4 * m[1:, 1:] + 8 * m[1:, :-1]
     follow: dict[tuple, list[tuple]] = {}
-    # each square of four pixel centres adds the pieces of the ring that cross it, inside on the left
-    for i in range(m.shape[0] - 1):
-        for j in np.flatnonzero(m[i, :-1] | m[i, 1:] | m[i + 1, :-1] | m[i + 1, 1:]):
-            a, b, c, d = m[i, j], m[i, j + 1], m[i + 1, j + 1], m[i + 1, j]
-            sides = {"t": (i, j + 0.5), "r": (i + 0.5, j + 1), "b": (i + 1, j + 0.5), "l": (i + 0.5, j)}
-            corner = {(1, 0, 0, 0): ["tl"], (0, 1, 0, 0): ["rt"], (0, 0, 1, 0): ["br"], (0, 0, 0, 1): ["lb"], (1, 1, 0, 0): ["rl"], (0, 1, 1, 0): ["bt"], (0, 0, 1, 1): ["lr"], (1, 0, 0, 1): ["tb"], (0, 1, 1, 1): ["lt"], (1, 0, 1, 1): ["tr"], (1, 1, 0, 1): ["rb"], (1, 1, 1, 0): ["bl"], (1, 0, 1, 0): ["tl", "br"], (0, 1, 0, 1): ["rt", "lb"]}
-            for p in corner.get((int(a), int(b), int(c), int(d)), []):
-                follow.setdefault(sides[p[0]], []).append(sides[p[1]])
+    # only squares that the contour crosses are gone through; inside is on the left of each piece
+    at_i, at_j = np.nonzero((code > 0) & (code < 15))
+    for i, j, k in zip(at_i.tolist(), at_j.tolist(), code[at_i, at_j].tolist(), strict=True):
+        sides = {"t": (i, j + 0.5), "r": (i + 0.5, j + 1), "b": (i + 1, j + 0.5), "l": (i + 0.5, j)}
+        for p in PIECES[k]:
+            follow.setdefault(sides[p[0]], []).append(sides[p[1]])
     rings = []
     while follow:
-        start = min(follow)
+        start = next(iter(follow))
         ring, at = [start], start
         while True:
             to = follow[at].pop()
@@ -43,18 +50,85 @@ def contours(ys: np.ndarray, xs: np.ndarray) -> list[np.ndarray]:
     return rings
 
 
+def by_region(pixels: DataFrame, work: Callable[[np.ndarray, np.ndarray], list[list]], schema: str, kind: pa.DataType) -> DataFrame:
+    """(sample_id, label, part, ring) of each region: ``work`` gets the region's pixels (y, x), row by row, and gives rings."""
+
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def rings(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(parts)
+            sample, label = t["sample_id"].to_numpy(), t["label"].to_numpy()
+            y, x = t["y"].to_numpy(), t["x"].to_numpy()
+            ends = np.flatnonzero((label[1:] != label[:-1]) | (sample[1:] != sample[:-1])) + 1
+            out = [(sample[a], int(label[a]), i, r) for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(y)], strict=True) for i, r in enumerate(work(y[a:b], x[a:b]))]
+            s, n, p, r = zip(*out, strict=True) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(n, pa.int32()), pa.array(p, pa.int32()), pa.array(r, pa.list_(kind))], ["sample_id", "label", "part", "ring"])
+
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
+            same = (key[0] == key[0][-1]) & (key[1] == key[1][-1])
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            # the batch's last region may go on in the next
+            if cut or (last is not None and last != (key[0][0], key[1][0])):
+                held.append(b.slice(0, cut))
+                yield from rings(held)
+                held = []
+            held.append(b.slice(cut))
+            last = (key[0][-1], key[1][-1])
+        if held:
+            yield from rings(held)
+
+    p = pixels.where("label <> 0").select("sample_id", "label", "y", "x")
+    return p.repartition("sample_id", "label").sortWithinPartitions("sample_id", "label", "y", "x").mapInArrow(through, schema)
+
+
 def vectorize(pixels: DataFrame, nudge: bool = True) -> DataFrame:
     """(sample_id, label, part, ring ARRAY<DOUBLE> of x,y,...): the contours of each region, holes included; those of
     fewer than four points are dropped. ``nudge`` moves them by half a pixel up and left. Label 0 is no region."""
     shift = -0.5 if nudge else 0.0
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = [r for r in contours(pdf["y"].to_numpy(), pdf["x"].to_numpy()) if len(r) >= 4]
-        rows = [(pdf["sample_id"].iloc[0], int(pdf["label"].iloc[0]), i, (r[:, ::-1] + shift).ravel().tolist()) for i, r in enumerate(rings)]
-        return pd.DataFrame(rows, columns=["sample_id", "label", "part", "ring"])
+    def work(y: np.ndarray, x: np.ndarray) -> list[list]:
+        return [(r[:, ::-1] + shift).ravel().tolist() for r in contours(y, x) if len(r) >= 4]
+
+    return by_region(pixels, work, "sample_id string, label int, part int, ring array<double>", pa.float64())
 
-    p = pixels.where("label <> 0").select("sample_id", "y", "x", "label")
-    return p.groupBy("sample_id", "label").applyInPandas(one, "sample_id string, label int, part int, ring array<double>")
+
+#: Steps to the pixels around one, up to a distance of 3, nearest first, one of each two opposite ones.
+_STEPS = sorted(((dy * dy + dx * dx, dy, dx) for dy in range(4) for dx in range(-3, 4) if (dy or dx > 0) and dy * dy + dx * dx <= 9))
+
+
+def grid_tree(points: np.ndarray) -> list[list[int]] | None:
+    """Neighbour lists of a minimum spanning tree of pixels, or None if some are farther than 3 from all others.
+
+    Links up to that length are taken shortest first; where they connect all pixels, no longer one can be in the tree.
+    """
+    at = {p: i for i, p in enumerate(map(tuple, points.astype(int).tolist()))}
+    n = len(points)
+    root = list(range(n))
+    links: list[list[int]] = [[] for _ in range(n)]
+    left = n - 1
+    for _, dy, dx in _STEPS:
+        if not left:
+            break
+        for (y, x), i in at.items():
+            j = at.get((y + dy, x + dx))
+            if j is None:
+                continue
+            a, b = i, j
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            if a != b:
+                root[a] = b
+                links[i].append(j)
+                links[j].append(i)
+                left -= 1
+    return None if left else links
 
 
 def spanning_tree(points: np.ndarray) -> list[list[int]]:
@@ -130,7 +204,8 @@ def smooth_ring(ys: np.ndarray, xs: np.ndarray, tolerance: float = TOLERANCE) ->
     tree, closed and simplified. Up to two pixels are taken as they are."""
     order = np.lexsort((xs, ys))
     points = np.stack([ys[order], xs[order]], 1).astype(float)
-    path = points[longest_path(spanning_tree(points))]
+    tree = grid_tree(points)
+    path = points[longest_path(spanning_tree(points) if tree is None else tree)]
     if len(path) <= 2:
         return path
     if not np.array_equal(path[0], path[-1]):
@@ -142,10 +217,8 @@ def smooth_ring(ys: np.ndarray, xs: np.ndarray, tolerance: float = TOLERANCE) ->
 def smooth_outlines(outline: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(sample_id, label, ring ARRAY<INT> of x1,y1,...,x1,y1) of each region's outline pixels."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = smooth_ring(pdf["y"].to_numpy(), pdf["x"].to_numpy(), tolerance)
-        ring = np.vstack([s, s[:1]])[:, ::-1].astype(int).ravel().tolist()
-        return pd.DataFrame([(pdf["sample_id"].iloc[0], int(pdf["label"].iloc[0]), ring)], columns=["sample_id", "label", "ring"])
+    def work(y: np.ndarray, x: np.ndarray) -> list[list]:
+        s = smooth_ring(y, x, tolerance)
+        return [np.vstack([s, s[:1]])[:, ::-1].astype(int).ravel().tolist()]
 
-    o = outline.where("label <> 0").select("sample_id", "y", "x", "label")
-    return o.groupBy("sample_id", "label").applyInPandas(one, "sample_id string, label int, ring array<int>")
+    return by_region(outline, work, "sample_id string, label int, part int, ring array<int>", pa.int32()).drop("part")

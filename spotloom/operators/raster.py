@@ -27,19 +27,24 @@ BROADCAST_RUNS = 500_000
 
 
 def rings_to_runs(rings: DataFrame) -> DataFrame:
-    """(sample_id, y, x0, x1, label) of the pixels whose centre lies inside a ring, by the even-odd rule.
+    """``polygons_to_runs`` of single rings: (sample_id, label, ring ARRAY of x1,y1,...)."""
+    return polygons_to_runs(rings.select("sample_id", "label", F.array("ring").alias("rings")))
 
-    ``rings``: (sample_id, label, ring ARRAY of x1,y1,...), closed or not, in either direction. Rings of fewer than three
-    vertices, with null elements, label or sample are ignored. Repeated rings count once. Where rings overlap, so do
-    their runs; see ``last_on_top``.
+
+def polygons_to_runs(polygons: DataFrame) -> DataFrame:
+    """(sample_id, y, x0, x1, label) of the pixels whose centre lies inside a polygon, by the even-odd rule, so that a
+    ring within a ring is a hole.
+
+    ``polygons``: (sample_id, label, rings ARRAY of rings, each x1,y1,..., closed or not, in either direction). Rings of
+    fewer than three vertices or with null elements are ignored, as are polygons without any other, label or sample.
+    Repeated polygons count once. Where polygons overlap, so do their runs; see ``last_on_top``.
     """
-    r = rings.where("sample_id is not null and label is not null and size(ring) >= 6 and not exists(ring, v -> v is null)").select("sample_id", "label", "ring").distinct()
-    r = r.selectExpr("sample_id", "label", "transform(filter(ring, (v, i) -> i % 2 = 0), v -> double(v)) as xs", "transform(filter(ring, (v, i) -> i % 2 = 1), v -> double(v)) as ys")
-    r = r.selectExpr(
-        "sample_id", "label",
-        "transform(sequence(0, size(ys) - 1), i -> struct(xs[i] as ax, ys[i] as ay, xs[(i + 1) % size(ys)] as bx, ys[(i + 1) % size(ys)] as `by`)) as edges",
-        "cast(floor(array_min(ys) - 0.5) as int) as lo", "cast(ceil(array_max(ys)) as int) as hi",
-    )
+    r = polygons.where("sample_id is not null and label is not null").selectExpr("sample_id", "label", "filter(rings, r -> size(r) >= 6 and not exists(r, v -> v is null)) as rings").where("size(rings) > 0").distinct()
+    r = r.selectExpr("sample_id", "label", "transform(rings, r -> transform(slice(r, 1, size(r) div 2 * 2), v -> double(v))) as rings")
+    edge = "struct(r[2 * i] as ax, r[2 * i + 1] as ay, r[(2 * i + 2) % size(r)] as bx, r[(2 * i + 3) % size(r)] as `by`)"
+    r = r.selectExpr("sample_id", "label", f"flatten(transform(rings, r -> transform(sequence(0, size(r) div 2 - 1), i -> {edge}))) as edges")
+    ys = "transform(edges, e -> e.ay)"
+    r = r.selectExpr("sample_id", "label", "edges", f"cast(floor(array_min({ys}) - 0.5) as int) as lo", f"cast(ceil(array_max({ys})) as int) as hi")
     rows = r.selectExpr("sample_id", "label", "edges", "explode(sequence(lo, hi)) as y")
     cross = """array_sort(transform(filter(edges, e -> (e.ay > y + 0.5D) != (e.`by` > y + 0.5D)),
         e -> (e.bx - e.ax) * (y + 0.5D - e.ay) / (e.`by` - e.ay) + e.ax))"""
@@ -56,7 +61,7 @@ def runs_to_pixels(runs: DataFrame) -> DataFrame:
 
 def last_on_top(pixels: DataFrame, order: str = "label") -> DataFrame:
     """One label per pixel where regions overlap: that of the greatest ``order``, then of the greatest label."""
-    return pixels.groupBy("sample_id", "y", "x").agg(F.max(F.struct(order, "label")).alias("m")).select("sample_id", "y", "x", "m.label")
+    return pixels.groupBy("sample_id", "y", "x").agg(F.max(F.struct(F.col(order).alias("_order"), "label")).alias("m")).select("sample_id", "y", "x", "m.label")
 
 
 def pixels_to_runs(pixels: DataFrame) -> DataFrame:
@@ -82,7 +87,9 @@ def look_up(points: DataFrame, runs: DataFrame, out: str = "label", x: str = "x_
     """
     blocks = runs.select("sample_id", F.col("y").alias("_y"), F.explode(F.sequence(F.floor(F.col("x0") / BLOCK).cast("int"), F.floor((F.col("x1") - 1) / BLOCK).cast("int"))).alias("_b"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("label").alias("_label"))
     rows = blocks.groupBy("sample_id", "_y", "_b").agg(F.collect_list(F.struct("_x0", "_x1", "_label")).alias("_runs"))  # at most one run per pixel of a block and ring
-    p = points.withColumns({"_y": pixel_of(F.col(y)), "_x": pixel_of(F.col(x))}).withColumn("_b", F.floor(F.col("_x") / BLOCK).cast("int"))
+    # points without a pixel are spread over rows that no raster has, or they would all meet in one task
+    nowhere = -1 - F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in points.columns if c in (x, y, "row_id", "TXUID", "sample_id")]), F.lit(4096)).cast("int")
+    p = points.withColumns({"_y": F.coalesce(pixel_of(F.col(y)), nowhere), "_x": F.coalesce(pixel_of(F.col(x)), F.lit(-1))}).withColumn("_b", F.floor(F.col("_x") / BLOCK).cast("int"))
     found = p.join(rows, ["sample_id", "_y", "_b"], "left")
     label = F.coalesce(F.array_max(F.expr("transform(filter(_runs, r -> r._x0 <= _x and _x < r._x1), r -> r._label)")), F.lit(0))
     return found.withColumn(out, label.cast("int")).select(*[c for c in points.columns if c != out], out)
@@ -99,6 +106,11 @@ def region_properties(runs: DataFrame) -> DataFrame:
     return g.select("sample_id", "label", "n_pixels", (F.col("n_pixels") * PIXEL_AREA_UM2).alias("area_um"), (F.col("sx2") / 2 / F.col("n_pixels")).alias("cell_x"), (F.col("sy") / F.col("n_pixels")).alias("cell_y"))
 
 
+def bounding_boxes(runs: DataFrame) -> DataFrame:
+    """(sample_id, label, y0, x0, y1, x1): each region's box, ends exclusive; its side is the greater of its lengths."""
+    return runs.where("label <> 0").groupBy("sample_id", "label").agg(F.min("y").alias("y0"), F.min("x0").alias("x0"), (F.max("y") + 1).alias("y1"), F.max("x1").alias("x1"))
+
+
 def nuclear_properties(nuclei: DataFrame, expanded: DataFrame) -> DataFrame:
     """(sample_id, label, cell_x, cell_y, nuclei_area_um, nuclei_expanded_area_um): every cell of the expanded raster;
     the centroid is the nucleus', and it and the nucleus' area are null for a cell without one."""
@@ -136,12 +148,12 @@ def region_means(image_rows: DataFrame, runs: DataFrame, excluded: DataFrame | N
     if runs.count() <= BROADCAST_RUNS:
         per_row = F.broadcast(per_row)
     i = image_rows.select("sample_id", "channel", "y", "x0", "intensities")
-    part = i.join(per_row, ["sample_id", "y"]).select("sample_id", "channel", "x0", "intensities", F.explode("_runs").alias("r")).select("*", "r.*")
-    lo, hi = F.greatest("_a", "x0"), F.least("_b", F.col("x0") + F.size("intensities"))
-    part = part.where(hi > lo).withColumn("v", F.array_compact(F.slice("intensities", lo - F.col("x0") + 1, hi - lo)))
-    g = part.groupBy("sample_id", "label", "channel").agg(
-        F.sum(F.col("_sign") * F.aggregate("v", F.lit(0.0), lambda s, e: s + e)).alias("s"), F.sum(F.col("_sign") * F.size("v")).cast("bigint").alias("n_pixels")
-    )
+    # each run is reduced where its row is, so that no copy of the row's pixels leaves it
+    cut = "slice(intensities, greatest(r._a, x0) - x0 + 1, greatest(least(r._b, x0 + size(intensities)) - greatest(r._a, x0), 0))"
+    added = f"aggregate({cut}, named_struct('s', 0D, 'n', 0L), (t, v) -> if(v is null, t, named_struct('s', t.s + v, 'n', t.n + 1L)))"
+    part = i.join(per_row, ["sample_id", "y"]).select("sample_id", "channel", F.explode(F.expr(f"transform(_runs, r -> struct(r.label as label, r._sign as sign, {added} as t))")).alias("r"))
+    part = part.select("sample_id", "channel", "r.label", "r.sign", "r.t.s", "r.t.n")
+    g = part.groupBy("sample_id", "label", "channel").agg(F.sum(F.col("sign") * F.col("s")).alias("s"), F.sum(F.col("sign") * F.col("n")).cast("bigint").alias("n_pixels"))
     return g.where("n_pixels > 0").select("sample_id", "label", "channel", (F.col("s") / F.col("n_pixels")).alias("mean_intensity"), "n_pixels")
 
 

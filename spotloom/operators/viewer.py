@@ -169,15 +169,25 @@ def sample_levels(levelled: DataFrame, levels: int, key: str, group: list[str],
     """On each level and tile column, the share ``share ** (levels - level)`` of its points, rounded down, smallest
     md5 of ``key`` first: the exact fraction, the same on every run.
 
-    The finest level is kept whole without being ranked.
+    The points of a tile column are counted by the beginning of their md5, of which there are 4,096; the one in which the
+    share ends is found from the counts, and only its points are ranked. The finest level is kept whole.
     """
     finest = levelled.where(F.col("level") == levels)
-    rest = levelled.where(F.col("level") < levels)
-    w = Window.partitionBy("level", *group, "tile_x").orderBy(F.md5(F.col(key).cast("string")), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy("level", *group, "tile_x"))
-    keep = F.floor(F.col("_n") * F.pow(F.lit(share), F.lit(levels) - F.col("level")) + 1e-9)
-    kept = rest.withColumns({"_i": F.row_number().over(w), "_n": n}).where(F.col("_i") <= keep).drop("_i", "_n")
-    return finest.unionByName(kept)
+    md5 = F.md5(F.col(key).cast("string"))
+    rest = levelled.where(F.col("level") < levels).withColumn("_begin", F.conv(F.substring(md5, 1, 3), 16, 10).cast("int"))
+    column = ["level", *group, "tile_x"]
+    counts = rest.groupBy(*column, "_begin").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*column)
+    upto = counts.withColumns({"upto": F.sum("n").over(w.orderBy("_begin").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(w)})
+    upto = upto.withColumn("keep", F.floor(F.col("all") * F.pow(F.lit(share), F.lit(levels) - F.col("level")) + 1e-9))
+    ends = upto.where("upto >= keep and upto - n < keep").select(*[F.col(c).alias(f"_{c}") for c in column], F.col("_begin").alias("_end"), (F.col("keep") - F.col("upto") + F.col("n")).alias("_left"))
+    same = F.lit(True)
+    for c in column:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    near = rest.join(ends, same & (F.col("_begin") <= F.col("_end")))
+    rank = F.row_number().over(w.orderBy(md5, key))
+    edge = near.where(F.col("_begin") == F.col("_end")).withColumn("_i", rank).where(F.col("_i") <= F.col("_left"))
+    return finest.unionByName(near.where(F.col("_begin") < F.col("_end")).select(*levelled.columns)).unionByName(edge.select(*levelled.columns))
 
 
 def tile_documents(levelled: DataFrame, group: list[str], gene: str = "gene_name") -> DataFrame:

@@ -167,7 +167,7 @@ def resegment(sample: SpatialSample, out: Path, log: logging.Logger, cell_labels
     """Transcripts and intensities assigned to a new raster (.npy, .npz or .geojson), and the cell tables rebuilt."""
     path = directory.check_path(cell_labels, dir_ok=False)
     if path.suffix == ".geojson":
-        runs = masks.rasterized(masks.geojson_rings(sample.spark, str(path), sample.sample_id, labels_key))
+        runs = masks.rasterized(masks.geojson_polygons(sample.spark, str(path), sample.sample_id, labels_key))
         h, w = sample.shape
         runs = durable(runs.where(F.col("y") < h).withColumn("x1", F.least("x1", F.lit(w))).where("x0 < x1"))
         mask = masks.runs_to_mask(runs, sample.shape)

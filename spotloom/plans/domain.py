@@ -13,6 +13,7 @@ from spotloom.functions.probes import is_probe_name, probe_type, read_of_id
 from spotloom.operators import cells, demux, evolution, manifest, polygons, raster, viewer
 from spotloom.schemas import UNDETERMINED
 from spotloom.session import durable, table
+from spotloom.sources import masks
 
 CHANNELS = ["ch0", "ch1", "ch2", "ch3"]
 NUCLEUS = 6.0
@@ -82,7 +83,17 @@ def placed(spark: SparkSession, sf: str) -> DataFrame:
 
 def matrix(spark: SparkSession, sf: str) -> DataFrame:
     """The cells' counts, long; exact repeats of a cell count once."""
-    return cells.unpivot_counts(table(spark, sf, "cell_by_transcript").drop("segmentation_label").dropDuplicates(["label"]), ["label"])
+    return cells.unpivot_counts(table(spark, sf, "cell_by_transcript").drop("segmentation_label").distinct(), ["label"])
+
+
+def told(df: DataFrame, *names: str) -> DataFrame:
+    """Measurements in a form that any tool compares alike: NaN is told apart from null in a column ``<name>_nan`` of its
+    own, and is null in the number's column. Nothing is lost; the operators themselves keep NaN."""
+    out = {}
+    for n in names:
+        out[f"{n}_nan"] = F.when(F.col(n).isNotNull(), F.isnan(n))
+        out[n] = F.when(~F.isnan(n), F.col(n))
+    return df.withColumns(out)
 
 
 # queries
@@ -113,11 +124,11 @@ def _assigned(spark, sf, by_segment=None):
 
 
 def demux_assign(spark, sf):
-    return _assigned(spark, sf)
+    return told(_assigned(spark, sf), "confidence_score")
 
 
 def demux_pigeonhole(spark, sf):
-    return _assigned(spark, sf, True)
+    return told(_assigned(spark, sf, True), "confidence_score")
 
 
 def demux_undetermined(spark, sf):
@@ -193,7 +204,7 @@ def embedding_region_mean(spark, sf):
 
 def cell_metadata(spark, sf):
     props = raster.region_properties(runs(spark, sf)).withColumn("label", cells.cell_name(F.col("sample_id"), F.col("label")))
-    protein = table(spark, sf, "cell_by_protein").dropDuplicates(["label"]).select("label", "nuclearstain_intensity_mean", "cytoplasmicstain_intensity_mean")
+    protein = table(spark, sf, "cell_by_protein").distinct().select("label", "nuclearstain_intensity_mean", "cytoplasmicstain_intensity_mean")
     return cells.cell_metadata(props, protein)
 
 
@@ -289,14 +300,49 @@ def cell_polygons(spark, sf):
     return polygons.smooth_outlines(outline_pixels(spark, sf))
 
 
+def _one_matrix_row(spark, sf):
+    """Of a repeated cell the row of the smallest number."""
+    m = table(spark, sf, "feature_matrix").where("x is not null")
+    return m.groupBy("cell_id").agg(F.min(F.struct("row_no", "x", "total_counts", "n_genes_by_counts")).alias("m")).select("cell_id", "m.x", "m.total_counts", "m.n_genes_by_counts")
+
+
 def cell_documents(spark, sf):
-    m = table(spark, sf, "feature_matrix").where("x is not null").dropDuplicates(["cell_id"])
+    m = _one_matrix_row(spark, sf)
     obs = m.select("cell_id", "total_counts", "n_genes_by_counts")
     shape = raster.region_properties(runs(spark, sf)).select(cells.cell_name(F.col("sample_id"), F.col("label")).alias("cell_id"), F.col("area_um").alias("area"))
     drawn = cell_polygons(spark, sf).select(cells.cell_name(F.col("sample_id"), F.col("label")).alias("cell_id"), "ring")
     return viewer.cell_documents(obs.join(shape, "cell_id", "left"), drawn, cells.sparse_rows(m, "cell_id"))
 
 
+def document_facts(spark, sf):
+    """The cell documents but for their outlines: identity, area, totals, genes, and that the outline is a closed ring."""
+    d = cell_documents(spark, sf)
+    ring = F.coalesce(F.slice("vertices", 1, 2) == F.slice("vertices", -2, 2), F.lit(False))
+    return d.select("cellId", "clusterId", "area", "totalCounts", "totalGenes", "nonzeroGeneIndices", "nonzeroGeneValues", (ring & (F.size("vertices") > 0)).alias("drawn"), F.isnan("umapValues.umapX").alias("no_umap"))
+
+
+def bounding_boxes(spark, sf):
+    return raster.bounding_boxes(runs(spark, sf))
+
+
+def contour_areas(spark, sf):
+    """Area within each region's contours, holes taken off, from their vertices."""
+    v = vectorize_mask(spark, sf)
+    twice = "aggregate(sequence(0, size(ring) div 2 - 2), 0D, (s, i) -> s + ring[2 * i] * ring[2 * i + 3] - ring[2 * i + 2] * ring[2 * i + 1])"
+    return v.groupBy("sample_id", "label").agg(F.abs(F.sum(F.expr(twice)) / 2).alias("area"))
+
+
+def overlap_order(spark, sf):
+    """Cells with a square hole, and over them the same cells a few pixels on: a later feature lies over earlier ones."""
+    r = rings(spark, sf).distinct()
+    mean = lambda k: F.expr(f"cast(floor(aggregate(filter(ring, (v, i) -> i % 2 = {k}), 0D, (s, v) -> s + v) / (size(ring) div 2)) as int)")
+    hole = F.array(*[c + d for c, d in ((F.col("cx"), -2), (F.col("cy"), -2), (F.col("cx"), 2), (F.col("cy"), -2), (F.col("cx"), 2), (F.col("cy"), 2), (F.col("cx"), -2), (F.col("cy"), 2))])
+    first = r.withColumns({"cx": mean(0), "cy": mean(1)}).select("sample_id", "label", F.col("label").alias("ordinal"), F.array("ring", hole).alias("rings"))
+    moved = F.transform("ring", lambda v, i: v + F.when(i % 2 == 0, 6).otherwise(4))
+    second = r.select("sample_id", (F.col("label") + 100_000).alias("label"), (F.col("label") + 1_000_000).alias("ordinal"), F.array(moved).alias("rings"))
+    return raster.runs_to_pixels(masks.rasterized(first.unionByName(second)))
+
+
 def _extent(spark, sf):
     """Height and width that hold all points of any sample."""
     r = table(spark, sf, "cell_masks").select(F.explode("vertices").alias("v")).agg(F.max("v")).first()[0]
@@ -334,6 +380,13 @@ def tile_documents(spark, sf):
     return viewer.tile_documents(_sampled(spark, sf), ["sample_id"])
 
 
+def tile_contents(spark, sf):
+    """What the tiles hold: the number of points, and genes and cells in order."""
+    d = viewer.tile_documents(_sampled(spark, sf), ["sample_id"])
+    names = lambda f: F.array_sort(F.transform("pointsData", lambda p: F.coalesce(p[f], F.lit("")))).alias(f"{f}s")
+    return d.select("sample_id", "level", "tile_x", "tile_y", F.size("pointsData").alias("n"), names("geneName"), names("cellId"))
+
+
 def pyramid_config(spark, sf):
     shape = _extent(spark, sf)
     c = viewer.pyramid_config(shape, viewer.tile_side(None))
@@ -363,13 +416,13 @@ def panel_name_validity(spark, sf):
 
 
 def legacy_rename(spark, sf):
-    return features(spark, sf)
+    return told(features(spark, sf), "confidence_score")
 
 
 def legacy_cell_upgrade(spark, sf):
     m = table(spark, sf, "cell_metadata")
     old = m.select("cell_id", "loaded_at", "cell_x", "cell_y", F.col("cell_x").alias("expanded_cell_x"), F.col("cell_y").alias("expanded_cell_y"), F.col("nuclei_area_um").alias("nuclei_area"), F.col("nuclei_expanded_area_um").alias("nuclei_expanded_area"), "nuclearstain_intensity_mean")
-    return evolution.upgrade_cells(old)
+    return told(evolution.upgrade_cells(old), "nuclei_area_um")
 
 
 def rebuild_panel(spark, sf):
@@ -393,7 +446,7 @@ _ALL = (
     region_props, region_props_nuclear, cell_by_protein_long, cell_by_protein_wide, region_mean_bead_masked, embedding_region_mean, cell_metadata,
     cell_key_differences, qc_obs, qc_var, gene_probe_types, targeting_only, transcripts_probe_types, obs_with_clustering, umap_vector, canonical_metadata,
     update_cells, unmatched_cells, cluster_palette, palette_from_colors, sparse_gene_rows, rasterize_polygons, border_pixels, outline_pixels, vectorize_mask,
-    cell_polygons, cell_documents, tile_assign, tile_counts, tile_sample, tile_documents, pyramid_config, gene_colors, schema_classify, legacy_rename,
+    cell_polygons, cell_documents, document_facts, bounding_boxes, contour_areas, overlap_order, tile_assign, tile_counts, tile_sample, tile_documents, tile_contents, pyramid_config, gene_colors, schema_classify, legacy_rename,
     legacy_cell_upgrade, rebuild_panel,
 )
 QUERIES = {f.__name__: f for f in _ALL}

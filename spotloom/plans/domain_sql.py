@@ -67,6 +67,11 @@ def _hue(h: str) -> str:
     return f"[{ch('5::double')}, {ch('3::double')}, {ch('1::double')}]"
 
 
+def _told(n: str, scale: str = "") -> str:
+    """A measurement whose NaN stands in a column of its own."""
+    return f"case when not isnan({n}) then {n}{scale} end as {n}, isnan({n}) as {n}_nan"
+
+
 ORACLE = {
     "redemux_cell_counts": f"""with {_READS}, {_PIXELS}, top as (select sample_id, y, x, max(label) as label from pixels group by all)
         select a.sample_id, t.label, a.gene_name, count(*) as counts from assigned a join top t on t.sample_id = a.sample_id and t.y = {_at("a.y_pixel_coordinate")} and t.x = {_at("a.x_pixel_coordinate")}
@@ -78,15 +83,15 @@ ORACLE = {
     "null_counts": f"""with {_USER} select c as "column", n as nulls from (select unnest(['probe_name', 'gene_name', 'sequence', 'primer', 'read', 'panel_type', 'probe_type']) as c, unnest([count(*) - count(probe_name), count(*) - count(gene_name), count(*) - count(sequence), count(*) - count(primer), count(*) - count(read), count(*) - count(panel_type), count(*) - count(probe_type)]) as n from usr)""",
     "panel_name_validity": f"select probe_name, {_ok} as valid from transcript_panel",
     "hamming_pairs": f"with {_READS} select read, sequence, probe_name, cast(distance as int) as distance from dist where distance <= 4",
-    "demux_assign": f"with {_READS} select * from assigned",
-    "demux_pigeonhole": f"with {_READS} select * from assigned",
+    "demux_assign": f"with {_READS} select * exclude (confidence_score), {_told('confidence_score')} from assigned",
+    "demux_pigeonhole": f"with {_READS} select * exclude (confidence_score), {_told('confidence_score')} from assigned",
     "demux_undetermined": f"""with {_READS} select r.read, count(*) - count(s.probe_name) as undetermined, count(*) as reads from reads r left join sure s on r.read = s.read and r.sequence = s.sequence where r.read in (select read from codes) group by r.read""",
     "assign_cells": f"with {_PLACED} select row_id, sample_id, label, sample_id || '-' || label as cell_id from placed",
     "assign_nucleus": f"""with {_NUCLEUS}, pts as (select row_id, sample_id, {_at("x_pixel_coordinate")} as px, {_at("y_pixel_coordinate")} as py from transcript_table), top as (select sample_id, y, x, max(label) as label from pixels group by all), ntop as (select distinct sample_id, y, x from nucleus)
         select row_id, cast(coalesce(t.label, 0) as int) as label, cast(n.y is not null as int) as in_nucleus from pts p left join top t on t.sample_id = p.sample_id and t.y = p.py and t.x = p.px left join ntop n on n.sample_id = p.sample_id and n.y = p.py and n.x = p.px""",
     "cell_by_gene_long": f"with {_PLACED}, {_COUNTS} select * from counts",
     "zero_completed": f"with {_PLACED}, {_COUNTS}, {_GENES} select c.sample_id, c.label, g.gene_name, coalesce(k.counts, 0) as counts from (select distinct sample_id, label from pixels) c cross join genes g left join counts k on k.sample_id = c.sample_id and k.label = c.label and k.gene_name = g.gene_name",
-    "cell_by_gene_wide": f"with {_PLACED}, {_COUNTS}, {_GENES}, g as (select c.sample_id, c.label, g.gene_name, coalesce(k.counts, 0) as counts from (select distinct sample_id, label from pixels) c cross join genes g left join counts k on k.sample_id = c.sample_id and k.label = c.label and k.gene_name = g.gene_name) pivot g on gene_name using cast(sum(counts) as bigint) group by sample_id, label",
+    "cell_by_gene_wide": f"with {_PLACED}, {_COUNTS}, {_GENES}, g as (select c.sample_id, c.label, g.gene_name, coalesce(k.counts, 0) as counts from (select distinct sample_id, label from pixels) c cross join genes g left join counts k on k.sample_id = c.sample_id and k.label = c.label and k.gene_name = g.gene_name) select g.sample_id, g.label, cast(coalesce(sum(case when gene_name = alias(columns(t.* exclude (label, segmentation_label))) then counts end), 0) as bigint) as \"\\0\" from g, (select * from cell_by_transcript limit 1) t group by g.sample_id, g.label",
     "missing_genes": "select distinct gene_name from transcript_panel where gene_name is not null and gene_name not in (select transcript_condensed from raw_features where transcript_condensed is not null)",
     "region_props": f"with {_PIXELS}, {_PROPS} select * from props",
     "region_props_nuclear": f"with {_NUCLEUS} select p.sample_id, p.label, n.cx as cell_x, n.cy as cell_y, n.a as nuclei_area_um, p.area_um as nuclei_expanded_area_um from props p left join (select sample_id, label, avg(x) as cx, avg(y) as cy, count(*) * 0.09765625::double as a from nucleus group by all) n using (sample_id, label)",
@@ -114,13 +119,32 @@ ORACLE = {
     "border_pixels": f"with {_BORDER} select * from border",
     "outline_pixels": f"""with {_OUTLINE}, side as (select sample_id, y + a as y, x + b as x, count(*) as n from inn, (values (1, 0), (-1, 0), (0, 1), (0, -1)) o(a, b) group by all)
         select p.sample_id, p.y, p.x, p.label from inn p left join side s on s.sample_id = p.sample_id and s.y = p.y and s.x = p.x where coalesce(s.n, 0) < 4 - cast(p.y = 0 as int) - cast(p.x = 0 as int)""",
+    "document_facts": f"""with {_PIXELS}, {_PROPS}, one as (select cell_id, arg_min(struct_pack(x := x, t := total_counts, g := n_genes_by_counts), row_no) as m from feature_matrix where x is not null and cell_id is not null group by cell_id),
+        nz as (select cell_id, m, list_filter(list_zip(range(len(m.x)), m.x), lambda e: e[2] <> 0) as z from one)
+        select cell_id as "cellId", 'unassigned' as "clusterId", coalesce(cast(trunc(p.area_um) as bigint), 0) as area, coalesce(m.t, 0) as "totalCounts", cast(coalesce(m.g, 0) as bigint) as "totalGenes",
+          list_transform(z, lambda e: cast(e[1] as int)) as "nonzeroGeneIndices", list_transform(z, lambda e: cast(e[2] as bigint)) as "nonzeroGeneValues", p.label is not null as drawn, true as no_umap
+        from nz left join props p on p.sample_id || '-' || p.label = cell_id""",
+    "bounding_boxes": f"with {_PIXELS} select sample_id, label, min(y) as y0, min(x) as x0, max(y) + 1 as y1, max(x) + 1 as x1 from pixels group by all",
+    "contour_areas": f"""with {_PIXELS}, corner as (select sample_id, label, y - a as i, x - b as j, sum(case when a = 0 and b = 0 then 1 when a = 0 then 2 when b = 1 then 4 else 8 end) as code from pixels, (values (0, 0), (0, 1), (1, 1), (1, 0)) o(a, b) group by all)
+        select sample_id, label, sum(case when code in (1, 2, 4, 8) then 0.125::double when code in (5, 10) then 0.25::double when code in (3, 6, 12, 9) then 0.5::double when code = 15 then 1::double else 0.875::double end) as area from corner group by all""",
+    "overlap_order": f"""with {_PIXELS},
+        mid as (select sample_id, label, cast(floor(list_avg(list_filter(v, lambda e, i: i % 2 = 1))) as int) as cx, cast(floor(list_avg(list_filter(v, lambda e, i: i % 2 = 0))) as int) as cy from ring),
+        sq as (select sample_id, label, unnest(range(cy - 2, cy + 2)) as y, cx from mid), hole as (select sample_id, label, y, unnest(range(cx - 2, cx + 2)) as x from sq),
+        once as (select sample_id, y, x, label from pixels union all select sample_id, y, x, label from hole where y >= 0 and x >= 0),
+        low as (select sample_id, y, x, label from once group by all having count(*) = 1),
+        high as (select sample_id, y + 4 as y, x + 6 as x, label + 100000 as label from pixels),
+        seen as (select *, label as o from low union all select *, label + 900000 from high)
+        select sample_id, cast(y as int) as y, cast(x as int) as x, cast(arg_max(label, o) as int) as label from seen group by sample_id, y, x""",
+    "tile_contents": f"""with {_LEVELS}, {_TILED}, r as (select *, row_number() over (partition by level, sample_id, tile_x order by md5(cast(row_id as varchar)), row_id) as i, count(*) over (partition by level, sample_id, tile_x) as k from lev)
+        select r.sample_id, level, tile_x, tile_y, cast(count(*) as int) as n, list(coalesce(gene_name, '') order by coalesce(gene_name, '')) as "geneNames", list(coalesce(cell_id, '') order by coalesce(cell_id, '')) as "cellIds"
+        from r join transcript_table using (row_id) where level = n or i <= floor(k * pow(0.2, n - level) + 1e-9) group by all""",
     "tile_assign": f"with {_LEVELS}, {_TILED} select row_id, tx as tile_x, ty as tile_y, position from tiled",
     "tile_counts": f"with {_LEVELS}, {_TILED} select sample_id, level, tile_x, tile_y, count(*) as n from lev group by all",
     "tile_sample": f"with {_LEVELS}, {_TILED}, r as (select *, row_number() over (partition by level, sample_id, tile_x order by md5(cast(row_id as varchar)), row_id) as i, count(*) over (partition by level, sample_id, tile_x) as k from lev) select row_id, level, tile_x, tile_y from r where level = n or i <= floor(k * pow(0.2, n - level) + 1e-9)",
     "pyramid_config": f"with {_LEVELS} select cast(s as int) as layer_height, cast(s as int) as layer_width, n as layers, cast(512 * (1 << n) as int) as tile_size, cast(ceil(s / 512.0) + ceil(s / 512.0) % 2 as int) as tiles_x, cast(ceil(s / 512.0) + ceil(s / 512.0) % 2 as int) as tiles_y from ext, lv",
     "gene_colors": f"with {_GENES}, r as (select gene_name, row_number() over (order by gene_name) as i, count(*) over () as n from genes) select gene_name, {_hue('((i - 1) / n)')} as color from r",
-    "legacy_rename": f"with {_READS} select * from feats",
-    "legacy_cell_upgrade": "select cell_id, loaded_at, cell_y as cell_x, cell_x as cell_y, nuclei_area_um * 0.09765625 as nuclei_area_um, nuclei_expanded_area_um * 0.09765625 as nuclei_expanded_area_um, nuclearstain_intensity_mean from cell_metadata",
+    "legacy_rename": f"with {_READS} select * exclude (confidence_score), {_told('confidence_score')} from feats",
+    "legacy_cell_upgrade": f"select cell_id, loaded_at, cell_y as cell_x, cell_x as cell_y, {_told('nuclei_area_um', ' * 0.09765625')}, nuclei_expanded_area_um * 0.09765625 as nuclei_expanded_area_um, nuclearstain_intensity_mean from cell_metadata",
     "rebuild_panel": """with seen as (select transcript as probe_name, min(transcript_condensed) as g from raw_features where transcript <> 'UNDETERMINED' group by all)
         select coalesce(target_condensed, 'NOT_CONVERTED') as gene_name, coalesce(panel_type, 'NOT_CONVERTED') as panel_type, coalesce(probe_name, 'NOT_CONVERTED') as probe_name from (select target_condensed, panel_type from transcript_panel) o left join seen on g = target_condensed""",
     "schema_classify": "select unnest(['raw_features', 'upgraded_features', 'transcript_panel', 'probe_names', 'cell_metadata', 'cell_masks']) as name, unnest(['invalid', 'valid', 'invalid', case when (select bool_and(" + _ok + ") from transcript_panel where probe_name <> 'NOT_CONVERTED') then 'valid' else 'unknown' end, 'valid', 'unknown']) as verdict",

@@ -19,8 +19,10 @@ PRIMER_READ = {"SP1": 1, "m7a": 2, "m9a": 3, "m6a": 4, "m8a": 5, "m3a": 6}
 UNDETERMINED = "UNDETERMINED"
 NOT_CONVERTED = "NOT_CONVERTED"
 
-#: Raw feature columns in order, and their older names. The older x is the newer y.
+#: Raw feature columns in order, as they are read and as a migrated file has them, and their older names. The
+#: older x is the newer y.
 FEATURE_COLUMNS = ["TXUID", "sequence", "confidence_score", "y_pixel_coordinate", "x_pixel_coordinate", "z_level"]
+MIGRATED_COLUMNS = ["TXUID", "sequence", "confidence_score", "x_pixel_coordinate", "y_pixel_coordinate", "z_level"]
 LEGACY_FEATURES = {
     "sequence_to_demux": "sequence",
     "meanQS": "confidence_score",

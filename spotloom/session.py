@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -54,14 +56,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset (local tests) a local
-    temporary folder is taken, and set for the session."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset and the session is local, as in
+    tests, a local temporary folder is taken, and set for the session; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spotloom-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return at

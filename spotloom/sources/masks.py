@@ -76,21 +76,33 @@ def runs_to_mask(runs: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def geojson_rings(spark: SparkSession, path: str, sample_id: str, key: str | None = None) -> DataFrame:
-    """(sample_id, label, ordinal, ring): the outer rings of a GeoJSON file's polygons; label from ``label`` or ``key``."""
-    f = spark.read.option("multiLine", True).json(str(path)).select(F.posexplode("features").alias("ordinal", "f"))
-    name = key or "label"
-    if name not in f.select("f.properties.*").columns:
-        raise KeyError(f"{name} is not a property of the features")
-    flat = f.select(F.lit(sample_id).alias("sample_id"), F.col(f"f.properties.`{name}`").cast("int").alias("label"), "ordinal", F.expr("flatten(f.geometry.coordinates[0])").alias("ring"))
-    return flat.select("sample_id", "label", "ordinal", F.transform("ring", lambda v: v.cast("double")).alias("ring"))
+#: A GeoJSON file as far as it is read: coordinates stay text, since their depth differs between kinds of geometry.
+_FEATURES = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
 
 
-def rasterized(rings: DataFrame) -> DataFrame:
-    """The runs of GeoJSON rings, later features over earlier ones."""
-    order = rings.groupBy("sample_id", "label").agg(F.max("ordinal").alias("ordinal"))
-    p = raster.runs_to_pixels(raster.rings_to_runs(rings)).join(order, ["sample_id", "label"])
-    return raster.pixels_to_runs(raster.last_on_top(p, "ordinal"))
+def geojson_polygons(spark: SparkSession, path: str, sample_id: str, key: str | None = None) -> DataFrame:
+    """(sample_id, label, ordinal, rings ARRAY<ARRAY<DOUBLE>>): the polygons of a GeoJSON file with their holes, one row per
+    polygon of a MultiPolygon; label from the property ``label`` or ``key``, ordinal the feature's place in the file. Other
+    geometries, and features without the label, are left out; ``KeyError`` if no feature has it."""
+    f = spark.read.schema(_FEATURES).option("multiLine", True).json(str(path)).select(F.posexplode("features").alias("ordinal", "f"))
+    name = key or "label"
+    f = f.select("ordinal", F.try_element_at("f.properties", F.lit(name)).alias("label"), "f.geometry.type", "f.geometry.coordinates")
+    if f.where("label is not null").isEmpty():
+        raise KeyError(f"{name} is not a property of the features")
+    one, many = "array<array<array<double>>>", "array<array<array<array<double>>>>"
+    each = F.when(F.col("type") == "Polygon", F.array(F.from_json("coordinates", one))).when(F.col("type") == "MultiPolygon", F.from_json("coordinates", many))
+    p = f.select(F.col("label").try_cast("double").cast("int").alias("label"), "ordinal", F.explode(each).alias("p")).where("label is not null and p is not null")
+    return p.select(F.lit(sample_id).alias("sample_id"), "label", "ordinal", F.expr("transform(p, r -> flatten(transform(r, v -> slice(v, 1, 2))))").alias("rings"))
+
+
+def rasterized(polygons: DataFrame) -> DataFrame:
+    """The runs of polygons (sample_id, label, ordinal, rings), later features over earlier ones."""
+    # a feature is drawn under its ordinal; its label is put back where it is on top
+    drawn = raster.polygons_to_runs(polygons.select("sample_id", F.col("ordinal").alias("label"), "rings"))
+    names = polygons.select("sample_id", "ordinal", F.col("label").alias("_label")).distinct()
+    top = raster.last_on_top(raster.runs_to_pixels(drawn)).withColumnRenamed("label", "ordinal")
+    named = top.join(names, ["sample_id", "ordinal"]).select("sample_id", "y", "x", F.col("_label").alias("label"))
+    return raster.pixels_to_runs(named)
 
 
 def bead_runs(spark: SparkSession, path: str | Path, sample_id: str) -> DataFrame:

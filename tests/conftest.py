@@ -27,8 +27,10 @@ def sf():
 
 
 def _plain(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None:
         return "null"
+    if isinstance(v, float) and math.isnan(v):
+        return "nan"
     if isinstance(v, float):
         return repr(round(v, 6) + 0.0)
     if isinstance(v, (list, tuple)):
