@@ -31,9 +31,11 @@ def parser() -> argparse.ArgumentParser:
     c = add("resegment", "assign transcripts and intensities to a new segmentation")
     c.add_argument("--cell-labels", required=True, help=".npy, .npz or .geojson")
     c.add_argument("--labels-key", help="array or property that holds the labels")
+    c.add_argument("--without", action="append", help="a channel to leave out of the tables")
     c = add("redemux", "assign all reads to the probes of a manifest")
     c.add_argument("--manifest", required=True, help="CSV with a column probe_name")
-    c.add_argument("--batch-size", type=int, default=1_000_000, help="rows handed to Python at a time")
+    c.add_argument("--batch-size", type=int, help="rows of the feature table that a task reads at a time")
+    c.add_argument("--without", action="append", help="a channel to leave out of the tables")
     c = add("update_bin", "put clusters, colours and an embedding on the cell file")
     c.add_argument("--metadata", required=True)
     c.add_argument("--bin-file")
@@ -60,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
     from spotloom.session import build_session
 
     options = {k: v for k, v in vars(a).items() if k not in ("threads", "verbose", "master", "command", "sample", "sample_id", "in_place", "batch_size")}
-    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(a.batch_size)} if getattr(a, "batch_size", None) else {}
+    conf = {"spark.sql.parquet.columnarReaderBatchSize": str(a.batch_size)} if getattr(a, "batch_size", None) else {}
     spark = build_session(f"spotloom {a.command}", a.master or f"local[{a.threads}]", **conf)
     sample = SpatialSample(spark, a.sample, a.sample_id)
     in_place = getattr(a, "in_place", True)

@@ -14,10 +14,11 @@ from spotloom.schemas import COARSEST_TILES, DEFAULT_COLOR, LEVEL_SHARE, PALETTE
 # clusters and embedding of cell documents
 
 
-def canonical_metadata(cells: DataFrame, metadata: DataFrame, key: str, cluster: str | None = None, color: str | None = None, embedding: str | None = None) -> DataFrame:
+def canonical_metadata(cells: DataFrame, metadata: DataFrame, key: str, cluster: str | None = None, color: str | None = None, embedding: str | None = None, order: str | None = None) -> DataFrame:
     """(cell_id, cluster_id, cluster_color, umap_1, umap_2) for every cell of the documents, with defaults where the
     metadata has no row, value or column: '-1', grey and NaN. Of repeated metadata rows of a cell one counts, the least
-    by cluster. Cluster ids are text. Both embedding columns must be there."""
+    by cluster. Cluster ids are text. Both embedding columns must be there. ``order``: a column of the metadata, such as a row
+    index, by whose least value per cell the result is sorted; cells without metadata come last, by id."""
     for name in (key, cluster, color, *([f"{embedding}_1", f"{embedding}_2"] if embedding else [])):
         if name is not None and name not in metadata.columns:
             raise KeyError(f"column {name!r} is not in the metadata")
@@ -28,8 +29,11 @@ def canonical_metadata(cells: DataFrame, metadata: DataFrame, key: str, cluster:
     m = metadata.select(
         F.col(f"`{key}`").cast("string").alias("cell_id"),
         F.struct(pick(cluster, "string").alias("cluster_id"), pick(color, "string").alias("cluster_color"), pick(f"{embedding}_1" if embedding else None, "double").alias("umap_1"), pick(f"{embedding}_2" if embedding else None, "double").alias("umap_2")).alias("m"),
-    ).where("cell_id is not null").groupBy("cell_id").agg(F.min("m").alias("m"))
+        pick(order, "bigint").alias("at"),
+    ).where("cell_id is not null").groupBy("cell_id").agg(F.min("m").alias("m"), F.min("at").alias("at"))
     out = cells.select("cell_id").distinct().join(m, "cell_id", "left")
+    if order:
+        out = out.orderBy(F.col("at").asc_nulls_last(), "cell_id")
     return out.select(F.coalesce("cell_id", F.lit("unknown_cell")).alias("cell_id"), F.coalesce("m.cluster_id", F.lit("-1")).alias("cluster_id"), F.coalesce("m.cluster_color", F.lit(DEFAULT_COLOR)).alias("cluster_color"), F.coalesce("m.umap_1", nan).alias("umap_1"), F.coalesce("m.umap_2", nan).alias("umap_2"))
 
 

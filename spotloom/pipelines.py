@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import io
 import logging
 import sys
 from pathlib import Path
@@ -41,6 +43,19 @@ def setup_logger(name: str, folder: Path | None, verbose: int = 1) -> logging.Lo
     return log
 
 
+class _ToLog(io.TextIOBase):
+    """What is printed while a pipeline runs, line by line, in its log."""
+
+    def __init__(self, log: logging.Logger):
+        self.log, self.rest = log, ""
+
+    def write(self, text: str) -> int:
+        *lines, self.rest = (self.rest + text).split("\n")
+        for line in filter(str.strip, lines):
+            self.log.debug("%s", line)
+        return len(text)
+
+
 def command(f):
     """Checks the folder, makes the output folder and the log, and names the pipeline in any error."""
 
@@ -56,7 +71,8 @@ def command(f):
         log = logger or setup_logger(f.__name__, sample.data_dir / "logs" if file_logger else None, verbose)
         log.info("starting %s of %s into %s", f.__name__, sample.sample_id, out)
         try:
-            result = f(sample, out, log, **options)
+            with contextlib.redirect_stdout(_ToLog(log)):
+                result = f(sample, out, log, **options)
         except (directory.ValidationError, migration.MigrationError):
             raise
         except Exception as e:
@@ -74,7 +90,42 @@ def _viewer_out(sample: SpatialSample, out: Path) -> Path:
     return to
 
 
-def _apply_segmentation(sample: SpatialSample, runs: DataFrame, out: Path, log: logging.Logger, transcripts: DataFrame, panel: DataFrame) -> None:
+def _intensities(sample: SpatialSample, runs: DataFrame, log: logging.Logger, same_cells: bool, without: list[str]) -> DataFrame | None:
+    """(cell_id, <channel>_intensity_mean...) of all channels but those left out by name; None if there are none.
+
+    A channel whose image has no decoder is taken from the sample's own table if the cells are the same; if they are not,
+    or the table lacks it, that is an error, never a result without the channel.
+    """
+    opened, closed = [], []
+    for c in [*STAINS, *sample.proteins]:
+        if c in without:
+            continue
+        try:
+            path = sample.image_path(c) if c in STAINS else sample.image_path("protein", protein=c)
+        except FileNotFoundError:
+            if c in STAINS:
+                continue  # not every sample has both
+            raise
+        (opened if path.suffix in masks.DECODERS else closed).append(c)
+    name = lambda c: f"{STAINS.get(c, c)}_intensity_mean"
+    out = None
+    if opened:
+        log.info("mean intensities of %s", opened)
+        beads = sample.load_bead_runs() if sample.bead_mask_path.exists() else None
+        means = raster.region_means(sample.intensity_rows(opened), runs, beads)
+        out = cells.wide_means(means, [STAINS.get(c, c) for c in opened]).withColumn("cell_id", cells.cell_name(F.col("sample_id"), F.col("label"))).drop("sample_id", "label")
+    if closed:
+        held = sample.load_protein_table() if same_cells and sample.protein_table_path.exists() else None
+        lacking = [c for c in closed if held is None or name(c) not in held.columns]
+        if lacking:
+            raise ValueError(f"no decoder for the images of {lacking}: register one in spotloom.sources.masks.DECODERS, or leave these channels out by name")
+        log.info("%s cannot be decoded here; the cells are the same, so their means are those of %s", closed, sample.protein_table_path.name)
+        kept = held.select("cell_id", *[F.col(f"`{name(c)}`") for c in closed])
+        out = kept if out is None else out.join(kept, "cell_id", "left")
+    return out
+
+
+def _apply_segmentation(sample: SpatialSample, runs: DataFrame, out: Path, log: logging.Logger, transcripts: DataFrame, panel: DataFrame, same_cells: bool, without: list[str]) -> None:
     """Cell tables of a raster: transcripts by cell, counts, intensities, metadata and the annotated matrix."""
     at = directory.output_tree(out, "single_cell_data", "rna")
     sc = at["single_cell_data"]
@@ -90,23 +141,9 @@ def _apply_segmentation(sample: SpatialSample, runs: DataFrame, out: Path, log:
     sinks.write_csv_gz(placed.drop("sample_id", "label"), at["rna"] / "transcript_table.csv.gz")
 
     props = raster.region_properties(runs).withColumn("cell_id", cells.cell_name(F.col("sample_id"), F.col("label"))).withColumnRenamed("label", "segmentation_label").drop("sample_id", "n_pixels")
-    channels = [*STAINS, *sample.proteins]
-    have = []
-    for c in channels:
-        try:
-            path = sample.image_path(c) if c in STAINS else sample.image_path("protein", protein=c)
-        except (FileNotFoundError, ValueError):
-            continue
-        if path.suffix in masks.DECODERS:
-            have.append(c)
-        else:
-            log.warning("%s has no decoder here and is left out", path.name)
     meta = props
-    if have:
-        log.info("mean intensities of %s", have)
-        beads = sample.load_bead_runs() if sample.bead_mask_path.exists() else None
-        means = raster.region_means(sample.intensity_rows(have), runs, beads)
-        protein = cells.wide_means(means, [STAINS.get(c, c) for c in have]).withColumn("cell_id", cells.cell_name(F.col("sample_id"), F.col("label"))).drop("sample_id", "label")
+    protein = _intensities(sample, runs, log, same_cells, without)
+    if protein is not None:
         protein = durable(protein)
         sinks.write_csv_gz(protein.withColumnRenamed("cell_id", "label"), sc / "cell_by_protein.csv.gz")
         meta = cells.cell_metadata(props, protein, "cell_id")
@@ -145,8 +182,9 @@ def _tile_archive(sample: SpatialSample, transcripts: DataFrame, out: Path, log:
 
 
 @command
-def redemux(sample: SpatialSample, out: Path, log: logging.Logger, manifest: str | Path) -> None:
-    """All reads assigned anew to the probes of a manifest, and everything that follows from them rebuilt."""
+def redemux(sample: SpatialSample, out: Path, log: logging.Logger, manifest: str | Path, without: list[str] = ()) -> None:
+    """All reads assigned anew to the probes of a manifest, and everything that follows from them rebuilt; ``without``:
+    channels left out of the tables."""
     manifest = directory.check_path(manifest, dir_ok=False)
     viewer_meta = sample.viewer_dir / f"{sample.sample_id}_run_metadata.json"
     sinks.stamp_metadata(sample.data_dir / "run_meta.json", viewer_meta, manifest, out, out / sample.viewer_dir.name)
@@ -157,14 +195,15 @@ def redemux(sample: SpatialSample, out: Path, log: logging.Logger, manifest: str
     log.info("assigning reads")
     found = durable(demux.demultiplex(reads, codes).select(*order))
     runs = durable(masks.mask_runs(sample.spark, sample.load_segmentation(), sample.sample_id))
-    _apply_segmentation(sample, runs, out, log, found, panel)
+    _apply_segmentation(sample, runs, out, log, found, panel, True, list(without or ()))
     _cell_file(sample, runs, out / "single_cell_data" / "feature_matrix", out, log)
     _tile_archive(sample, sample.load_transcript_table(path=out / "rna" / "transcript_table.csv.gz"), out, log)
 
 
 @command
-def resegment(sample: SpatialSample, out: Path, log: logging.Logger, cell_labels: str | Path, labels_key: str | None = None) -> None:
-    """Transcripts and intensities assigned to a new raster (.npy, .npz or .geojson), and the cell tables rebuilt."""
+def resegment(sample: SpatialSample, out: Path, log: logging.Logger, cell_labels: str | Path, labels_key: str | None = None, without: list[str] = ()) -> None:
+    """Transcripts and intensities assigned to a new raster (.npy, .npz or .geojson), and the cell tables rebuilt;
+    ``without``: channels left out of the tables."""
     path = directory.check_path(cell_labels, dir_ok=False)
     if path.suffix == ".geojson":
         runs = masks.rasterized(masks.geojson_polygons(sample.spark, str(path), sample.sample_id, labels_key))
@@ -175,7 +214,8 @@ def resegment(sample: SpatialSample, out: Path, log: logging.Logger, cell_labels
         mask = masks.load_mask(path, sample.shape, labels_key)
         runs = durable(masks.mask_runs(sample.spark, mask, sample.sample_id))
     transcripts = sample.load_transcript_table().drop("cell_id", "in_nucleus")
-    _apply_segmentation(sample, runs, out, log, transcripts, durable(sample.manifest()))
+    same = bool(np.array_equal(np.asarray(mask), sample.load_segmentation()))
+    _apply_segmentation(sample, runs, out, log, transcripts, durable(sample.manifest()), same, list(without or ()))
     directory.output_tree(out, "segmentation")
     sinks.write_mask(np.asarray(mask), out / "segmentation" / "segmentation_mask.npz")
     _cell_file(sample, runs, out / "single_cell_data" / "feature_matrix", out, log)
@@ -193,8 +233,7 @@ def update_bin(sample: SpatialSample, out: Path, log: logging.Logger, metadata:
     """Clusters, colours and a two-dimensional embedding of a metadata table, or of the sample's own clustering, put on
     the documents of a cell file."""
     path = Path(bin_file) if bin_file else sample.viewer_dir / f"{sample.sample_id}_segmentation.bin"
-    message = documents.decode_cells(directory.check_path(path, dir_ok=False).read_bytes())
-    if message is None:
+    if documents.decode_cells(directory.check_path(path, dir_ok=False).read_bytes()) is None:
         raise ValueError(f"{path} is no cell file")
     if metadata is None:
         m = sample.load_matrix(remove_nontargeting=False).obs
@@ -208,19 +247,24 @@ def update_bin(sample: SpatialSample, out: Path, log: logging.Logger, metadata:
             cellid_key = next((c for c in ("label", "cell_id") if c in m.columns), None)
             if cellid_key is None:
                 raise KeyError("no cell id column is named, and there is neither 'label' nor 'cell_id'")
-    docs = sample.spark.createDataFrame(list(documents.cell_rows(message)), documents.schemas.CELL_MASK)
-    docs = durable(docs)
-    canonical = durable(viewer.canonical_metadata(docs.select(F.col("cellId").alias("cell_id")), m, cellid_key, cluster_key, cluster_color_key, emb_key))
-    missing = viewer.unmatched_cells(docs.select(F.col("cellId").alias("cell_id")), m, cellid_key).count()
+    to = _viewer_out(sample, out) / f"{sample.sample_id}_segmentation.bin"
+    return _put_metadata(sample, path, to, m, log, cellid_key, cluster_key, cluster_color_key, emb_key)
+
+
+def _put_metadata(sample: SpatialSample, path: Path, to: Path, m: DataFrame, log: logging.Logger, cellid_key: str, cluster_key: str | None, cluster_color_key: str | None, emb_key: str | None) -> Path:
+    """A cell file's documents with the clusters and embedding of ``m``, written to ``to``."""
+    docs = durable(documents.read_cell_file(sample.spark, path))
+    frame = documents.read_frame(path)
+    ids = docs.select(F.col("cellId").alias("cell_id"))
+    canonical = durable(viewer.canonical_metadata(ids, m, cellid_key, cluster_key, cluster_color_key, emb_key))
+    missing = viewer.unmatched_cells(ids, m, cellid_key).count()
     if missing:
         log.warning("%d cells are not in the metadata and get defaults", missing)
     new = viewer.update_cells(docs, canonical, cluster_key is not None, emb_key is not None)
-    colormap = [(c.clusterId, list(c.color)) for c in message.colormap]
+    colormap = frame["colormap"]
     if cluster_key is not None:
-        palette = viewer.palette_from_colors(canonical) if cluster_color_key else viewer.generated_palette(canonical)
-        colormap = sinks.palette_entries(palette)
-    to = _viewer_out(sample, out) / f"{sample.sample_id}_segmentation.bin"
-    sinks.write_cell_file(new, to, colormap, list(message.metadata.geneNames), list(message.metadata.proteinNames))
+        colormap = sinks.palette_entries(viewer.palette_from_colors(canonical) if cluster_color_key else viewer.generated_palette(canonical))
+    sinks.write_cell_file(new, to, colormap, frame["genes"], frame["proteins"])
     return to
 
 
@@ -242,7 +286,12 @@ def migrate(sample: SpatialSample, out: Path, log: logging.Logger, restore: bool
 
     def rebuild() -> None:
         runs = durable(masks.mask_runs(sample.spark, sample.load_segmentation(), sample.sample_id))
-        _cell_file(sample, runs, sample.matrix_path, sample.data_dir, log)
+        path = _cell_file(sample, runs, sample.matrix_path, sample.data_dir, log)
+        obs = sample.load_matrix(remove_nontargeting=False).obs
+        clusters, embedding = viewer.infer_cluster_column(obs.columns), viewer.infer_embedding(obs.columns)
+        if clusters or embedding:
+            log.info("putting %s and %s on the cell file", clusters, embedding)
+            _put_metadata(sample, path, path, obs, log, "cell_id", clusters, None, embedding)
         _tile_archive(sample, sample.load_transcript_table(), sample.data_dir, log)
 
     return migration.migrate(sample.spark, sample.data_dir, sample.sample_id, log, rebuild)

@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spotloom.functions.keys import token
 from spotloom.functions.probes import is_probe_name, probe_type, read_of_id
 from spotloom.operators import cells, demux, evolution, manifest, polygons, raster, viewer
 from spotloom.schemas import UNDETERMINED
 from spotloom.session import durable, table
 from spotloom.sources import masks
+from spotloom.sources.tables import with_row_index
 
 CHANNELS = ["ch0", "ch1", "ch2", "ch3"]
 NUCLEUS = 6.0
@@ -267,6 +269,15 @@ def unmatched_cells(spark, sf):
     return viewer.unmatched_cells(_cell_ids(spark, sf), _clustering(spark, sf), "cell_id")
 
 
+def row_index(spark, sf):
+    return with_row_index(table(spark, sf, "cell_masks").select("mask_id", "cellId"), "bin_index")
+
+
+def id_tokens(spark, sf):
+    """The second part of each cell's id, its label as text."""
+    return table(spark, sf, "feature_matrix").select("row_no", token(F.col("cell_id"), 2).alias("token"))
+
+
 def cluster_palette(spark, sf):
     return viewer.generated_palette(table(spark, sf, "cell_masks").select(F.col("clusterId").alias("cluster_id")))
 
@@ -445,7 +456,7 @@ _ALL = (
     demux_assign, demux_pigeonhole, demux_undetermined, assign_cells, assign_nucleus, cell_by_gene_long, cell_by_gene_wide, zero_completed, missing_genes,
     region_props, region_props_nuclear, cell_by_protein_long, cell_by_protein_wide, region_mean_bead_masked, embedding_region_mean, cell_metadata,
     cell_key_differences, qc_obs, qc_var, gene_probe_types, targeting_only, transcripts_probe_types, obs_with_clustering, umap_vector, canonical_metadata,
-    update_cells, unmatched_cells, cluster_palette, palette_from_colors, sparse_gene_rows, rasterize_polygons, border_pixels, outline_pixels, vectorize_mask,
+    update_cells, unmatched_cells, row_index, id_tokens, cluster_palette, palette_from_colors, sparse_gene_rows, rasterize_polygons, border_pixels, outline_pixels, vectorize_mask,
     cell_polygons, cell_documents, document_facts, bounding_boxes, contour_areas, overlap_order, tile_assign, tile_counts, tile_sample, tile_documents, tile_contents, pyramid_config, gene_colors, schema_classify, legacy_rename,
     legacy_cell_upgrade, rebuild_panel,
 )

@@ -111,6 +111,8 @@ ORACLE = {
     "canonical_metadata": f"with {_CANON} select * from canon",
     "update_cells": f"""with {_CANON} select mask_id, m."cellId", case when c.cell_id is null then m."clusterId" else c.cluster_id end as "clusterId", case when c.cell_id is null then m."umapValues"."umapX" else c.umap_1 end as umap_x, case when c.cell_id is null then m."umapValues"."umapY" else c.umap_2 end as umap_y from cell_masks m left join canon c on c.cell_id = m."cellId" """,
     "unmatched_cells": f"with {_CLUSTERING} select distinct cell_id from feature_matrix where cell_id is not null and cell_id not in (select cell_id from cl)",
+    "row_index": 'select mask_id, "cellId", file_row_number as bin_index from (select mask_id, "cellId", row_number() over () - 1 as file_row_number from cell_masks)',
+    "id_tokens": "select row_no, case when contains(cell_id, '-') then split_part(cell_id, '-', 2) end as token from feature_matrix",
     "cluster_palette": f"""with ids as (select distinct "clusterId" as cluster_id from cell_masks where "clusterId" <> '-1'), r as (select cluster_id, row_number() over (order by cluster_id) as i, count(*) over () as n from ids)
         select cluster_id, case when n <= 20 then {_rgb(str(PALETTE) + "[i]")} else {_hue("((i - 1) / n)")} end as color from r union all select '-1', [191, 191, 191]""",
     "palette_from_colors": f"""with c as (select distinct "clusterId" as cluster_id, '#' || upper(substr(md5("clusterId"), 1, 6)) as h from cell_masks where "clusterId" is not null) select cluster_id, {_rgb("h")} as color from c""",

@@ -16,6 +16,7 @@ from spotloom.operators import manifest as manifests
 from spotloom.operators.viewer import tile_side
 from spotloom.sources import directory, masks, matrix, tables
 
+#: Keys of the run's metadata that are read, and the stains' names in tables.
 META = ("platform", "machine", "run_id", "fc", "lane", "software", "software_version", "transcript_panel", "protein_panel")
 STAINS = {"nuclear": "nuclearstain", "eosin": "cytoplasmicstain"}
 
@@ -132,6 +133,15 @@ class SpatialSample:
     def load_segmentation(self, expanded: bool = True, key: str | None = None) -> np.ndarray:
         return masks.default_segmentation(self.segmentation_path, expanded, key)
 
+    @property
+    def protein_table_path(self) -> Path:
+        return self.data_dir / "single_cell_data" / "cell_by_protein.csv.gz"
+
+    def load_protein_table(self) -> DataFrame:
+        """(cell_id, <channel>_intensity_mean...) as the sample has it."""
+        t = tables.load_table(self.spark, str(self.protein_table_path))
+        return t.select(F.col(t.columns[0]).alias("cell_id"), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in t.columns[1:]])
+
     def load_bead_runs(self) -> DataFrame:
         return masks.bead_runs(self.spark, self.bead_mask_path, self.sample_id)
 
@@ -154,7 +164,9 @@ class SpatialSample:
         return found[0]
 
     def load_image(self, kind: str, thumbnail: bool = False, protein: str | None = None) -> np.ndarray:
-        return masks.decode_image(self.image_path(kind, thumbnail, protein))
+        """The decoded image; one that was loaded lately, and whose file has not changed, is not decoded again."""
+        path = self.image_path(kind, thumbnail, protein)
+        return masks.remembered_image(path, path.stat().st_mtime_ns)
 
     def intensity_rows(self, channels: list[str]) -> DataFrame:
         """(sample_id, channel, y, x0, intensities) of stains and proteins, named as in the tables."""

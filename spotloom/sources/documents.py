@@ -106,6 +106,12 @@ def read_cell_file(spark: SparkSession, path: str | Path) -> DataFrame | None:
     return spark.createDataFrame(list(cell_rows(m)), schemas.CELL_MASK)
 
 
+def read_frame(path: str | Path) -> dict[str, list]:
+    """colormap, genes and proteins of a cell file: the part that belongs to no cell."""
+    m = decode_cells(Path(path).read_bytes())
+    return {"colormap": [(c.clusterId, list(c.color)) for c in m.colormap], "genes": list(m.metadata.geneNames), "proteins": list(m.metadata.proteinNames)}
+
+
 def encoded_cells(cells: DataFrame) -> DataFrame:
     """(part BINARY): the documents encoded where they are; the parts, in any order, make up the file."""
 

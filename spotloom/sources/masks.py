@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -133,6 +134,11 @@ def decode_image(path: str | Path) -> np.ndarray:
     return DECODERS[path.suffix](path.read_bytes())
 
 
+@lru_cache(8)
+def remembered_image(path: Path, changed: int) -> np.ndarray:
+    return decode_image(path)
+
+
 def image_rows(spark: SparkSession, folder: str, sample_id: str, glob: str = "*.npy", rows: int = 64) -> DataFrame:
     """(sample_id, channel, y, x0, intensities ARRAY<DOUBLE>) of a folder's images, a channel per file and a row per
     image row, decoded where the files are read."""

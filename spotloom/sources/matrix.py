@@ -23,8 +23,12 @@ class AnnotatedMatrix:
         return AnnotatedMatrix(self.X.join(var.select("gene_id"), "gene_id", "left_semi"), self.obs, var)
 
     def select_cells(self, ids: DataFrame) -> AnnotatedMatrix:
-        """Only the cells of ``ids`` (cell_id)."""
-        return AnnotatedMatrix(self.X.join(ids, "cell_id", "left_semi"), self.obs.join(ids, "cell_id", "left_semi"), self.var)
+        """Only the cells of ``ids`` (cell_id), in the order of its column ``ordinal`` if it has one."""
+        obs = self.obs.join(ids, "cell_id", "left_semi")
+        if "ordinal" in ids.columns:
+            place = ids.groupBy("cell_id").agg(F.min("ordinal").alias("_place"))
+            obs = obs.join(place, "cell_id").orderBy("_place").drop("_place")
+        return AnnotatedMatrix(self.X.join(ids, "cell_id", "left_semi"), obs, self.var)
 
     def with_clustering(self, clustering: DataFrame) -> AnnotatedMatrix:
         return AnnotatedMatrix(self.X, cells.with_clustering(self.obs, clustering), self.var)

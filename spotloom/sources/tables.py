@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -42,6 +43,7 @@ def batches(df: DataFrame, rows: int = 1_000_000) -> Iterator[pa.Table]:
     n = 0
     for batch in _arrow(df):
         at = 0
+        batch = pa.Table.from_batches([batch])
         while at < batch.num_rows:
             part = batch.slice(at, rows - n)
             held.append(part)
@@ -54,13 +56,31 @@ def batches(df: DataFrame, rows: int = 1_000_000) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def _arrow(df: DataFrame) -> Iterator[pa.Table]:
-    names = df.columns
-    rows: list = []
-    for r in df.toLocalIterator(prefetchPartitions=True):
-        rows.append(r)
-        if len(rows) == 10_000:
-            yield pa.table({c: [x[i] for x in rows] for i, c in enumerate(names)})
-            rows = []
-    if rows:
-        yield pa.table({c: [x[i] for x in rows] for i, c in enumerate(names)})
+def _arrow(df: DataFrame) -> Iterator[pa.RecordBatch]:
+    """The rows as the Arrow batches that executors make of them, one partition at a time."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, b.schema) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+    for r in df.mapInArrow(pack, "batch binary").toLocalIterator(prefetchPartitions=True):
+        yield from pa.ipc.open_stream(r["batch"])
+
+
+def with_row_index(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the row's place, from 0, in the order in which it is read: the rows of each partition are counted, one
+    number per partition comes to the driver, and nothing is shuffled or sorted."""
+    at = F.monotonically_increasing_id()
+    tagged = df.withColumn("_at", at).withColumn("_part", F.shiftright("_at", 33))
+    counts = {r[0]: r[1] for r in tagged.groupBy("_part").count().collect()}
+    before, total = [], 0
+    for p in sorted(counts):
+        before += [F.lit(p), F.lit(total)]
+        total += counts[p]
+    if not before:
+        return df.withColumn(name, F.lit(None).cast("bigint"))
+    index = F.try_element_at(F.create_map(*before), F.col("_part")) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return tagged.withColumn(name, index.cast("bigint")).drop("_at", "_part")

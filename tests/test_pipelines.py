@@ -59,6 +59,7 @@ def sample_dir(spark, tmp_path):
     for name in ("nuclear", "h_and_e"):
         jp2(root / "h_and_e" / f"{name}.jp2", H, W)
     yy, xx = np.mgrid[:H, :W]
+    np.save(root / "h_and_e" / "nuclear.npy", yy + xx)
     for name, img in (("CD3", yy), ("CD8", xx)):
         np.save(root / "protein" / f"{name}.npy", img.astype(np.int32))
     np.savez(root / "protein" / "bead_mask.npz", bead_mask=(yy < 15))
@@ -87,14 +88,16 @@ def test_sample(sample, sample_dir):
     assert sample.load_transcript_table(["TXUID", "z_level"]).dtypes == [("TXUID", "string"), ("z_level", "int")]
     assert (sample.load_segmentation(expanded=False) != sample.load_segmentation()).any()
     assert sample.load_image("protein", protein="CD8")[0, 5] == 5
+    assert sample.load_image("nuclear")[1, 5] == 6 and sample.load_image("nuclear") is sample.load_image("nuclear")
     with pytest.raises(ValueError, match="decoder"):
-        sample.load_image("nuclear")
+        sample.load_image("h_and_e")
     with pytest.raises(ValueError, match="panel"):
         sample.image_path("protein", protein="CD99")
     assert sample.load_bead_runs().selectExpr('sum(x1 - x0)').first()[0] == 15 * W
     assert sample.list_content()["dirs"] == ["h_and_e", "protein", "rna", "segmentation", "single_cell_data", "x_viewer"]
     assert sample.validate().ok
-    assert len(list(tables.batches(sample.load_feature_table(), 150))) == 3
+    parts = list(tables.batches(sample.load_feature_table().repartition(3), 150))
+    assert [p.num_rows for p in parts] == [150, 150, 100] and len({x for p in parts for x in p["TXUID"].to_pylist()}) == 400
 
 
 def test_redemux_then_the_rest(sample, sample_dir, tmp_path):
@@ -169,6 +172,63 @@ def test_resegment_by_the_command_line(spark, sample, sample_dir, tmp_path):
     assert cli.main(["-v", "0", "tar_viewer", str(sample_dir)]) == 1  # there is no cell file yet
 
 
+def test_images_without_a_decoder(spark, sample, sample_dir, tmp_path):
+    """They are no reason for tables without their columns: the same cells' own table serves, else it is an error."""
+    (sample_dir / "protein" / "CD8.npy").rename(sample_dir / "protein" / "CD8.jp2")
+    same = sample_dir / "segmentation" / "segmentation_mask.npz"
+    with pytest.raises(RuntimeError, match="no decoder.*CD8"):
+        pipelines.redemux(sample, tmp_path / "a", manifest=sample_dir / "transcript_panel.csv", verbose=0)
+    pd.DataFrame({"label": [f"S-1-{k}" for k in range(1, 7)], "CD3_intensity_mean": 0.0, "CD8_intensity_mean": [10.5 * k for k in range(1, 7)]}).to_csv(sample_dir / "single_cell_data" / "cell_by_protein.csv.gz", index=False)
+    pipelines.resegment(sample, tmp_path / "b", cell_labels=same, labels_key="nuclei_exp", verbose=0)
+    t = read_gz(tmp_path / "b" / "resegment" / "single_cell_data" / "cell_by_protein.csv.gz").set_index("label")
+    assert t.loc["S-1-3", "CD8_intensity_mean"] == 31.5 and t.loc["S-1-3", "CD3_intensity_mean"] > 10
+    np.save(tmp_path / "new.npy", np.roll(cells_mask(), 3, 1))
+    with pytest.raises(RuntimeError, match="no decoder.*CD8"):
+        pipelines.resegment(sample, tmp_path / "c", cell_labels=tmp_path / "new.npy", verbose=0)
+    assert cli.main(["-v", "0", "resegment", str(sample_dir), "--cell-labels", str(tmp_path / "new.npy"), "--without", "CD8"]) == 0
+    assert list(read_gz(sample_dir / "spotloom" / "resegment" / "single_cell_data" / "cell_by_protein.csv.gz").columns) != []
+    (sample_dir / "protein" / "CD8.jp2").unlink()
+    with pytest.raises(RuntimeError, match="CD8"):
+        pipelines.redemux(sample, tmp_path / "d", manifest=sample_dir / "transcript_panel.csv", verbose=0)
+
+
+def test_geojson_holes_and_order(spark, tmp_path):
+    box = lambda a, b, c, d: [[a, b], [c, b], [c, d], [a, d], [a, b]]
+    feats = [
+        (5, "Polygon", [box(0, 0, 20, 20), box(5, 5, 10, 10)]),
+        (6, "MultiPolygon", [[box(15, 15, 30, 30)], [box(40, 0, 50, 10), box(42, 2, 44, 4)]]),
+        (5, "Polygon", [box(28, 28, 34, 34)]),
+        (7, "Point", [1, 1]),
+    ]
+    text = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"label": k, "name": "x"}, "geometry": {"type": t, "coordinates": c}} for k, t, c in feats]}
+    (tmp_path / "g.geojson").write_text(json.dumps(text))
+    want = np.zeros((40, 60), np.int32)
+    want[:20, :20] = 5
+    want[5:10, 5:10] = 0
+    want[15:30, 15:30] = want[:10, 40:50] = 6
+    want[2:4, 42:44] = 0
+    want[28:34, 28:34] = 5
+    runs = masks.rasterized(masks.geojson_polygons(spark, str(tmp_path / "g.geojson"), "s"))
+    assert (masks.runs_to_mask(runs, want.shape) == want).all()
+    with pytest.raises(KeyError):
+        masks.geojson_polygons(spark, str(tmp_path / "g.geojson"), "s", "nothing")
+
+
+def test_printed_lines_are_logged(sample, sample_dir, monkeypatch):
+    from spotloom import migration as m
+
+    monkeypatch.setattr(m, "file_verdicts", lambda *_: print("a printed line") or {})
+    pipelines.validate(sample, verbose=0)
+    assert "a printed line" in (sample_dir / "logs" / "validate.log").read_text()
+
+
+def test_row_index_follows_the_rows(spark):
+    df = spark.range(0, 1000, 1, 7).where("id % 3 <> 0")
+    got = tables.with_row_index(df, "at").collect()
+    assert [r["at"] for r in got] == list(range(len(got))) and [r["id"] for r in got] == [i for i in range(1000) if i % 3]
+    assert tables.with_row_index(df.limit(0), "at").count() == 0
+
+
 def test_viewer_archive(sample, sample_dir, tmp_path):
     (sample_dir / "x_viewer" / "S-1_segmentation.bin").write_bytes(documents.encode_frame([("a", [1, 2, 3])]))
     path = pipelines.tar_viewer(sample, tmp_path / "o", verbose=0)
