@@ -17,8 +17,18 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_unions(spark: SparkSession, sf: str) -> DataFrame:
-    """The alternatives of every field per file."""
-    return drift.field_unions(_records(spark, sf)).drop("sample")
+    """The alternatives of every path per file."""
+    return drift.path_unions(_records(spark, sf))
+
+
+def p1_unreadable(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of each file, and those of them that have no fields."""
+    return drift.unreadable_records(_records(spark, sf))
+
+
+def p1_alternatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds of values that appear in a field, or vanish, from file to file."""
+    return drift.alternatives(durable(drift.path_unions(_records(spark, sf), 1)), table(spark, sf, "file_log"), "path")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,7 +76,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return nearby.near_and_regions(points, rings, 2.0)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unions, p1_unified_raw_features, p1_unified_transcript_panel, p2_found, p2_per_period, p4_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unions, p1_unreadable, p1_alternatives, p1_unified_raw_features, p1_unified_transcript_panel, p2_found, p2_per_period, p4_found)}
 
 _CLEAN = "lower(trim({}, chr(32)||chr(9)||chr(10)||chr(13)||chr(11)||chr(12)||chr(160)))"
 _P2 = """
@@ -109,7 +119,29 @@ union all
 select 'region', p.row_id, cast(coalesce(h.lab, 0) as bigint) from p left join held h on h.row_id = p.row_id where p.label is not null and p.label <> coalesce(h.lab, 0)
 """
 
+_KIND = "case json_type(v) when 'VARCHAR' then 'string' when 'UBIGINT' then 'whole' when 'BIGINT' then 'whole' when 'HUGEINT' then 'whole' when 'UHUGEINT' then 'whole' when 'DOUBLE' then 'decimal' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' end"
+_P1 = f"""
+recs as (select file_no, cast(record as json) as r from (select * from raw_feature_files union all select * from transcript_panel_files) x where json_valid(record)),
+top as (select file_no, je.key as path, je.value as v from recs, json_each(r) je where json_type(r) = 'OBJECT'),
+kinds as (select file_no, path, v, {_KIND} as kind from top)"""
+_P1_COUNTS = ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in drift.KINDS)
+_P1_DEEP = f"""
+two as (select file_no, case when json_type(v) = 'OBJECT' then top.path || '.' || je.key else top.path || '[]' end as path, je.value as v from top, json_each(v) je where json_type(v) in ('OBJECT', 'ARRAY')),
+three as (select file_no, case when json_type(v) = 'OBJECT' then two.path || '.' || je.key else two.path || '[]' end as path, je.value as v from two, json_each(v) je where json_type(v) in ('OBJECT', 'ARRAY')),
+everything as (select file_no, path, {_KIND} as kind from (select * from top union all select * from two union all select * from three) x)"""
+_P1_ALTERNATIVES = f"""with {_P1},
+files as (select file_no, lag(file_no) over (partition by dataset, sample_id order by produced_at, file_no) as previous from file_log where file_no is not null and produced_at is not null),
+n as (select file_no, path, kind, count(*) as n from kinds where kind is not null group by all),
+here as (select distinct file_no, path from kinds)
+select f.file_no, n.path, n.kind, 'appeared' as change, n.n from files f join n using (file_no) where exists (select 1 from here h where h.file_no = f.previous and h.path = n.path) and not exists (select 1 from n o where o.file_no = f.previous and o.path = n.path and o.kind = n.kind)
+union all
+select f.file_no, n.path, n.kind, 'vanished', n.n from files f join n on n.file_no = f.previous where exists (select 1 from here h where h.file_no = f.file_no and h.path = n.path) and not exists (select 1 from n o where o.file_no = f.file_no and o.path = n.path and o.kind = n.kind)
+"""
+
 ORACLE = {
+    "p1_unions": f"with {_P1}, {_P1_DEEP} select file_no, path, count(*) as present, count(*) - count(kind) as nulls, {_P1_COUNTS} from everything group by all",
+    "p1_unreadable": "select file_no, count(*) as records, count(*) filter (not coalesce(json_valid(record) and json_type(record) = 'OBJECT', false)) as unreadable from (select * from raw_feature_files union all select * from transcript_panel_files) x group by all",
+    "p1_alternatives": _P1_ALTERNATIVES,
     "p2_found": f"select ref_table, ref_row, reason from ({_P2}) x",
     "p2_per_period": f"select ref_table, cast(date_trunc('day', x.at) as date) as period, reason, count(*) as n from ({_P2}) x group by all",
     "p4_found": _P4,
