@@ -17,8 +17,8 @@ from spotloom.functions.keys import clean_key
 BLOCK_BITS = 4096
 PROBES = 5
 BITS_PER_KEY = 12
-#: The filter's size bound: 32,768 blocks of 4,096 bits are 16 MB, whatever the number of parents. A fuller filter only
-#: passes more references on to the exact join.
+#: Blocks up to which the filter is broadcast: 32,768 of 4,096 bits are 16 MB. A larger one is as sparse, but stays
+#: distributed by block, and references meet their block by a join.
 MAX_BLOCKS = 32_768
 #: Parents of at most so many rows are broadcast to the exact join (some 4 MB); others are joined by shuffle.
 BROADCAST_ROWS = 20_000
@@ -28,7 +28,7 @@ NO_TARGET = "undetermined"
 
 
 def bloom_blocks(n_keys: int) -> int:
-    return max(1, min(MAX_BLOCKS, math.ceil(n_keys * BITS_PER_KEY / BLOCK_BITS)))
+    return max(1, math.ceil(n_keys * BITS_PER_KEY / BLOCK_BITS))
 
 
 def _block(key: Column, blocks: int) -> Column:
@@ -41,7 +41,7 @@ def _bit(key: Column, probe: int) -> Column:
 
 
 def bloom_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """(block INT, words ARRAY<BIGINT>) over the distinct non-null keys; at most ``blocks`` rows of 512 bytes."""
+    """(block INT, words ARRAY<BIGINT>) over the distinct non-null keys; at most ``blocks`` rows of 512 bytes, built where the keys are."""
     k = F.col(key)
     bits = keys.where(k.isNotNull()).select(
         _block(k, blocks).alias("block"), F.explode(F.array(*[_bit(k, i) for i in range(PROBES)])).alias("bit")
@@ -93,7 +93,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     n = parents.count()
     blocks = bloom_blocks(n)
     bloom = bloom_filter(parents.select("key"), "key", blocks)
-    probed = refs.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(bloom), "block", "left")
+    probed = refs.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(bloom) if blocks <= MAX_BLOCKS else bloom, "block", "left")
     probed = probed.withColumn("maybe", might_contain(F.col("words"), F.col("key"))).drop("block", "words")
 
     known = (F.col("r.key") == F.col("p.key")) & F.col("r.maybe")

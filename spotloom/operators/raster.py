@@ -87,8 +87,8 @@ def look_up(points: DataFrame, runs: DataFrame, out: str = "label", x: str = "x_
     """
     blocks = runs.select("sample_id", F.col("y").alias("_y"), F.explode(F.sequence(F.floor(F.col("x0") / BLOCK).cast("int"), F.floor((F.col("x1") - 1) / BLOCK).cast("int"))).alias("_b"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("label").alias("_label"))
     rows = blocks.groupBy("sample_id", "_y", "_b").agg(F.collect_list(F.struct("_x0", "_x1", "_label")).alias("_runs"))  # at most one run per pixel of a block and ring
-    # points without a pixel are spread over rows that no raster has, or they would all meet in one task
-    nowhere = -1 - F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in points.columns if c in (x, y, "row_id", "TXUID", "sample_id")]), F.lit(4096)).cast("int")
+    # points without a pixel are spread, by where they are, over rows that no raster has, or they would all meet in one task
+    nowhere = -1 - F.spark_partition_id()
     p = points.withColumns({"_y": F.coalesce(pixel_of(F.col(y)), nowhere), "_x": F.coalesce(pixel_of(F.col(x)), F.lit(-1))}).withColumn("_b", F.floor(F.col("_x") / BLOCK).cast("int"))
     found = p.join(rows, ["sample_id", "_y", "_b"], "left")
     label = F.coalesce(F.array_max(F.expr("transform(filter(_runs, r -> r._x0 <= _x and _x < r._x1), r -> r._label)")), F.lit(0))

@@ -15,6 +15,32 @@ def columns_read(text, table):
     return [set(re.findall(r"(\w+):", s)) for loc, s in re.findall(r"Location: ([^\n]+).*?ReadSchema: struct<([^\n]*)>", text, re.S) if f"{table}.parquet" in loc]
 
 
+def test_run_sums_stay_with_their_row(spark, sf):
+    """A region's mean is made of sums: no pixel array is exploded or shuffled with the runs."""
+    text = plan(catalogue.QUERIES["cell_by_protein_long"](spark, sf))
+    assert not re.search(r"Generate[^\n]*explode\(_runs", text) and "CartesianProduct" not in text
+
+
+def test_level_shares_are_ranked_within_one_prefix(spark, sf):
+    """The window that ranks points comes after the join that leaves only those of the last prefix."""
+    text = plan(catalogue.QUERIES["tile_sample"](spark, sf))
+    assert "_end" in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_outlines_are_streamed(spark, sf):
+    text = plan(catalogue.QUERIES["cell_polygons"](spark, sf))
+    assert "MapInArrow" in text and "FlatMapGroupsInPandas" not in text
+
+
+def test_many_codes_are_sought_by_segments(spark, sf, monkeypatch):
+    from spotloom.operators import demux
+    from spotloom.plans import domain
+
+    monkeypatch.setattr(demux, "BROADCAST_CODES", 3)
+    text = plan(demux.code_distances(domain.reads(spark, sf), domain.codes(spark, sf)))
+    assert re.search(r"(Left keys|Left output).*\bs\b|s#", text) and "BroadcastNestedLoopJoin" not in text
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_no_query_pairs_everything(spark, sf, name):
     text = plan(catalogue.QUERIES[name](spark, sf))

@@ -38,7 +38,8 @@ def test_no_parents_and_no_references(spark):
 def test_filter_never_denies_a_parent(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(orphans, "MAX_BLOCKS", 2)  # far too full: only the exact join decides
+    monkeypatch.setattr(orphans, "MAX_BLOCKS", 2)  # more blocks than are broadcast: the filter stays distributed
+    monkeypatch.setattr(orphans, "BROADCAST_ROWS", 0)
     rng = random.Random(1)
     keys = [f"k{i}" for i in range(3000)]
     df = spark.createDataFrame([(k,) for k in keys], "key string")

@@ -72,7 +72,7 @@ def test_rings_take_pixel_centres_and_later_features_win(spark):
     df = spark.createDataFrame([(a, b, None if c is None else list(map(float, c))) for a, b, c in rows], "sample_id string, label int, ring array<double>")
     got = {(r.y, r.x) for r in raster.runs_to_pixels(raster.rings_to_runs(df)).collect()}
     assert got == {(y, x) for y in range(2, 6) for x in range(2, 6)}
-    over = spark.createDataFrame([("s", 5, 0, square), ("s", 3, 1, [4.0, 4.0, 8.0, 4.0, 8.0, 8.0, 4.0, 8.0])], "sample_id string, label int, ordinal int, ring array<double>")
+    over = spark.createDataFrame([("s", 5, 0, [square]), ("s", 3, 1, [[4.0, 4.0, 8.0, 4.0, 8.0, 8.0, 4.0, 8.0]])], "sample_id string, label int, ordinal int, rings array<array<double>>")
     m = masks.runs_to_mask(masks.rasterized(over), (9, 9))
     assert m[5, 5] == 3 and m[3, 3] == 5 and (m == 3).sum() == 16 and (m == 5).sum() == 12
 
