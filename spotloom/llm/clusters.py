@@ -4,33 +4,43 @@ Density clustering on unit vectors: cells are near if their distance is at most
 cell with enough near cells, itself included, is a core; cores that are near are in one cluster, and a cell that is no core
 joins the cluster of a core it is near to. Space is partitioned twice. Dense places are balls of diameter ``eps`` around
 centres fitted on a bounded sample: all cells of a ball are near each other, so they are cores of one local cluster without
-comparing any two. Reduced vectors, by a projection that never lengthens a distance, tell in which balls' margins of width
-``eps`` a cell lies; there it is compared with the ball's cells, and as a shared core merges the local clusters. The cells
-outside all dense balls are dealt to lists around centroids, whose number follows that of the cells, each also to every list
-in whose margin it lies; in each list they form local clusters, merged through the cores that lists share. Merging is by a
+comparing any two. A cell in a ball's margin of width ``eps`` is compared with those of the ball's cells that lie far
+enough out, and as a shared core merges the local clusters. The cells outside all dense balls are dealt to lists, around
+centroids, each also to every list in whose margin it lies, or by names that near cells have in common, whichever is less
+work; in each list they form local clusters, merged through the cores that lists share. Merging is by a
 distributed star contraction. No link depends on chance.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from spotloom.llm.space import CentroidGraph, bounded_sample, distances, matrix, measured, posting_lists, unit
+from spotloom.llm import space
+from spotloom.llm.space import CentroidGraph, bounded_sample, dealt_parts, distances, matrix, measured, posting_lists, unit
 from spotloom.session import durable
 
-#: Rows that the balls are fitted on, at most, and dimensions of the reduced vectors.
+#: Rows that the balls are fitted on: so many, or one of SHARE up to ten times as many; lone rows in a row after which no more
+#: balls are looked for.
 SAMPLE = 6000
-REDUCED = 32
+SHARE = 16
+ALONE = 4096
 #: Cells of a ball, and cells in its margin, that one task compares.
 MEMBERS = 20_000
 #: Cells outside all balls that a list should hold.
 BLOCK = 4096
+#: Cells outside all balls up to which lists around centroids are taken unasked; beyond, what costs less.
+LISTED = 16_384
+#: Comparisons that take as long as one more row of a list.
+ROW = 3000
+#: Names of a cell, at most.
+NAMES = 4096
 #: Near cells, itself included, that make a cell a core.
 CORE = 3
 #: Links between local clusters that one task joins, at most.
@@ -38,53 +48,61 @@ EDGES = 500_000
 
 
 class Balls:
-    """Centres of dense places of the sample, and the projection that reduces vectors."""
+    """Centres of dense places of the sample."""
 
     def __init__(self, x: np.ndarray, similarity: float):
         self.eps = math.sqrt(2 - 2 * similarity)
         self.similarity = similarity
-        left = np.ones(len(x), bool)
-        centres = []
-        for i in range(len(x)):
-            if not left[i]:
+        left = x.astype(np.float32)
+        centres, alone, at = [], 0, 0
+        free = np.ones(len(left), bool)
+        while at < len(left) and alone < ALONE:
+            if not free[at]:
+                at += 1
                 continue
-            near = left & (x @ x[i] >= similarity)
-            left &= ~near
-            left[i] = False
+            near = free & (left @ left[at] >= similarity)
             if near.sum() > 1:
+                alone = 0
                 # two steps towards the middle, so that the ball holds as much of its surroundings as it can
-                c = x[i]
+                c = left[at]
                 for _ in range(2):
-                    own = x[(x @ c) / max(np.linalg.norm(c), 1e-300) >= similarity]
+                    own = left[(left @ c) / max(np.linalg.norm(c), 1e-30) >= similarity]
                     c = own.mean(0) if len(own) else c
+                c = c.astype(np.float64)
                 centres.append(c / max(np.linalg.norm(c), 1e-300))
+            else:
+                alone += 1
+            free &= ~near
+            free[at] = False
+            if free.sum() < 0.7 * len(left):
+                left = left[free]
+                free, at = np.ones(len(left), bool), 0
         dims = x.shape[1] if x.ndim == 2 else 1
         self.centres = np.stack(centres) if centres else np.zeros((0, dims))
-        _, _, vt = np.linalg.svd(x - x.mean(0), full_matrices=False) if len(x) > 1 else (0, 0, np.eye(dims)[:1])
-        self.axes = vt[:REDUCED].T
-        self.low = self.reduce(self.centres)
 
-    def reduce(self, x: np.ndarray) -> np.ndarray:
-        """Coordinates on the axes and, last, the length of what is left: never lengthens a distance."""
-        p = x @ self.axes
-        return np.concatenate([p, np.sqrt(np.maximum((x * x).sum(1) - (p * p).sum(1), 0))[:, None]], 1)
-
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
-        """Per row: its ball or -1; other balls that hold it too; balls in whose margin it lies."""
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per row: its ball or -1, and the distance to its centre. Then the rows' other balls as (row, ball, distance, inside):
+        those that hold it too, and those in whose margin it lies."""
         n = len(x)
-        if not len(self.centres):
-            return np.full(n, -1), [[]] * n, [[]] * n
-        near = distances(self.reduce(x), self.low) <= 1.5 * self.eps + 1e-9
-        d = np.full(near.shape, np.inf)
-        i, j = np.nonzero(near)
-        for s in range(0, len(i), 20_000):
-            a, b = i[s : s + 20_000], j[s : s + 20_000]
-            d[a, b] = np.sqrt(np.maximum(((x[a] - self.centres[b]) ** 2).sum(1), 0))
-        home = np.argmin(d, axis=1)
-        home = np.where(d[np.arange(n), home] <= self.eps / 2, home, -1)
-        other = np.arange(d.shape[1]) != home[:, None]
-        inside, margin = (d <= self.eps / 2) & other, (d > self.eps / 2) & (d <= 1.5 * self.eps + 1e-9) & other
-        return home, [np.flatnonzero(r).tolist() for r in inside], [np.flatnonzero(r).tolist() for r in margin]
+        home, r = np.full(n, -1), np.full(n, np.inf)
+        rows, balls = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        centres, own = self.centres.astype(np.float32), x.astype(np.float32)
+        step = max(32, 2_000_000 // max(1, len(centres)))
+        for s in range(0, n if len(centres) else 0, step):
+            # single precision only chooses what is measured
+            i, j = np.nonzero(own[s : s + step] @ centres.T >= 1 - (1.5 * self.eps) ** 2 / 2 - 1e-5)
+            rows.append(i + s)
+            balls.append(j)
+        row, ball = np.concatenate(rows), np.concatenate(balls)
+        d = np.empty(len(row))
+        for s in range(0, len(row), 20_000):
+            d[s : s + 20_000] = np.sqrt(np.maximum(((x[row[s : s + 20_000]] - self.centres[ball[s : s + 20_000]]) ** 2).sum(1), 0))
+        order = np.lexsort((ball, d, row))
+        first = order[np.r_[True, row[order][1:] != row[order][:-1]]] if len(order) else order
+        held = first[d[first] <= self.eps / 2]
+        home[row[held]], r[row[held]] = ball[held], d[held]
+        kept = (d <= 1.5 * self.eps + 1e-9) & (ball != home[row])
+        return home, r, row[kept], ball[kept], d[kept], d[kept] <= self.eps / 2
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -136,20 +154,24 @@ def _join_links(t: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(names.tolist(), pa.string()), "root": pa.array(names[root].tolist(), pa.string())})
 
 
-def _near_balls(placed: DataFrame, dense: list[int], eps: float, dims: int) -> DataFrame:
+def _near_balls(placed: DataFrame, sizes: DataFrame, eps: float, dims: int) -> DataFrame:
     """(node, cell, ball, n): a cell that lies in a dense ball's margin and is near to n > 0 of its cells. A ball with very
-    many cells, or very many in its margin, is dealt to tasks as parts of the one against parts of the other."""
-    none = placed.select("node", F.col("cell_id").alias("cell"), F.lit(0).alias("ball"), F.lit(0).cast("bigint").alias("n")).limit(0)
-    asking = placed.select(F.explode("margin").alias("ball"), "cell_id", "node", "x").where(F.col("ball").isin(dense))
-    asked = {r[0]: r[1] for r in asking.groupBy("ball").count().collect()}  # at most one row per ball
-    if not asked:
-        return none
-    held = {r[0]: r[1] for r in placed.where(F.col("home").isin(list(asked))).groupBy("home").count().collect()}
-    parts = lambda c, of: F.try_element_at(F.create_map(*[F.lit(y) for i in asked for y in (i, math.ceil(of[i] / MEMBERS))]), F.col(c))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    salt = lambda n: F.pmod(F.xxhash64("cell_id"), n).cast("int")
-    members = placed.where(F.col("home").isin(list(asked))).select(F.col("home").alias("ball"), salt(parts("home", held)).alias("m"), spread(parts("home", asked)).alias("a"), F.lit(True).alias("member"), "cell_id", "node", "x")
-    asking = asking.select("ball", spread(parts("ball", held)).alias("m"), salt(parts("ball", asked)).alias("a"), F.lit(False).alias("member"), "cell_id", "node", "x")
+    many cells, or very many in its margin, is dealt to tasks as parts of the one against parts of the other.
+
+    ``sizes``: (ball, n, r), the cells of each dense ball and the greatest distance of them to its centre. A cell of the margin
+    is only near to cells whose distance to the centre is at most ``eps`` less than its own.
+    """
+    slack = eps + 1e-5
+    asking = placed.select("node", "cell_id", "x", F.explode("others").alias("o")).where("not o.inside").select("node", "cell_id", "x", "o.ball", "o.far")
+    asking = asking.join(F.broadcast(sizes), "ball").where(F.col("far") <= F.col("r") + slack).drop("n", "r")
+    asked = asking.groupBy("ball").agg(F.count(F.lit(1)).alias("n_asking"), F.min("far").alias("least"))
+    held = placed.join(F.broadcast(asked.select(F.col("ball").alias("home"), "least")), "home").where(F.col("r") >= F.col("least") - slack).groupBy(F.col("home").alias("ball")).agg(F.count(F.lit(1)).alias("n_held"))
+    asked = durable(asked.join(held, "ball").select("ball", "least", *[F.ceil(F.col(f"n_{c}") / MEMBERS).cast("int").alias(c) for c in ("asking", "held")]))  # at most one row per ball
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    salt = lambda n: F.pmod(F.xxhash64("cell_id"), F.col(n)).cast("int")
+    members = placed.join(F.broadcast(asked.withColumnRenamed("ball", "home")), "home").where(F.col("r") >= F.col("least") - slack)
+    members = members.select(F.col("home").alias("ball"), salt("held").alias("m"), spread("asking").alias("a"), F.lit(True).alias("member"), "cell_id", "node", "x")
+    asking = asking.join(F.broadcast(asked), "ball").select("ball", spread("held").alias("m"), salt("asking").alias("a"), F.lit(False).alias("member"), "cell_id", "node", "x")
 
     def compare(t: pa.Table) -> pa.Table:
         u = unit(matrix(t["x"], dims)).astype(np.float32)
@@ -179,29 +201,181 @@ def _margin_rule(eps: float):
     return rule
 
 
-def _near_counts(lists: DataFrame, eps: float, dims: int) -> DataFrame:
-    """(cell, n): how many cells of the lists, itself included, are near to each."""
+class Keys:
+    """Lists without centroids, for cells that lie alone: near cells share a name made of ``share`` dimensions.
 
-    def count(t: pa.Table) -> pa.Table:
-        u = unit(matrix(t["x"], dims)).astype(np.float32)
+    Of a unit vector the least coordinates are left out up to the length ``small``, the others are put in order, dimensions
+    that few vectors have first. A prefix is as long as it takes that what is behind it, with the ``share`` - 1 largest in it,
+    is too short for a product of the least similarity with any unit vector. So of two near vectors the prefixes have
+    ``share`` dimensions in common: of both, no dimension up to the end of the shorter prefix is outside. Names are all
+    choices of ``share`` dimensions of the prefix; a pair counts under the first it has in common. Vectors with too few
+    dimensions for that, or with too many names, are short: they and what they meet have single dimensions as names.
+    """
+
+    def __init__(self, x: np.ndarray, similarity: float, share: int, small: float):
+        self.floor, self.share, self.small = similarity - 3e-6, share, small
+        self.order = np.argsort((self._large(x)[0] > 0).sum(0), kind="stable")
+        self.dims = len(self.order)
+
+    def _large(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squares of the coordinates that are not left out, and the length of what is."""
+        v = u * u
+        by = np.argsort(v, axis=1, kind="stable")
+        rising = np.cumsum(np.take_along_axis(v, by, 1), 1)
+        out = np.zeros(v.shape, bool)
+        np.put_along_axis(out, by, rising <= self.small**2, 1)
+        return np.where(out, 0, v), np.sqrt(np.where(out, v, 0).sum(1))
+
+    def prefixes(self, u: np.ndarray, share: int) -> np.ndarray:
+        """Per row and rank of a dimension, whether it is in the prefix; none of a short row's is."""
+        w, out = self._large(u)
+        w = w[:, self.order]
+        behind = w.sum(1)[:, None] - np.cumsum(w, 1) + (share - 1) * np.maximum.accumulate(w, 1)
+        end = np.sqrt(np.maximum(behind, 0)) + (out + self.small)[:, None] < self.floor
+        inside = (np.arange(self.dims) <= np.argmax(end, 1)[:, None]) & (w > 0) & end.any(1)[:, None]
+        if share > 1:
+            most = next(p for p in itertools.count(share) if math.comb(p + 1, share) > NAMES)
+            inside &= (inside.sum(1) <= most)[:, None]
+        return inside
+
+    def names(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, name), rows rising; a row that has none is short."""
+        inside = self.prefixes(u, self.share)
+        size = inside.sum(1)
+        rows, names = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for p in np.unique(size[size > 0]).tolist():
+            own = np.flatnonzero(size == p)
+            ranks = np.nonzero(inside[own])[1].reshape(-1, p)
+            picks = np.array(list(itertools.combinations(range(p), self.share)))
+            name = np.zeros((len(own), len(picks)), np.int64)
+            for k in range(self.share):
+                name = name * self.dims + ranks[:, picks[:, k]]
+            rows.append(np.repeat(own, len(picks)))
+            names.append(name.ravel())
+        row, name = np.concatenate(rows), np.concatenate(names)
+        by = np.argsort(row, kind="stable")
+        return row[by], name[by]
+
+    def meet_first(self, u: np.ndarray, i: np.ndarray, j: np.ndarray, name: int) -> np.ndarray:
+        """Of pairs of rows in the list ``name``, those that have no earlier name in common."""
+        share, last = (1, (-name - 1) // 2) if name < 0 else (self.share, name % self.dims)
+        some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        inside = self.prefixes(u[some], share)[:, : last + 1]
+        out = np.empty(len(i), bool)
+        for s in range(0, len(i), 100_000):
+            out[s : s + 100_000] = (inside[at[: len(i)][s : s + 100_000]] & inside[at[len(i) :][s : s + 100_000]]).sum(1) == share
+        return out
+
+
+def _cheapest(rest: DataFrame, n: int, dims: int, balls: Balls) -> Keys | None:
+    """How ``n`` cells meet with the least work, judged by a bounded sample: by names, or (None) in lists around centroids."""
+    x = unit(bounded_sample(rest, "cell_id", "x", dims))
+    if n <= LISTED or dims >= 4096:
+        return None
+    more = n / len(x)
+    data, query = _margin_rule(balls.eps)(space._fit(x, n, BLOCK), x)
+    least, best = more * ROW * data.sum() + more**2 * (data.sum(0) * query.sum(0)).sum(), None
+    for share, small in itertools.product((1, 2, 3, 4), (0.02, 0.04, 0.06, 0.08)):
+        if 4 * small >= balls.similarity:
+            continue
+        keys = Keys(x, balls.similarity, share, small)
+        size = keys.prefixes(x, share).sum(1)
+        if more * ROW * sum(math.comb(p, share) for p in size.tolist()) >= least:
+            continue
+        row, name = keys.names(x)
+        held = np.unique(name, return_counts=True)[1].astype(float)
+        cost = more * ROW * len(row) + more**2 * (held * held - held).sum()
+        short = len(x) - len(np.unique(row))
+        if short:
+            one = keys.prefixes(x, 1).sum(0).astype(float)
+            cost += more * ROW * 2 * one.sum() + 2 * more**2 * short / len(x) * (one * one).sum()
+        if cost < least:
+            least, best = cost, keys
+    return best
+
+
+def _named_lists(rest: DataFrame, keys: Keys, dims: int) -> DataFrame:
+    """(cell_id, x, list, q, d, data, query, bucket): each cell in the lists of its names. Of a short cell's names there are two
+    lists: one in which short cells look for all, one in which others look for short ones."""
+    spark = rest.sparkSession
+    kind = rest.schema["x"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast(keys)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                p = b.slice(at, 1024)
+                u = unit(matrix(p.column(1), dims))
+                row, to = shared.value.names(u)
+                n = np.bincount(row, minlength=p.num_rows)
+                one, rank = np.nonzero(shared.value.prefixes(u, 1))
+                lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(p.num_rows + 1)), pa.int32()), pa.array(v, pa.int64())) for r, v in ((row, to), (one, rank))]
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), *lists, pa.array(n == 0)], ["k", "x", "names", "single", "short"])
+
+    dealt = durable(rest.select(F.col("cell_id").alias("k"), "x").mapInArrow(name, f"k string, x {kind}, names array<bigint>, single array<bigint>, short boolean"))
+    rows = dealt.select("k", "x", F.explode("names").alias("list"), F.lit(True).alias("data"), F.lit(True).alias("query"))
+    singles = [r[0] for r in dealt.where("short").select(F.explode("single").alias("r")).distinct().collect()]  # at most one per dimension
+    if singles:
+        one = dealt.select("k", "x", "short", F.explode("single").alias("r")).where(F.col("r").isin(singles))
+        rows = rows.unionByName(one.select("k", "x", (-2 * F.col("r") - 1).alias("list"), F.lit(True).alias("data"), F.col("short").alias("query")))
+        rows = rows.unionByName(one.select("k", "x", (-2 * F.col("r") - 2).alias("list"), F.col("short").alias("data"), (~F.col("short")).alias("query")))
+    held = durable(rows.groupBy("list").agg(F.count_if("data").alias("n_data"), F.count_if("query").alias("n_query"), F.count(F.lit(1)).alias("n")))
+    # a cell that is alone under a name meets nobody there
+    total = held.where("n > 1").agg(F.sum("n")).first()[0] or 0
+    rows = rows.join(held.where("n > 1").select("list"), "list", "left_semi")
+    heavy = held.where(f"n_data > {space.TASK_ROWS} or n_query > {space.TASK_ROWS}").drop("n")
+    rows = dealt_parts(rows, None if heavy.isEmpty() else heavy).withColumnRenamed("k", "cell_id")
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("list", "q", "d"), F.lit(max(1, math.ceil(total / (2 * BLOCK))))))
+
+
+def _each_run(lists: DataFrame, work: Callable[[pa.Table, int], pa.Table], schema: str) -> DataFrame:
+    """``work(rows, list)`` on each group of equal (list, q, d); where there is a column ``bucket``, a task takes all groups of one."""
+    if "bucket" not in lists.columns:
+        return lists.groupBy("list", "q", "d").applyInArrow(lambda t: work(t, t["list"][0].as_py()), schema)
+
+    def all_runs(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("list", "ascending"), ("q", "ascending"), ("d", "ascending")]).combine_chunks()
+        by = np.stack([t[c].to_numpy() for c in ("list", "q", "d")])
+        ends = np.flatnonzero(np.r_[True, (by[:, 1:] != by[:, :-1]).any(0), True])
+        return pa.concat_tables([work(t.slice(i, j - i), int(by[0, i])) for i, j in zip(ends[:-1], ends[1:], strict=True) if j - i > 1] or [work(t.slice(0, 0), 0)])
+
+    return lists.groupBy("bucket").applyInArrow(all_runs, schema)
+
+
+def _near_counts(lists: DataFrame, eps: float, dims: int, keys: Keys | None = None) -> DataFrame:
+    """(cell, n): how many cells of the lists, itself included, are near to each. With ``keys``, pairs that meet in several
+    lists count in one, and cells are not counted as near to themselves."""
+
+    def count(t: pa.Table, name: int) -> pa.Table:
+        u = unit(matrix(t["x"], dims))
+        low = u.astype(np.float32)
         data, query = (np.flatnonzero(t[c].to_numpy(zero_copy_only=False)) for c in ("data", "query"))
         n = np.zeros(len(query), np.int64)
         for s in range(0, len(query), 1024):
-            n[s : s + 1024] = (u[query[s : s + 1024]] @ u[data].T >= 1 - eps * eps / 2 - 1e-6).sum(1)
-        return pa.table({"cell": t["cell_id"].take(pa.array(query, pa.int64())), "n": pa.array(n, pa.int64())})
+            near = low[query[s : s + 1024]] @ low[data].T >= 1 - eps * eps / 2 - 1e-6
+            if keys is None:
+                n[s : s + 1024] = near.sum(1)
+                continue
+            i, j = np.nonzero(near)
+            i, j = query[s + i], data[j]
+            i, j = i[i != j], j[i != j]
+            if len(i):
+                np.add.at(n, np.searchsorted(query, i[keys.meet_first(u, i, j, name)]), 1)
+        some = np.flatnonzero(n > 0) if keys is not None else np.arange(len(n))
+        return pa.table({"cell": t["cell_id"].take(pa.array(query[some], pa.int64())), "n": pa.array(n[some], pa.int64())})
 
-    return lists.groupBy("list", "q", "d").applyInArrow(count, "cell string, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    return _each_run(lists, count, "cell string, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def _local_clusters(lists: DataFrame, cores: DataFrame, eps: float, dims: int) -> DataFrame:
     """(a, b, core): in each list, cores tied to their local cluster by as few links as it takes, and a cell that is no core
     tied to the least core it is near to.
 
-    ``cores``: (cell, core BOOLEAN).
+    ``cores``: (cell, core BOOLEAN); a cell that is not in it is near to none.
     """
     known = lists.join(cores.withColumnRenamed("cell", "cell_id"), "cell_id")
 
-    def tie(t: pa.Table) -> pa.Table:
+    def tie(t: pa.Table, name: int) -> pa.Table:
         t = t.sort_by("cell_id")
         u = unit(matrix(t["x"], dims)).astype(np.float32)
         data, query, core = (t[c].to_numpy(zero_copy_only=False) for c in ("data", "query", "core"))
@@ -225,7 +399,7 @@ def _local_clusters(lists: DataFrame, cores: DataFrame, eps: float, dims: int) -
         c = t["cell_id"]
         return pa.table({"a": c.take(pa.array(a, pa.int64())), "b": c.take(pa.array(b, pa.int64())), "core": pa.array(kept, pa.bool_())})
 
-    return known.groupBy("list", "q", "d").applyInArrow(tie, "a string, b string, core boolean")
+    return _each_run(known, tie, "a string, b string, core boolean")
 
 
 def similarity_groups(cells: DataFrame, similarity: float = 0.85, key: str = "cell_id", counts: str = "x", least: int = CORE) -> DataFrame:
@@ -243,33 +417,39 @@ def similarity_groups(cells: DataFrame, similarity: float = 0.85, key: str = "ce
     if not n:
         return spark.createDataFrame([], f"cell_id string, node string, root string, x {kind}")
     c = c.withColumn("x", F.col("x").cast(kind))
-    balls = Balls(unit(bounded_sample(c, "cell_id", "x", dims, SAMPLE)), similarity)
+    balls = Balls(unit(bounded_sample(c, "cell_id", "x", dims, max(SAMPLE, min(10 * SAMPLE, n // SHARE)))), similarity)
     shared = spark.sparkContext.broadcast(balls)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 p = b.slice(at, 2048)
-                home, inside, margin = shared.value.place(unit(matrix(p.column(1), dims)))
-                ints = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(home, pa.int32()), pa.array(inside, ints), pa.array(margin, ints)], ["cell_id", "x", "home", "inside", "margin"])
-
-    placed = durable(c.mapInArrow(place, f"cell_id string, x {kind}, home int, inside array<int>, margin array<int>"))
-    size = {r[0]: r[1] for r in placed.where("home >= 0").groupBy("home").count().where(F.col("count") >= least).collect()}  # at most one row per ball
-    dense = list(size)
+                home, r, row, ball, far, inside = shared.value.place(unit(matrix(p.column(1), dims)))
+                ends = pa.array(np.searchsorted(row, np.arange(p.num_rows + 1)), pa.int32())
+                by = np.argsort(row, kind="stable")
+                others = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(ball[by], pa.int32()), pa.array(far[by]), pa.array(inside[by])], ["ball", "far", "inside"]))
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(home, pa.int32()), pa.array(r), others], ["cell_id", "x", "home", "r", "others"])
+
+    placed = durable(c.mapInArrow(place, f"cell_id string, x {kind}, home int, r double, others array<struct<ball:int,far:double,inside:boolean>>"))
+    sizes = durable(placed.where("home >= 0").groupBy(F.col("home").alias("ball")).agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("r")).where(F.col("n") >= least))  # at most one row per ball
+    rest = n - (sizes.agg(F.sum("n")).first()[0] or 0)
     ball = lambda b: F.concat(F.lit("b"), b.cast("string"))
-    at_home = F.col("home").isin(dense)
-    placed = placed.withColumn("node", F.when(at_home, ball(F.col("home"))).otherwise(F.concat(F.lit("c"), "cell_id")))
+    dense = sizes.select(F.col("ball").alias("home"), F.lit(True).alias("dense"))
+    placed = placed.join(F.broadcast(dense), "home", "left").withColumn("node", F.when(F.col("dense"), ball(F.col("home"))).otherwise(F.concat(F.lit("c"), "cell_id"))).drop("dense")
     # a cell inside a ball is near to all its cells; one in its margin is compared
-    sizes = F.create_map(*[F.lit(y) for i, m in size.items() for y in (i, m)]) if size else F.create_map().cast("map<int,bigint>")
-    inside = placed.select("node", F.col("cell_id").alias("cell"), F.explode("inside").alias("ball")).where(F.col("ball").isin(dense)).select("node", "cell", "ball", F.try_element_at(sizes, F.col("ball")).cast("bigint").alias("n"))
-    near = durable(inside.unionByName(_near_balls(placed, dense, balls.eps, dims)))
+    inside = placed.select("node", F.col("cell_id").alias("cell"), F.explode("others").alias("o")).where("o.inside").select("node", "cell", "o.ball").join(F.broadcast(sizes), "ball").select("node", "cell", "ball", "n")
+    near = durable(inside.unionByName(_near_balls(placed, sizes, balls.eps, dims)))
     merge = near.where(F.col("node").startswith("b")).select(F.col("node").alias("a"), ball(F.col("ball")).alias("b")).distinct()
     border = None
-    if rest := n - sum(size.values()):
-        lists = posting_lists(placed.where(F.col("node").startswith("c")).select("cell_id", "x"), "cell_id", "x", dims, rest, _margin_rule(balls.eps), BLOCK)
-        counted = _near_counts(lists, balls.eps, dims).unionByName(near.where(F.col("node").startswith("c")).select("cell", "n"))
-        cores = durable(counted.groupBy("cell").agg((F.sum("n") >= least).alias("core")))
+    if rest:
+        alone = placed.where(F.col("node").startswith("c")).select("cell_id", "x")
+        keys = _cheapest(alone, rest, dims, balls)
+        lists = posting_lists(alone, "cell_id", "x", dims, rest, _margin_rule(balls.eps), BLOCK) if keys is None else _named_lists(alone, keys, dims)
+        counted = _near_counts(lists, balls.eps, dims, keys).unionByName(near.where(F.col("node").startswith("c")).select("cell", "n"))
+        if keys is not None:
+            counted = counted.unionByName(alone.select(F.col("cell_id").alias("cell"), F.lit(1).cast("bigint").alias("n")))
+        counted = counted.groupBy("cell").agg(F.sum("n").alias("n"))
+        cores = durable(counted.where("n > 1").select("cell", (F.col("n") >= least).alias("core")))
         local = durable(_local_clusters(lists, cores, balls.eps, dims))
         to_ball = near.where(F.col("node").startswith("c")).join(cores, "cell").select(F.col("node").alias("a"), ball(F.col("ball")).alias("b"), "core").distinct()
         named = local.select(F.concat(F.lit("c"), "a").alias("a"), F.concat(F.lit("c"), "b").alias("b"), "core").unionByName(to_ball)

@@ -191,11 +191,16 @@ def posting_lists(vectors: DataFrame, key: str, column: str, dims: int, n: int,
     else:
         counts = [c for c in counts if max(c[1:]) > TASK_ROWS]
         heavy = spark.createDataFrame(counts, "list bigint, n_data bigint, n_query bigint") if counts else None
-    flags = F.col("flags")
-    rows = rows.select("k", "x", "list", (flags.bitwiseAND(1) > 0).alias("data"), (flags > 1).alias("query"))
+    rows = rows.select("k", "x", "list", (F.col("flags").bitwiseAND(1) > 0).alias("data"), (F.col("flags") > 1).alias("query"))
+    return dealt_parts(rows, heavy).withColumnsRenamed({"k": key, "x": column})
+
+
+def dealt_parts(rows: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """(k, x, list, q, d, data, query): the rows (k, x, list, data, query) with the part of their list that a task takes.
+    ``heavy``: (list, n_data, n_query) of the lists that one task should not take whole."""
     one = F.lit(0).alias("q"), F.lit(0).alias("d")
     if heavy is None:
-        return rows.select(F.col("k").alias(key), F.col("x").alias(column), "list", *one, "data", "query")
+        return rows.select("k", "x", "list", *one, "data", "query")
     h = lambda c: F.pmod(F.xxhash64("k"), F.col(c)).cast("int")
     parts = lambda c: F.greatest(F.ceil(F.col(c) / TASK_ROWS).cast("int"), F.lit(1))
     heavy = heavy.select("list", parts("n_query").alias("nq"), parts("n_data").alias("nd"))
@@ -205,7 +210,7 @@ def posting_lists(vectors: DataFrame, key: str, column: str, dims: int, n: int,
     other_q = F.filter(F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda q: cell(q, F.col("hd"), F.col("data"), F.lit(False))), lambda c: (c["q"] != F.col("hq")) & F.col("data"))
     other_d = F.filter(F.transform(F.sequence(F.lit(0), F.col("nd") - 1), lambda d: cell(F.col("hq"), d, F.lit(False), F.col("query"))), lambda c: (c["d"] != F.col("hd")) & F.col("query"))
     rows = rows.select("k", "x", "list", F.explode(F.concat(own, other_q, other_d)).alias("c"))
-    return rows.select(F.col("k").alias(key), F.col("x").alias(column), "list", "c.q", "c.d", "c.data", "c.query")
+    return rows.select("k", "x", "list", "c.q", "c.d", "c.data", "c.query")
 
 
 def _cut(rows: DataFrame, long: dict[int, int], dims: int, kind: str, rule: Rule, size: int) -> DataFrame:
