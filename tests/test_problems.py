@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from spotloom.operators import drift, nearby, orphans
+from spotloom.plans import problems
 
 T0 = dt.datetime(2024, 3, 1)
 H = dt.timedelta(hours=1)
@@ -199,6 +200,25 @@ def test_paths_alternatives_and_unreadable_records(spark):
     assert (t[2, 1].a_boolean, t[2, 1].a_number, t[2, 0].a_number, t[2, 0].a_boolean, t[1, 2].a) == (True, None, 1.5, None, None)
 
 
+@pytest.mark.parametrize("levels", [2, 8])
+def test_alternatives_are_reported_at_all_levels(spark, tmp_path, monkeypatch, levels):
+    """Whatever number of levels is worked off at a time; a name with a dot reads like a path."""
+    monkeypatch.setattr(drift, "LEVELS", levels)
+    deep = lambda v: {"a": {"b": [{"c": v}], "d": {}}, "e": [], "a.b": 1}
+    for _ in range(4):
+        deep = lambda v, inner=deep: {"f": [inner(v), 'x"]'], "g": 1}
+    r = records(spark, {1: [deep(1), deep(2)], 2: [deep("x"), deep(3), deep([1.5])]})
+    r.write.parquet(f"{tmp_path}/raw_feature_files.parquet")
+    r.limit(0).write.parquet(f"{tmp_path}/transcript_panel_files.parquet")
+    log(spark, [1, 2]).write.parquet(f"{tmp_path}/file_log.parquet")
+    at = "f[]." * 4 + "a.b[].c"
+    got = {tuple(x) for x in problems.p1_alternatives(spark, str(tmp_path)).collect()}
+    assert got == {(2, at, "string", "appeared", 1), (2, at, "array", "appeared", 1)}
+    u = {(x.file_no, x.path): x for x in drift.all_path_unions(r).collect()}
+    both = u[2, "f[]." * 4 + "a.b"]
+    assert (both.present, both.n_array, both.n_whole, u[2, at + "[]"].n_decimal) == (6, 3, 3, 1)
+
+
 def test_files_without_records_or_log(spark):
     u = drift.field_unions(records(spark, {1: [{"a": 1}], 7: [{"z": 1}]}))
     got = {tuple(r) for r in drift.schema_changes(u, log(spark, [1, 3])).collect()}
