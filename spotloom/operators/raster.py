@@ -22,7 +22,7 @@ BLOCK = 64
 #: Side of the tiles that morphology works on, and the margin it needs around them.
 TILE = 512
 MARGIN = 2
-#: Runs up to which they are sent to the image's rows; beyond, both are shuffled by row.
+#: Runs, those of excluded pixels included, up to which they are sent to the image's rows; beyond, both are shuffled by row.
 BROADCAST_RUNS = 500_000
 
 
@@ -126,34 +126,41 @@ def pixels_to_image_rows(image: DataFrame) -> DataFrame:
     return g.select("sample_id", "channel", "y", "x0", F.expr("transform(sequence(x0, x1), x -> try_element_at(m, x))").alias("intensities"))
 
 
-def _overlaps(runs: DataFrame, excluded: DataFrame) -> DataFrame:
-    """The parts of runs that excluded runs cover, to be taken off again."""
-    e = excluded.select("sample_id", "y", F.col("x0").alias("e0"), F.col("x1").alias("e1"))
-    both = runs.join(e, ["sample_id", "y"]).where("e0 < x1 and x0 < e1")
-    return both.select("sample_id", "y", F.greatest("x0", "e0").alias("x0"), F.least("x1", "e1").alias("x1"), "label")
+def _left_over(runs: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(sample_id, y, label, _spans ARRAY of a1,b1,a2,b2,...): what excluded runs leave of runs, block by block of columns."""
+    block = lambda x0, x1: F.explode(F.sequence(F.floor(F.col(x0) / BLOCK).cast("int"), F.floor((F.col(x1) - 1) / BLOCK).cast("int"))).alias("_b")
+    off = excluded.where("x1 > x0").select("sample_id", "y", "x0", "x1", block("x0", "x1")).groupBy("sample_id", "y", "_b").agg(F.sort_array(F.collect_list(F.struct("x0", "x1"))).alias("_off"))  # at most one per pixel of a block
+    r = runs.where("x1 > x0").select("sample_id", "y", "x0", "x1", "label", block("x0", "x1"))
+    r = r.select("sample_id", "y", "_b", "label", F.greatest("x0", F.col("_b") * BLOCK).alias("_a"), F.least("x1", (F.col("_b") + 1) * BLOCK).alias("_z"))
+    # sizes of exploded runs are guessed far too low, so that nothing is broadcast on their account
+    r = r.join(off.hint("merge"), ["sample_id", "y", "_b"], "left").withColumn("_near", F.expr("filter(_off, e -> e.x0 < _z and e.x1 > _a)"))
+    gaps = "transform(sequence(0, size(_near)), k -> array(if(k = 0, _a, _near[k - 1].x1), if(k = size(_near), _z, _near[k].x0)))"
+    r = r.withColumn("_spans", F.expr(f"if(_near is null, array(_a, _z), flatten(filter({gaps}, g -> g[1] > g[0])))"))
+    return r.where("size(_spans) > 0").select("sample_id", "y", "label", "_spans")
 
 
 def region_means(image_rows: DataFrame, runs: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """(sample_id, label, channel, mean_intensity, n_pixels) of every channel at once.
 
     ``image_rows``: (sample_id, channel, y, x0, intensities ARRAY<DOUBLE>), an image row or a part of one from column
-    ``x0`` on; ``excluded``: runs (sample_id, y, x0, x1), disjoint, such as beads. A region without any pixel left has no
-    row. Null intensities do not count.
+    ``x0`` on; ``excluded``: runs (sample_id, y, x0, x1), disjoint, such as beads, whose pixels are never read. A region
+    without any pixel left has no row. Null intensities do not count.
     """
-    r = runs.select("sample_id", "y", F.col("x0").alias("_a"), F.col("x1").alias("_b"), "label", F.lit(1).alias("_sign"))
-    if excluded is not None:
-        off = _overlaps(runs, excluded).select("sample_id", "y", F.col("x0").alias("_a"), F.col("x1").alias("_b"), "label", F.lit(-1).alias("_sign"))
-        r = r.unionByName(off)
-    per_row = r.groupBy("sample_id", "y").agg(F.collect_list(F.struct("_a", "_b", "label", "_sign")).alias("_runs"))  # the runs of one image row
-    if runs.count() <= BROADCAST_RUNS:
-        per_row = F.broadcast(per_row)
+    r = runs.select("sample_id", "y", "label", F.array("x0", "x1").alias("_spans")) if excluded is None else _left_over(runs, excluded)
+    per_row = r.groupBy("sample_id", "y").agg(F.collect_list(F.struct("label", "_spans")).alias("_runs"))  # the runs of one image row
+    few = runs.count() + (0 if excluded is None else excluded.count()) <= BROADCAST_RUNS
+    # otherwise a task holds the runs of its rows and the pixels pass by: left to itself, the optimizer, which cannot know
+    # how long the arrays are, broadcasts the image or sorts it
+    per_row = F.broadcast(per_row) if few else per_row.hint("shuffle_hash")
     i = image_rows.select("sample_id", "channel", "y", "x0", "intensities")
     # each run is reduced where its row is, so that no copy of the row's pixels leaves it
-    cut = "slice(intensities, greatest(r._a, x0) - x0 + 1, greatest(least(r._b, x0 + size(intensities)) - greatest(r._a, x0), 0))"
-    added = f"aggregate({cut}, named_struct('s', 0D, 'n', 0L), (t, v) -> if(v is null, t, named_struct('s', t.s + v, 'n', t.n + 1L)))"
-    part = i.join(per_row, ["sample_id", "y"]).select("sample_id", "channel", F.explode(F.expr(f"transform(_runs, r -> struct(r.label as label, r._sign as sign, {added} as t))")).alias("r"))
-    part = part.select("sample_id", "channel", "r.label", "r.sign", "r.t.s", "r.t.n")
-    g = part.groupBy("sample_id", "label", "channel").agg(F.sum(F.col("sign") * F.col("s")).alias("s"), F.sum(F.col("sign") * F.col("n")).cast("bigint").alias("n_pixels"))
+    a, b = "r._spans[2 * k]", "r._spans[2 * k + 1]"
+    cut = f"slice(intensities, greatest({a}, x0) - x0 + 1, greatest(least({b}, x0 + size(intensities)) - greatest({a}, x0), 0))"
+    values = f"filter(flatten(transform(sequence(0, size(r._spans) div 2 - 1), k -> {cut})), v -> v is not null)"
+    sums = "struct(r.label as label, aggregate(r.v, 0D, (t, v) -> t + v) as s, size(r.v) as n)"
+    each = f"transform(transform(_runs, r -> struct(r.label as label, {values} as v)), r -> {sums})"
+    part = i.join(per_row, ["sample_id", "y"]).select("sample_id", "channel", F.explode(F.expr(each)).alias("r"))
+    g = part.groupBy("sample_id", F.col("r.label").alias("label"), "channel").agg(F.sum("r.s").alias("s"), F.sum("r.n").cast("bigint").alias("n_pixels"))
     return g.where("n_pixels > 0").select("sample_id", "label", "channel", (F.col("s") / F.col("n_pixels")).alias("mean_intensity"), "n_pixels")
 
 

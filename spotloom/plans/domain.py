@@ -19,6 +19,8 @@ from spotloom.sources.tables import with_row_index
 
 CHANNELS = ["ch0", "ch1", "ch2", "ch3"]
 NUCLEUS = 6.0
+#: Cells whose image rows come to one task.
+CELLS = 2_000
 
 
 # inputs
@@ -64,14 +66,17 @@ def nucleus_runs(spark: SparkSession, sf: str) -> DataFrame:
     return d.where("x1 > x0")
 
 
-def image(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of four channel images as wide and high as each sample's raster."""
-    size = runs(spark, sf).groupBy("sample_id").agg(F.max("y").alias("h"), F.max("x1").alias("w"))
-    # a given number of partitions is kept, where one left open would be merged: the rows are small before they have pixels
-    parts = 4 * spark.sparkContext.defaultParallelism
+def image(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """Rows of four channel images as wide and high as each sample's raster, whose runs are ``of`` if they are at hand."""
+    size = (runs(spark, sf) if of is None else of).groupBy("sample_id").agg(F.max("y").alias("h"), F.max("x1").alias("w"))
+    # a given number of partitions is kept, where one left open would be merged: the rows are small before they have pixels;
+    # with no fewer than any other shuffle has, what is joined by row comes to the pixels and not they to it
+    others = max(int(spark.conf.get(c, "1")) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"))
+    parts = max(4 * spark.sparkContext.defaultParallelism, others, table(spark, sf, "cell_masks").count() // CELLS)
     rows = size.select("sample_id", "w", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("y")).repartition(parts, "sample_id", "y")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("c"))
-    value = F.expr("transform(sequence(0, w - 1), x -> double((y * 31 + x * 17 + c * 101) % 256))")
+    # values repeat every 256 columns
+    value = F.expr("slice(flatten(array_repeat(transform(sequence(0, 255), x -> double((y * 31 + x * 17 + c * 101) % 256)), cast((w + 255) div 256 as int))), 1, w)")
     return rows.select("sample_id", F.concat(F.lit("ch"), F.col("c").cast("string")).alias("channel"), "y", F.lit(0).alias("x0"), value.alias("intensities"))
 
 
@@ -185,7 +190,8 @@ def region_props_nuclear(spark, sf):
 
 
 def cell_by_protein_long(spark, sf):
-    return raster.region_means(image(spark, sf), durable(runs(spark, sf)))
+    r = durable(runs(spark, sf))
+    return raster.region_means(image(spark, sf, r), r)
 
 
 def cell_by_protein_wide(spark, sf):
@@ -194,8 +200,8 @@ def cell_by_protein_wide(spark, sf):
 
 def region_mean_bead_masked(spark, sf):
     r = durable(runs(spark, sf))
-    beads = raster.runs_to_pixels(r).where("(x * 7 + y * 13) % 11 = 0").selectExpr("sample_id", "y", "x as x0", "x + 1 as x1").distinct()
-    return raster.region_means(image(spark, sf), r, beads)
+    beads = durable(raster.runs_to_pixels(r).where("(x * 7 + y * 13) % 11 = 0").selectExpr("sample_id", "y", "x as x0", "x + 1 as x1").distinct())
+    return raster.region_means(image(spark, sf, r), r, beads)
 
 
 def embedding_region_mean(spark, sf):

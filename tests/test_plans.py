@@ -21,6 +21,24 @@ def test_run_sums_stay_with_their_row(spark, sf):
     assert not re.search(r"Generate[^\n]*explode\(_runs", text) and "CartesianProduct" not in text
 
 
+def _pixels_pass_by(df):
+    """The image's rows are neither broadcast, sorted nor shuffled: the runs come to them."""
+    tree = plan(df).split("\n\n")[0]
+    joined, side = re.search(r"^([ :]*)\+- ShuffledHashJoin[^\n]*BuildRight[^\n]*\n(.*)", tree, re.M | re.S).groups()
+    left = side[: side.index("\n" + " " * len(joined) + "   +-")]
+    steps = re.findall(r"[A-Z]\w+", left)
+    return "Broadcast" not in tree and "Sort" not in left and steps[0] == "Project" and "Generate" in steps[: steps.index("Exchange")]
+
+
+def test_many_beads_bring_no_image_to_the_driver(spark, sf, monkeypatch):
+    from spotloom.operators import raster
+    from spotloom.plans import domain
+
+    runs = domain.runs(spark, sf).count()
+    monkeypatch.setattr(raster, "BROADCAST_RUNS", runs)  # the beads are more than the runs
+    assert _pixels_pass_by(catalogue.QUERIES["region_mean_bead_masked"](spark, sf))
+
+
 def test_level_shares_are_ranked_within_one_prefix(spark, sf):
     """The window that ranks points comes after the join that leaves only those of the last prefix."""
     text = plan(catalogue.QUERIES["tile_sample"](spark, sf))

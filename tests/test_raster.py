@@ -113,3 +113,19 @@ def test_image_rows_in_parts_with_nulls(spark):
     rows = [("s", "c", 0, 0, [1.0, 2.0, None]), ("s", "c", 0, 3, [4.0, 5.0, 6.0, 7.0]), ("s", "c", 0, 7, [8.0, 9.0]), ("s", "c", 1, 0, [100.0] * 9)]
     img = spark.createDataFrame(rows, "sample_id string, channel string, y int, x0 int, intensities array<double>")
     assert [(r.mean_intensity, r.n_pixels) for r in raster.region_means(img, masks.mask_runs(spark, m, "s")).collect()] == [((2 + 4 + 5 + 6 + 7 + 8) / 6, 6)]
+
+
+@pytest.mark.parametrize("block", [64, 3])
+def test_what_beads_cover_is_never_read(spark, monkeypatch, block):
+    monkeypatch.setattr(raster, "BLOCK", block)
+    m = np.ones((1, 200), int)
+    m[0, 100:] = 2
+    value = [float(x) for x in range(200)]
+    value[5], value[63], value[64], value[150] = float("nan"), float("inf"), float("-inf"), float("nan")
+    img = spark.createDataFrame([("s", "c", 0, 0, value)], "sample_id string, channel string, y int, x0 int, intensities array<double>")
+    spans = ((0, 1), (5, 6), (60, 70), (98, 103), (199, 200))
+    beads = spark.createDataFrame([("s", 0, a, b) for a, b in spans], "sample_id string, y int, x0 int, x1 int")
+    got = {r.label: (r.mean_intensity, r.n_pixels) for r in raster.region_means(img, masks.mask_runs(spark, m, "s"), beads).collect()}
+    kept = [x for x in range(100) if not any(a <= x < b for a, b in spans)]
+    assert got[1] == (sum(kept) / len(kept), len(kept))
+    assert np.isnan(got[2][0]) and got[2][1] == 96  # the NaN at 150 is no bead's
