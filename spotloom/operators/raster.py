@@ -139,26 +139,32 @@ def _left_over(runs: DataFrame, excluded: DataFrame) -> DataFrame:
     return r.where("size(_spans) > 0").select("sample_id", "y", "label", "_spans")
 
 
-def region_means(image_rows: DataFrame, runs: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+def region_means(image_rows: DataFrame, runs: DataFrame, excluded: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(sample_id, label, channel, mean_intensity, n_pixels) of every channel at once.
 
     ``image_rows``: (sample_id, channel, y, x0, intensities ARRAY<DOUBLE>), an image row or a part of one from column
-    ``x0`` on; ``excluded``: runs (sample_id, y, x0, x1), disjoint, such as beads, whose pixels are never read. A region
-    without any pixel left has no row. Null intensities do not count.
+    ``x0`` on; ``excluded``: runs (sample_id, y, x0, x1), disjoint, such as beads, whose pixels are never read;
+    ``parts``: the number of partitions if the image's rows are hashed by sample and row. A region without any pixel left
+    has no row. Null intensities do not count.
     """
     r = runs.select("sample_id", "y", "label", F.array("x0", "x1").alias("_spans")) if excluded is None else _left_over(runs, excluded)
-    per_row = r.groupBy("sample_id", "y").agg(F.collect_list(F.struct("label", "_spans")).alias("_runs"))  # the runs of one image row
     few = runs.count() + (0 if excluded is None else excluded.count()) <= BROADCAST_RUNS
+    if parts and not few:
+        r = r.repartition(parts, "sample_id", "y")
+    per_row = r.groupBy("sample_id", "y").agg(F.collect_list(F.struct("label", "_spans")).alias("_runs"))  # the runs of one image row
     # otherwise a task holds the runs of its rows and the pixels pass by: left to itself, the optimizer, which cannot know
     # how long the arrays are, broadcasts the image or sorts it
     per_row = F.broadcast(per_row) if few else per_row.hint("shuffle_hash")
     i = image_rows.select("sample_id", "channel", "y", "x0", "intensities")
     # each run is reduced where its row is, so that no copy of the row's pixels leaves it
-    a, b = "r._spans[2 * k]", "r._spans[2 * k + 1]"
-    cut = f"slice(intensities, greatest({a}, x0) - x0 + 1, greatest(least({b}, x0 + size(intensities)) - greatest({a}, x0), 0))"
-    values = f"filter(flatten(transform(sequence(0, size(r._spans) div 2 - 1), k -> {cut})), v -> v is not null)"
-    sums = "struct(r.label as label, aggregate(r.v, 0D, (t, v) -> t + v) as s, size(r.v) as n)"
-    each = f"transform(transform(_runs, r -> struct(r.label as label, {values} as v)), r -> {sums})"
+    cut = lambda a, b: f"slice(intensities, greatest({a}, x0) - x0 + 1, greatest(least({b}, x0 + size(intensities)) - greatest({a}, x0), 0))"
+    several = f"flatten(transform(sequence(0, size(r._spans) div 2 - 1), k -> {cut('r._spans[2 * k]', 'r._spans[2 * k + 1]')}))"
+    each = f"transform(_runs, r -> struct(r.label as label, if(size(r._spans) = 2, {cut('r._spans[0]', 'r._spans[1]')}, {several}) as v))"
+    # a sum that met a null is null, and made again without it
+    added = lambda v: f"aggregate({v}, 0D, (t, v) -> t + v)"
+    each = f"transform({each}, r -> struct(r.label as label, r.v as v, {added('r.v')} as s))"
+    known = "filter(r.v, v -> v is not null)"
+    each = f"transform({each}, r -> struct(r.label as label, if(r.s is null, {added(known)}, r.s) as s, if(r.s is null, array_size({known}), array_size(r.v)) as n))"
     part = i.join(per_row, ["sample_id", "y"]).select("sample_id", "channel", F.explode(F.expr(each)).alias("r"))
     g = part.groupBy("sample_id", F.col("r.label").alias("label"), "channel").agg(F.sum("r.s").alias("s"), F.sum("r.n").cast("bigint").alias("n_pixels"))
     return g.where("n_pixels > 0").select("sample_id", "label", "channel", (F.col("s") / F.col("n_pixels")).alias("mean_intensity"), "n_pixels")

@@ -66,13 +66,17 @@ def nucleus_runs(spark: SparkSession, sf: str) -> DataFrame:
     return d.where("x1 > x0")
 
 
-def image(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
-    """Rows of four channel images as wide and high as each sample's raster, whose runs are ``of`` if they are at hand."""
-    size = (runs(spark, sf) if of is None else of).groupBy("sample_id").agg(F.max("y").alias("h"), F.max("x1").alias("w"))
-    # a given number of partitions is kept, where one left open would be merged: the rows are small before they have pixels;
-    # with no fewer than any other shuffle has, what is joined by row comes to the pixels and not they to it
+def image_parts(spark: SparkSession, sf: str) -> int:
+    """Partitions of the image's rows: no fewer than any other shuffle has, so that what is joined by row comes to the
+    pixels and not they to it."""
     others = max(int(spark.conf.get(c, "1")) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"))
-    parts = max(4 * spark.sparkContext.defaultParallelism, others, table(spark, sf, "cell_masks").count() // CELLS)
+    return max(4 * spark.sparkContext.defaultParallelism, others, table(spark, sf, "cell_masks").count() // CELLS)
+
+
+def image(of: DataFrame, parts: int) -> DataFrame:
+    """Rows of four channel images as wide and high as each sample's raster, whose runs are ``of``, hashed by sample and row."""
+    size = of.groupBy("sample_id").agg(F.max("y").alias("h"), F.max("x1").alias("w"))
+    # a given number of partitions is kept, where one left open would be merged: the rows are small before they have pixels
     rows = size.select("sample_id", "w", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("y")).repartition(parts, "sample_id", "y")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("c"))
     # values repeat every 256 columns
@@ -191,7 +195,8 @@ def region_props_nuclear(spark, sf):
 
 def cell_by_protein_long(spark, sf):
     r = durable(runs(spark, sf))
-    return raster.region_means(image(spark, sf, r), r)
+    parts = image_parts(spark, sf)
+    return raster.region_means(image(r, parts), r, parts=parts)
 
 
 def cell_by_protein_wide(spark, sf):
@@ -201,7 +206,8 @@ def cell_by_protein_wide(spark, sf):
 def region_mean_bead_masked(spark, sf):
     r = durable(runs(spark, sf))
     beads = durable(raster.runs_to_pixels(r).where("(x * 7 + y * 13) % 11 = 0").selectExpr("sample_id", "y", "x as x0", "x + 1 as x1").distinct())
-    return raster.region_means(image(spark, sf, r), r, beads)
+    parts = image_parts(spark, sf)
+    return raster.region_means(image(r, parts), r, beads, parts)
 
 
 def embedding_region_mean(spark, sf):

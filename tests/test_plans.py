@@ -39,6 +39,15 @@ def test_many_beads_bring_no_image_to_the_driver(spark, sf, monkeypatch):
     assert _pixels_pass_by(catalogue.QUERIES["region_mean_bead_masked"](spark, sf))
 
 
+@pytest.mark.parametrize("name", ["cell_by_protein_long"])
+def test_many_runs_bring_no_image_to_the_driver(spark, sf, monkeypatch, name):
+    from spotloom.operators import raster
+
+    monkeypatch.setattr(raster, "BROADCAST_RUNS", 0)
+    df = catalogue.QUERIES[name](spark, sf)
+    assert _pixels_pass_by(df) and plan(df).split("\n\n")[0].count("Exchange") <= 4  # sizes, rows, runs, sums
+
+
 def test_level_shares_are_ranked_within_one_prefix(spark, sf):
     """The window that ranks points comes after the join that leaves only those of the last prefix."""
     text = plan(catalogue.QUERIES["tile_sample"](spark, sf))
